@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import mixing
+from . import exact_dedup, mixing
 from .common import table
 
 
+def op3_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op9_mixing": op9_mixing}
-ORACLES = {"op9_mixing": mixing.ORACLE}
+QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op9_mixing": op9_mixing}
+ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, near_dedup
 from .common import table
 
 
+def op2_near_dedup(spark, sf_dir):
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -14,5 +18,12 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_exact_dedup": op3_exact_dedup, "op9_mixing": op9_mixing}
-ORACLES = {"op3_exact_dedup": exact_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+QUERIES = {
+    "op2_near_dedup": op2_near_dedup,
+    "op3_exact_dedup": op3_exact_dedup,
+    "op9_mixing": op9_mixing,
+}
+ORACLES = {
+    "op3_exact_dedup": exact_dedup.ORACLE,
+    "op9_mixing": mixing.ORACLE,
+}

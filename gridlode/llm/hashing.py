@@ -115,13 +115,14 @@ def hash_sequence(words: np.ndarray) -> np.uint64:
     return mix(np.array([total], np.uint64))[0]
 
 
-def pieces(batches, text: str = "text", most: int = 2 << 20):
-    """Arrow batches again, cut so that the texts of each are about `most` bytes at most or one row."""
+def pieces(batches, text: str = "text", most: int = 2 << 20, rows: int = 1 << 20):
+    """Arrow batches again, cut so that each has at most `rows` rows and texts of about `most` bytes, or one row."""
     for batch in batches:
         at = text_bytes(batch.column(batch.schema.get_field_index(text)))[1]
         i = 0
         while i < len(batch):
             j = min(len(batch), max(i + 1, int(np.searchsorted(at, at[i] + most, side="right")) - 1))
+            j = min(j, i + rows)
             yield batch.slice(i, j - i)
             i = j
 

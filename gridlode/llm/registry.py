@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup
+import public_tokenizers
+
+from . import exact_dedup, mixing, near_dedup, token_counts
 from .common import table
 
 
@@ -14,6 +16,11 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark, sf_dir):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, by_words=True)
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -21,6 +28,7 @@ def op9_mixing(spark, sf_dir):
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op7_token_counts": op7_token_counts,
     "op9_mixing": op9_mixing,
 }
 ORACLES = {

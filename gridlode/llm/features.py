@@ -14,12 +14,21 @@ ROWS = 64
 _SALT = np.random.default_rng(7).integers(1, 2**31, 8, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
 
+def code_points(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of all texts, end to end, and the row of each."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    return chars, np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
+
+
 def ngram_counts(texts: list[str | None], bits: int, orders=ORDERS) -> np.ndarray:
     """Counts of the hashed character n-grams of whole texts: a row per text, 2**bits columns."""
     texts = [t or "" for t in texts]
-    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
-    out = np.zeros(len(texts) << bits, np.int64)
+    return hashed_counts(*code_points(texts), len(texts), bits, orders)
+
+
+def hashed_counts(chars: np.ndarray, row: np.ndarray, rows: int, bits: int, orders=ORDERS) -> np.ndarray:
+    """Counts of the hashed n-grams of integers that belong to rows."""
+    out = np.zeros(rows << bits, np.int64)
     for n in orders:
         if len(chars) < n:
             continue
@@ -33,26 +42,26 @@ def ngram_counts(texts: list[str | None], bits: int, orders=ORDERS) -> np.ndarra
         if n > 1:  # no n-gram runs from one text into the next
             place = place[row[:m] == row[n - 1 :]]
         out += np.bincount(place, minlength=len(out))
-    return out.reshape(len(texts), 1 << bits)
+    return out.reshape(rows, 1 << bits)
 
 
-def document_frequencies(docs: DataFrame, bits: int, orders=ORDERS) -> np.ndarray:
-    """Number of documents that have each feature, then their number, over all rows of docs (text).
+def document_frequencies(docs: DataFrame, width: int, counts) -> np.ndarray:
+    """Number of documents that have each of `width` features, then their number, over all rows of docs (text).
 
-    Each task sums its own rows; at most 2**bits sums leave it.
+    counts: from texts to a matrix. Each task sums its own rows; at most `width` sums leave it.
     """
 
     def run(batches):
-        total, n = np.zeros(1 << bits, np.int64), 0
+        total, n = np.zeros(width, np.int64), 0
         for part in pieces(batches, most=1 << 18, rows=ROWS):
-            total += (ngram_counts(column(part, "text").to_pylist(), bits, orders) > 0).sum(axis=0)
+            total += (counts(column(part, "text").to_pylist()) > 0).sum(axis=0)
             n += len(part)
         if n:
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["feature", "n"])
 
     found = docs.select("text").mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()
-    out = np.zeros((1 << bits) + 1, np.int64)
+    out = np.zeros(width + 1, np.int64)
     for r in found:
         out[r["feature"]] = r["n"]
     return out

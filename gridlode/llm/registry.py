@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, token_counts
+from . import exact_dedup, mixing, near_dedup, quality, token_counts
 from .common import table
 
 
@@ -25,11 +26,17 @@ def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_quality(spark, sf_dir):
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return quality.quality(table(spark, sf_dir, "documents"), labels)
+
+
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op7_token_counts": op7_token_counts,
     "op9_mixing": op9_mixing,
+    "op10_quality": op10_quality,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,

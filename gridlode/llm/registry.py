@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_dedup, quality, token_counts
+from . import exact_dedup, language_id, mixing, near_dedup, quality, token_counts
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark, sf_dir):
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark, sf_dir):
     path = public_tokenizers.path("word_bpe_49k.json")
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, by_words=True)
@@ -34,6 +38,7 @@ def op10_quality(spark, sf_dir):
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, mixing, near_dedup, quality, token_counts
+from . import decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, token_counts
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op7_token_counts(spark, sf_dir):
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), path, by_words=True)
 
 
+def op8_decontaminate(spark, sf_dir):
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_mixing(spark, sf_dir):
     return mixing.mix_sources(table(spark, sf_dir, "documents"))
 
@@ -40,6 +44,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
+    "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
 }

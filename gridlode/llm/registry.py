@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, token_counts
+from . import decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, token_counts, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op5_warc(spark, sf_dir):
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark, sf_dir):
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def op10_quality(spark, sf_dir):
 QUERIES = {
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op5_warc": op5_warc,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,
     "op8_decontaminate": op8_decontaminate,
@@ -50,5 +55,6 @@ QUERIES = {
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
+    "op5_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
 }

@@ -88,91 +88,81 @@ class Joiner:
     def __init__(self):
         self.stream, self.out, self.raw = None, b"", b""
 
-    def push(self, piece: bytes) -> tuple[str, bytes]:
-        """What a piece led to: ('record', its bytes), ('none', b''), or ('orphan', the piece)."""
+    def push(self, piece: bytes) -> bytes | None:
+        """The record that a piece completes, if any. An unfinished member stays in raw, else raw is empty."""
         data = MAGIC + piece
-        if self.stream is not None:  # an unfinished member: the magic may be part of it
-            try:
-                return self._feed(data)
-            except zlib.error:
-                self.stream = None
+        if self.stream is not None:  # an unfinished member: this magic may be part of it
+            found = self._feed(data)
+            if found is not False:
+                return found
         if len(piece) < 7 or piece[0] & 0xE0:
-            return "orphan", data
+            self.stream, self.raw = None, b""
+            return None
         self.stream, self.out, self.raw = zlib.decompressobj(31), b"", b""
+        return self._feed(data) or None
+
+    def _feed(self, data: bytes) -> bytes | None | bool:
+        """False if data can't follow; else the record if it is complete, or None."""
         try:
-            found = self._feed(data)
+            self.out += self.stream.decompress(data)
         except zlib.error:
-            self.stream = None
-            return "orphan", data
-        seen = found[1] if found[0] == "record" else self.out
-        if seen and not b"WARC/".startswith(seen[:5]):
-            self.stream = None
-            return "orphan", data
-        return found
-
-    def _feed(self, data: bytes) -> tuple[str, bytes]:
-        self.out += self.stream.decompress(data)
+            self.out = b"no record"
+        if not b"WARC/".startswith(self.out[:5]):
+            self.stream, self.raw = None, b""
+            return False
         self.raw += data
         if not self.stream.eof:
-            return "none", b""
-        self.stream = None
-        return ("record", self.out) if self.out else ("none", b"")
+            return None
+        self.stream, self.raw = None, b""
+        return self.out or None
 
 
 def _scan(batches):
-    """Rows (file, start, piece) in the order of a range -> records, and at its ends the fragments of others."""
-    at, joiner, leading, seq = None, None, True, 0
-    names = ["kind", "file", "start", "seq", "raw"]
-
-    def rows(found):
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()))], names)
+    """Rows (file, start, piece) in the order of a range -> its records, and the fragments of others at its ends.
 
+    Fragments are all pieces before the first record of a range, and what an unfinished member has at its end.
+    """
+    at, joiner, seq, found_any = None, Joiner(), 0, False
+    names, kinds = ["kind", "file", "start", "seq", "raw"], (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
+    rows = lambda found: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), kinds)], names)
     for batch in batches:
         found = []
         for file, start, piece in zip(column(batch, "file").to_pylist(), column(batch, "start").to_pylist(), column(batch, "piece").to_pylist()):
             if (file, start) != at:
-                if joiner is not None and joiner.stream is not None:
-                    found.append(("open", *at, 1 << 60, joiner.raw))
-                at, joiner, leading, seq = (file, start), Joiner(), True, 0
+                if found_any and joiner.raw:
+                    found.append(("tail", *at, seq, joiner.raw))
+                at, joiner, seq, found_any = (file, start), Joiner(), 0, False
                 if start == 0:
                     continue  # what comes before the first magic
-            kind, raw = joiner.push(piece)
-            if kind == "record":
-                found.append(("record", file, start, seq, raw))
-            if kind != "orphan":
-                leading = False
-            elif leading:
-                found.append(("orphan", file, start, seq, raw))
+            record = joiner.push(piece)
+            if record:
+                found.append(("record", file, start, seq, record))
+                found_any = True
+            elif not found_any:
+                found.append(("head", file, start, seq, MAGIC + piece))
             seq += 1
         if found:
             yield rows(found)
-    if joiner is not None and joiner.stream is not None:
-        yield rows([("open", *at, 1 << 60, joiner.raw)])
+    if found_any and joiner.raw:
+        yield rows([("tail", *at, seq, joiner.raw)])
 
 
 def _rejoin(pdf: pd.DataFrame) -> pd.DataFrame:
     """The fragments of one file -> the records that ran past the end of a range."""
-    out, stream, data = [], None, b""
-    for kind, raw in pdf.sort_values(["start", "seq"])[["kind", "raw"]].itertuples(index=False):
-        if kind == "open":
-            stream = zlib.decompressobj(31)
-            data = stream.decompress(raw)
-        elif stream is not None:
-            try:
-                data += stream.decompress(raw)
-            except zlib.error:
-                stream = None
-                continue
-            if stream.eof:
-                out.append(data)
-                stream = None
+    joiner, out = Joiner(), []
+    for raw in pdf.sort_values(["start", "seq"])["raw"]:
+        record = joiner.push(raw[len(MAGIC) :])
+        if record:
+            out.append(record)
     return pd.DataFrame({"raw": out}, columns=["raw"])
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """raw: the uncompressed bytes of each record of the archives in path. Files named *.gz are split, too."""
+    """raw: the uncompressed bytes of each record of the archives in path.
+
+    Their names must not end in .gz: Spark would inflate such files whole, each in one task.
+    """
     source = spark.read.format("text").option("lineSep", MAGIC.decode("latin-1")).option("encoding", "ISO-8859-1")
-    source = source.option("io.compression.codecs", "org.apache.hadoop.io.compress.BZip2Codec")
     pieces_ = source.load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.col("value").cast("binary").alias("piece"))
     found = pieces_.mapInArrow(_scan, "kind string, file string, start long, seq long, raw binary")
     late = found.where("kind <> 'record'").groupBy("file").applyInPandas(_rejoin, "raw binary")

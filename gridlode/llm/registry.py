@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, near_dedup, quality, token_counts, warc
+from . import decontaminate, exact_dedup, language_id, mixing, near_dedup, pii, quality, token_counts, warc
 from .common import table
 
 
+def op1_pii(spark, sf_dir):
+    return pii.find_personal_data(table(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark, sf_dir):
     return near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85)
 
@@ -44,6 +48,7 @@ def op10_quality(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
     "op5_warc": op5_warc,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, mixing, near_dedup, pii, quality, token_counts, warc
+from . import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, quality, token_counts, warc
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_score(spark, sf_dir):
+    return lm_score.language_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark, sf_dir):
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_lm_score": op4_lm_score,
     "op5_warc": op5_warc,
     "op6_language_id": op6_language_id,
     "op7_token_counts": op7_token_counts,

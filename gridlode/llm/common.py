@@ -41,6 +41,18 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder as a table and read again.
+
+    For loops: a checkpoint keeps the size that Spark estimated for its plan, and joins multiply these estimates,
+    so that they grow without bound from round to round; a table has the size of its files.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, "table")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def first_only(df: DataFrame, columns: list[str]) -> DataFrame:
     """Only these columns of df, whatever else it has."""
     return df.select(*[F.col(f"`{c}`") for c in columns])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_counted
+from .common import checkpoint, join_counted, stored
 
 
 def _star(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = checkpoint(large)
         joined = _star(large)
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).union(large.groupBy("u").agg(F.min("v").alias("v")))
-        edges = checkpoint(small.where("u <> v").distinct())
+        edges = stored(small.where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).head()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

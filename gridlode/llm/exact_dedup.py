@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_counted, join_small
+from .common import checkpoint, join_counted, join_small, stored
 
 BLOCK_CHARS = 2048
 
@@ -64,7 +64,7 @@ def _name_blocks(docs: DataFrame, size: int, hashed) -> DataFrame:
 
 def identities(docs: DataFrame, size: int = BLOCK_CHARS, hashed=F.xxhash64) -> DataFrame:
     """_rid, doc_id, level, name: equal (level, name) if and only if equal texts."""
-    rows = checkpoint(_name_blocks(docs, size, hashed))
+    rows = stored(_name_blocks(docs, size, hashed))
     most = rows.agg(F.max("nb")).head()[0] or 1
     whole = lambda level: rows.where("nb = 1").select("_rid", "doc_id", F.lit(level).alias("level"), "name")
     done, level = whole(0), 0
@@ -77,7 +77,7 @@ def identities(docs: DataFrame, size: int = BLOCK_CHARS, hashed=F.xxhash64) -> D
         pairs = checkpoint(pairs)
         names = checkpoint(_numbered(pairs, ["l", "r"]))
         rows = join_counted(pairs, names, ["l", "r"]).select("_rid", "doc_id", F.expr("(nb + 1) div 2").cast("int").alias("nb"), "pos", "name")
-        rows = checkpoint(rows)
+        rows = stored(rows)
         done = done.unionByName(whole(level))
         most = (most + 1) // 2
     return done

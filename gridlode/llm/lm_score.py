@@ -197,7 +197,7 @@ def mixture_weights(bucket: np.ndarray, bins: np.ndarray, often: np.ndarray, rou
     for _ in range(rounds):
         part = bins * w[bucket]
         part *= (often / np.maximum(part.sum(axis=1), 1e-300))[:, None]
-        new = np.stack([np.bincount(bucket, part[:, k], minlength=64) for k in range(3)], axis=1)
+        new = np.stack([np.bincount(bucket, part[:, k], minlength=64) for k in range(3)], axis=1).astype(float)
         new += [[0.0 if b == 0 else 0.1, 0.5, 0.5] for b in range(64)]  # keeps every estimate possible
         w = new / new.sum(axis=1, keepdims=True)
     return w

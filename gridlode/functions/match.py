@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .geo import _c
@@ -50,3 +50,25 @@ def same_state(a, b) -> Column:
     """Whether one state text holds the other, or the other's first two letters."""
     a, b = F.upper(F.coalesce(_c(a), F.lit(""))), F.upper(F.coalesce(_c(b), F.lit("")))
     return F.contains(a, b) | F.contains(b, F.substring(a, 1, 2))
+
+
+def in_same_state(companies: DataFrame, facilities: DataFrame) -> DataFrame:
+    """Each company with each facility whose state text matches its own by same_state. Both have a column state.
+
+    The rule runs over the distinct states of both sides only; companies meet facilities by equi-joins through the
+    pairs of states found. A null state counts as the empty text.
+    """
+    plain = F.upper(F.coalesce("state", F.lit("")))
+    c, f = companies.withColumn("_c", plain).drop("state"), facilities.withColumn("_f", plain).drop("state")
+    pairs = c.select("_c").distinct().crossJoin(f.select("_f").distinct()).where(same_state("_c", "_f"))
+    return c.join(pairs, "_c").join(f, "_f").drop("_c", "_f")
+
+
+def best_facilities(companies: DataFrame, facilities: DataFrame, least: int = 25) -> DataFrame:
+    """id, fid and score of the best facility of each company in a matching state, if it has `least` points; ties take the least fid.
+
+    companies: id, company, site, state; facilities: fid, facility, city, state; names normalised.
+    """
+    scored = in_same_state(companies, facilities).withColumn("score", match_score("company", "site", "facility", "city"))
+    best = scored.groupBy("id").agg(F.min_by("fid", F.struct(-F.col("score"), "fid")).alias("fid"), F.max("score").cast("long").alias("score"))
+    return best.where(F.col("score") >= least)

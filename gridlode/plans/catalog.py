@@ -614,14 +614,24 @@ WORDS = lambda x: f"list_filter(string_split({x}, ' '), lambda w: length(w) > 2)
     + coalesce(list_sum(flatten(list_transform({WORDS('company')}, lambda a: list_transform({WORDS('facility')}, lambda b: case when a = b then 10 when contains(a, b) or contains(b, a) then 5 else 0 end)))), 0)
     + coalesce(list_sum(flatten(list_transform({WORDS('site')}, lambda a: list_transform({WORDS('city')}, lambda b: case when a = b then 15 else 0 end)))), 0) as score from c join f using (state))
   select id, arg_min(fid, struct_pack(a := -score, b := fid))::bigint as fid, max(score)::bigint as score from s group by id having max(score) >= 25""")
-def fuzzy_match(v):  # J13, F21, P26
+def fuzzy_match(v):  # J13, F21, P26; its states are equal or don't match
     text = lambda x: match.normalise_name(x)
     c = v.table("part").select(F.col("p_partkey").alias("id"), text("p_type").alias("company"), text(F.concat("p_brand", F.lit(" site"))).alias("site"), (F.col("p_partkey") % 10).cast("string").alias("state"))
     names = F.element_at(F.array(*map(F.lit, ("Economy Brass LLC", "Large Burnished Corp", "Promo Steel Co", "Standard Plated Inc"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
     f = v.table("supplier").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("fid"), text(names).alias("facility"), text(F.concat(F.lit("Brand#"), F.col("s_suppkey") % 30)).alias("city"), (F.col("s_suppkey") % 10).cast("string").alias("state"))
-    scored = c.join(f, "state").withColumn("score", match.match_score("company", "site", "facility", "city"))
-    best = scored.groupBy("id").agg(F.min_by("fid", F.struct(-F.col("score"), "fid")).alias("fid"), F.max("score").cast("long").alias("score"))
-    return best.where("score >= 25")
+    return match.best_facilities(c, f)
+
+
+@query(f"""with c as (select id, {NORMAL('company')} as company, {NORMAL('site')} as site, upper(coalesce(state, '')) as state from ethanol_owners),
+  f as (select fid, {NORMAL('facility')} as facility, {NORMAL('city')} as city, upper(coalesce(state, '')) as state from epa_sites),
+  s as (select id, fid, case when contains(company, facility) or contains(facility, company) then 50 else 0 end + case when contains(site, city) or contains(city, site) then 30 else 0 end
+    + coalesce(list_sum(flatten(list_transform({WORDS('company')}, lambda a: list_transform({WORDS('facility')}, lambda b: case when a = b then 10 when contains(a, b) or contains(b, a) then 5 else 0 end)))), 0)
+    + coalesce(list_sum(flatten(list_transform({WORDS('site')}, lambda a: list_transform({WORDS('city')}, lambda b: case when a = b then 15 else 0 end)))), 0) as score
+    from c join f on contains(c.state, f.state) or contains(f.state, substring(c.state, 1, 2)))
+  select id, arg_min(fid, struct_pack(a := -score, b := fid))::bigint as fid, max(score)::bigint as score from s group by id having max(score) >= 25""")
+def fuzzy_match_states(v):  # J13, F21, P26 over states written in different forms
+    plain = lambda *names: [match.normalise_name(n).alias(n) for n in names]
+    return match.best_facilities(v.ethanol_owners.select("id", *plain("company", "site"), "state"), v.epa_sites.select("fid", *plain("facility", "city"), "state"))
 
 
 @query("""select page_id, regexp_extract_all(html, '<a\\b[^>]*?href=["'']([^"'']*)["''][^>]*>([^<]*)', 1) as hrefs from html""")

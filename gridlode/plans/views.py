@@ -108,6 +108,24 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "case p_partkey % 5 when 0 then 'BSMT3' when 1 then 'BSMT1' when 2 then '' when 3 then 'BSMT9' else 'BSMT4' end as code",
         ],
     ),
+    "ethanol_owners": (
+        "part",
+        [
+            "p_partkey as id",
+            "p_type as company",
+            "p_brand || ' site' as site",
+            "case p_partkey % 9 when 0 then 'Nebraska' when 1 then 'NE' when 2 then 'Iowa' when 3 then 'IA' when 4 then 'Kansas' when 5 then 'Minnesota' when 6 then 'mn' when 7 then 'North Dakota' else 'South Dakota' end as state",
+        ],
+    ),
+    "epa_sites": (
+        "supplier",
+        [
+            "s_suppkey as fid",
+            "case s_suppkey % 4 when 0 then 'Economy Brass LLC' when 1 then 'Large Burnished Corp' when 2 then 'Promo Steel Co' else 'Standard Plated Inc' end as facility",
+            "'Brand#' || cast(s_suppkey % 30 as string) as city",
+            "case s_suppkey % 7 when 0 then 'NE' when 1 then 'NEBRASKA' when 2 then 'Iowa' when 3 then 'KS' when 4 then 'MINNESOTA' when 5 then 'NORTH DAKOTA' else 'Indiana' end as state",
+        ],
+    ),
     "sightings": ("events", ["user_id", "ts", "event_id", "event_type", "value"]),
     "html": ("pages", ["page_id", "url", "html"]),
 }

@@ -74,10 +74,15 @@ def lookup_box(v):  # P11, G31
 
 
 @query("select gid, floor(longitude / 0.5)::bigint as cx, floor(latitude / 0.5)::bigint as cy from geo_points where gid % 10 < 3")
-def floor_cells(v):  # G23, P23
+def floor_cells(v):  # G23 over the rows of its SQL; P23 is files.rows_between
     return v.geo_points.where("gid % 10 < 3").select("gid", geo.cell("longitude", 0.5).alias("cx"), geo.cell("latitude", 0.5).alias("cy"))
 
 
+@query("select gid, floor(longitude / 0.5)::bigint as cx, floor(latitude / 0.5)::bigint as cy from geo_points")
+def floor_cells_all(v):  # G23
+    return v.geo_points.select("gid", geo.cell("longitude", 0.5).alias("cx"), geo.cell("latitude", 0.5).alias("cy"))
+
+
 # projections and measures
 
 
@@ -421,13 +426,19 @@ def duplicate_flags(v):  # W3, W5
 
 
 @query("select parcel_id, acres from (select parcel_id, acres from parcels where parcel_id % 7 = 0)")
-def unnest_rows(v):  # K13
+def unnest_rows(v):  # K13 over the rows of its SQL
     from pyspark.sql import Window  # noqa: F401
 
     packed = v.parcels.where("parcel_id % 7 = 0").groupBy("sale_group").agg(F.collect_list(F.struct("parcel_id", "acres")).alias("s"))
     return upsert.unnest(packed.select(F.col("s.parcel_id").alias("parcel_id"), F.col("s.acres").alias("acres")), ["parcel_id", "acres"])
 
 
+@query("select parcel_id, acres from parcels")
+def unnest_rows_all(v):  # K13
+    packed = v.parcels.groupBy("sale_group").agg(F.collect_list(F.struct("parcel_id", "acres")).alias("s"))
+    return upsert.unnest(packed.select(F.col("s.parcel_id").alias("parcel_id"), F.col("s.acres").alias("acres")), ["parcel_id", "acres"])
+
+
 # layers and points: statistics
 
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, geo
+from ..llm.common import checkpoint
 
 GEOMETRY = "struct<type:string,coordinates:string>"
 
@@ -30,10 +33,21 @@ def skip_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
 
 
 def rows_between(rows: DataFrame, skip: int = 0, most: int | None = None, every: int = 1) -> DataFrame:
-    """rows after the first `skip`, every n-th, at most `most`: for resuming and sampling by position."""
-    numbered = rows.withColumn("_i", F.monotonically_increasing_id())
-    out = numbered.where((F.col("_i") >= skip) & ((F.col("_i") - skip) % every == 0)).drop("_i")
-    return out if most is None else out.limit(most)
+    """rows after the first `skip`, every n-th, at most `most`: for resuming and sampling by position.
+
+    Positions follow the order in which Spark deals the rows out: each partition's rows begin where the partition
+    before it ends. The rows are checkpointed, so that they are dealt out alike when counted and when numbered; the
+    driver sees one count per partition.
+    """
+    rows = checkpoint(rows)
+    counts = {r["p"]: r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
+    before = [0, *accumulate(counts.get(p, 0) for p in range(max(counts, default=0)))]
+    offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
+    # the id holds the partition above the lower 33 bits and the row's place in it below
+    i = F.monotonically_increasing_id()
+    numbered = rows.withColumn("_i", F.get(offsets, F.shiftright(i, 33).cast("int")) + i.bitwiseAND(F.lit((1 << 33) - 1)))
+    out = numbered.where((F.col("_i") >= skip) & ((F.col("_i") - skip) % every == 0))
+    return (out if most is None else out.where(F.col("_i") < skip + most * every)).drop("_i")
 
 
 def first_of(*names: str):

@@ -117,7 +117,7 @@ def facility_cards(html) -> Column:
     blocks = F.slice(F.split(_c(html), r"<div[^>]*class=[\"'][^\"']*\bui\b[^\"']*\bcard\b[^\"']*[\"'][^>]*>"), 2, 100_000)
 
     def read(block):
-        texts = F.filter(F.transform(F.split(F.regexp_replace(block, r"<[^>]*>", "\u0001"), "\u0001"), F.trim), lambda t: t != "")
+        texts = F.filter(F.transform(F.split(F.regexp_replace(block, r"<[^>]*>", "\u0001"), "\u0001"), lambda t: F.trim(t)), lambda t: t != "")
         href = F.get(F.filter(F.regexp_extract_all(block, F.lit(r"href=[\"']([^\"']*/usa/[^\"']*)[\"']"), 1), lambda h: ~h.rlike("/quote/|/request-quote")), F.lit(0))
         name = F.nullif(F.trim(F.regexp_extract(block, r"class=[\"'][^\"']*header[^\"']*[\"'][^>]*>([^<]*)", 1)), F.lit(""))
         return F.struct(name.alias("name"), F.get(texts, 1).alias("operator"), F.get(texts, 2).alias("street"), F.get(texts, 3).alias("postal_city"), href.alias("href"), F.size(texts).alias("n"))

@@ -8,12 +8,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import extract
+
 
 def first_per_key(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
     """The first row of each key by `order`."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+def flag_repeats(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
+    """rows with `duplicate`: whether a row before it by `order` has the same key, the lower-cased keys joined by '|'; null counts as empty."""
+    key = F.lower(F.concat_ws("|", *[F.coalesce(k, F.lit("")) for k in keys]))
+    return rows.withColumn("duplicate", F.row_number().over(Window.partitionBy(key).orderBy(*order)) > 1)
+
+
+def first_cards(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """key and the fields of the list cards of each page; of cards with one name and street the first on its page counts."""
+    cards = pages.select(key, F.posexplode(extract.facility_cards(html)).alias("_at", "c")).select(key, "_at", "c.name", "c.operator", "c.street", "c.postal_city", "c.href")
+    return first_per_key(cards, [key, "name", "street"], [F.col("_at")]).drop("_at")
+
+
 def keep_first(old: DataFrame, new: DataFrame, keys: list[str], order: list) -> DataFrame:
     """Insert, doing nothing on conflict: old rows stay, and new keys come with their first row. Null keys equal each other."""
     fresh = first_per_key(new, keys, order).alias("n")

@@ -418,13 +418,26 @@ def dedupe_by_sale_group(v):  # W4
 
 
 @query("select name, city, state, row_number() over (partition by lower(coalesce(city, '')), lower(state) order by internal_id) > 1 as duplicate, internal_id from datacenters")
-def duplicate_flags(v):  # W3, W5
+def duplicate_flags(v):  # repeats of a city and state by its SQL; W5 is duplicate_flags_named
     from pyspark.sql import Window
 
     w = Window.partitionBy(F.lower(F.coalesce("city", F.lit(""))), F.lower("state")).orderBy("internal_id")
     return v.datacenters.select("name", "city", "state", (F.row_number().over(w) > 1).alias("duplicate"), "internal_id")
 
 
+@query("select internal_id, name, city, state, row_number() over (partition by lower(coalesce(name, '') || '|' || coalesce(city, '') || '|' || coalesce(state, '')) order by internal_id) > 1 as duplicate from found_facilities")
+def duplicate_flags_named(v):  # W5
+    return upsert.flag_repeats(v.found_facilities.select("internal_id", "name", "city", "state"), ["name", "city", "state"], [F.col("internal_id")])
+
+
+@query("select page_id, name, operator, street from (select *, row_number() over (partition by page_id, name, street order by internal_id) as n from listed_cards) where n = 1")
+def card_dedupe(v):  # W3
+    text = F.concat(F.lit('<div class="ui card"><div class="header">'), "name", F.lit("</div><p>"), "operator", F.lit("</p><p>"), "street", F.lit("</p></div>"))
+    cards = F.array_sort(F.collect_list(F.struct("internal_id", text.alias("card"))))
+    pages = v.listed_cards.groupBy("page_id").agg(F.array_join(F.transform(cards, lambda c: c["card"]), "").alias("html"))
+    return upsert.first_cards(pages, "page_id").select("page_id", "name", "operator", "street")
+
+
 @query("select parcel_id, acres from (select parcel_id, acres from parcels where parcel_id % 7 = 0)")
 def unnest_rows(v):  # K13 over the rows of its SQL
     from pyspark.sql import Window  # noqa: F401

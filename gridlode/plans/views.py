@@ -108,6 +108,25 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "case p_partkey % 5 when 0 then 'BSMT3' when 1 then 'BSMT1' when 2 then '' when 3 then 'BSMT9' else 'BSMT4' end as code",
         ],
     ),
+    "found_facilities": (
+        "customer",
+        [
+            "c_custkey as internal_id",
+            "case when c_custkey % 2 = 0 then 'Site ' || cast(c_custkey % 20 as string) else 'SITE ' || cast(c_custkey % 6 as string) end as name",
+            "case when c_custkey % 9 = 0 then null else 'City ' || cast(c_custkey % 3 as string) end as city",
+            "case when c_custkey % 4 = 0 then '' else 'State ' || cast(c_custkey % 2 as string) end as state",
+        ],
+    ),
+    "listed_cards": (
+        "customer",
+        [
+            "c_custkey % 5 as page_id",
+            "c_custkey as internal_id",
+            "'Site ' || cast(c_custkey % 4 as string) as name",
+            "c_mktsegment || ' ' || cast(c_custkey as string) as operator",
+            "cast(c_custkey % 3 as string) || ' Main St' as street",
+        ],
+    ),
     "ethanol_owners": (
         "part",
         [

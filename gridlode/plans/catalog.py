@@ -395,8 +395,18 @@ def purge_unseen(v):  # K18
 
 @query("select latitude, longitude, depth_m, min(gid) as gid from geo_points group by 1, 2, 3")
 def ingest_keep_first(v):  # K3, K1, K27
-    p = v.geo_points.select("latitude", "longitude", "depth_m", "gid")
-    return upsert.keep_first(upsert.first_per_key(p.where("gid % 2 = 0"), ["latitude", "longitude", "depth_m"], [F.col("gid")]).where("1 = 0"), p, ["latitude", "longitude", "depth_m"], [F.col("gid")])
+    keys = ["latitude", "longitude", "depth_m"]
+    p = v.geo_points.select(*keys, "gid").crossJoin(F.broadcast(v.geo_points.agg((F.max("gid") / 2).alias("_half"))))
+    old = upsert.first_per_key(p.where("gid <= _half").drop("_half"), keys, [F.col("gid")])
+    return upsert.keep_first(old, p.where("gid > _half").drop("_half"), keys, [F.col("gid")])
+
+
+@query("""with p as (select floor(latitude / 5)::bigint as cy, floor(longitude / 5)::bigint as cx, depth_m, gid from geo_points)
+  select cy, cx, depth_m, coalesce(max(gid) filter (gid % 2 = 0), min(gid)) as gid from p group by 1, 2, 3""")
+def ingest_keep_old(v):  # K3 with new rows for most of the old keys
+    keys = ["cy", "cx", "depth_m"]
+    p = v.geo_points.select(geo.cell("latitude", 5.0).alias("cy"), geo.cell("longitude", 5.0).alias("cx"), "depth_m", "gid")
+    return upsert.keep_first(upsert.first_per_key(p.where("gid % 2 = 0"), keys, [F.desc("gid")]), p.where("gid % 2 = 1"), keys, [F.col("gid")])
 
 
 @query("select region, case when exists (select 1 from listings x where x.region = l.region and x.status = 'active') then 'new' else 'old' end as origin, max(sale_group) filter (status = 'active') as sale_group from listings l group by region")

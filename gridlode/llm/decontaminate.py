@@ -7,7 +7,7 @@ each whole text; around each hit Myers' bit-parallel algorithm computes the leas
 and any passage there.
 
 Items are broadcast in slices of at most SLICE_BYTES, each with a pass of its own over the documents; as many
-slices are taken as the table needs.
+slices are taken as the table needs, and the least distance over all of them counts.
 
 Defined results: null and empty texts have no hits; items with fewer than LEAST characters after normalising
 name no passage and match nothing; items with null ids are kept as such; of repeated items with one id, the least
@@ -114,27 +114,54 @@ class Matcher:
         return found
 
 
+def slices_of(items: DataFrame) -> list[DataFrame]:
+    """items (item_id, text), without repeated rows, in parts of at most SLICE_BYTES; one item, or several of one hash bucket, can be more.
+
+    Rows are dealt by a hash of id and text to buckets, on average 16 to a slice, whose sizes the driver adds up.
+    """
+    items = items.distinct()
+    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    if total < SLICE_BYTES:
+        return [items]
+    buckets = 16 * (total // SLICE_BYTES + 1)
+    items = items.withColumn("_b", F.pmod(F.xxhash64("item_id", "text"), F.lit(buckets)))
+    ends, held = [], 0
+    for r in items.groupBy("_b").agg(F.sum(F.octet_length("text")).alias("n")).orderBy("_b").collect():
+        if ends and held + r["n"] <= SLICE_BYTES:
+            ends[-1], held = (ends[-1][0], r["_b"]), held + r["n"]
+        else:
+            ends.append((r["_b"], r["_b"]))
+            held = r["n"]
+    return [items.where(F.col("_b").between(*e)).drop("_b") for e in ends]
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: str = "doc_id", rate: float = RATE) -> DataFrame:
     """A row for each document and benchmark item in it: keep, item_id, distance. benchmark: item_id, text."""
     spark = docs.sparkSession
     docs = docs.select(F.col(keep).cast("long").alias(keep), "text")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    slices = total // SLICE_BYTES + 1
-    schema, out = f"{keep} long, item_id long, distance int", None
-    for i in range(slices):
-        own = items.where(F.pmod(F.xxhash64("text"), F.lit(slices)) == i).collect()
-        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in own])
+    slices = slices_of(items)
+    ids = [keep]
+    if len(slices) > 1 and keep != "_rid":  # tells repeated documents apart when slices are put together
+        docs, ids = with_row_id(docs), ["_rid", keep]
+    names, out = [*ids, "item_id", "distance"], None
+    schema = ", ".join(f"{c} long" for c in names[:-1]) + ", distance int"
+    for part in slices:
+        shared = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
 
         def run(batches, shared=shared):
             matcher = Matcher(shared.value, rate)
+            kinds = pa.schema([(c, pa.int64()) for c in names[:-1]] + [("distance", pa.int32())])
             for batch in batches:
-                rows = [(d, k, n) for d, t in zip(column(batch, keep).to_pylist(), column(batch, "text").to_pylist()) for k, n in matcher.match(t).items()]
-                yield pa.RecordBatch.from_pylist([{keep: d, "item_id": k, "distance": n} for d, k, n in rows], pa.schema([(keep, pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32())]))
-
-        part = docs.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
+                keys = zip(*(column(batch, c).to_pylist() for c in ids))
+                rows = [dict(zip(names, (*d, k, n))) for d, t in zip(keys, column(batch, "text").to_pylist()) for k, n in matcher.match(t).items()]
+                yield pa.RecordBatch.from_pylist(rows, kinds)
+
+        found = docs.mapInArrow(run, schema)
+        out = found if out is None else out.unionByName(found)
+    if len(slices) > 1:  # an item's texts can be in several slices
+        out = out.groupBy(*ids, "item_id").agg(F.min("distance").alias("distance"))
+    return out.select(keep, "item_id", "distance")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:

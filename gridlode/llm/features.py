@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import column, pieces
@@ -78,14 +78,25 @@ def tfidf(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
 
 
-def bounded_sample(rows: DataFrame, label: str, most: int) -> DataFrame:
-    """At most `most` rows of (doc_id, text, label), by a hash of doc_id: the same ones at each run.
+def bounded_sample(rows: DataFrame, label: str, most: int, each: int = 0) -> DataFrame:
+    """At most `most` of the (doc_id, label) of rows, by a hash of doc_id: the same ones at each run; one row (doc_id, text, label) of each.
 
-    The ids are drawn first, without their texts; a hash threshold near the wanted share keeps what is ordered small.
+    each: besides, up to so many of every label, by the same hash, so that no rare label is missing. Of repeated rows
+    the least text counts. The ids are drawn first, without their texts; a hash threshold near the wanted share keeps
+    what is ordered small.
     """
-    total = rows.count()
-    share = min(1.0, 1.3 * most / max(total, 1) + 200 / max(total, 1))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
-    ids = rows.select("doc_id", label).where(drawn < int(share * (1 << 30)) + 1).distinct()
-    ids = ids.withColumn("_d", drawn).orderBy("_d", "doc_id", label).limit(most).drop("_d")
-    return rows.join(F.broadcast(ids), ["doc_id", label], "left_semi")
+
+    def least(wanted, total):
+        return (F.least(F.lit(1.0), (1.3 * wanted + 200) / F.greatest(total, F.lit(1))) * (1 << 30)).cast("long") + 1
+
+    ids = rows.select("doc_id", label, drawn.alias("_d"))
+    distinct = F.approx_count_distinct(F.xxhash64("doc_id", label), 0.02)  # the threshold leaves 30 % of room
+    picked = ids.where(F.col("_d") < least(most, F.lit(ids.agg(distinct).head()[0]))).distinct().orderBy("_d", "doc_id", label).limit(most)
+    if each:
+        sizes = ids.groupBy(label).agg(distinct.alias("_n"))
+        near = ids.join(F.broadcast(sizes), label).where(F.col("_d") < least(each, F.col("_n"))).select(*ids.columns).distinct()
+        first = near.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy("_d", "doc_id"))).where(F.col("_k") <= each)
+        picked = picked.unionByName(first.drop("_k")).distinct()
+    found = rows.join(F.broadcast(picked.drop("_d")), ["doc_id", label], "left_semi")
+    return found.groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", label)

@@ -26,6 +26,8 @@ from .quality import held_out
 BITS = 14
 #: The bound on the labelled rows that the classifier is fitted on.
 SAMPLE = 6000
+#: So many labelled rows of each language are drawn besides, if it has them.
+EACH = 100
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
 LETTER = re.compile(r"[^\W\d_]")
@@ -91,9 +93,8 @@ def fit(docs: DataFrame, label: str = "lang") -> tuple:
                 ["doc_id", "label", "at", "x"],
             )
 
-    found = bounded_sample(labelled, "label", SAMPLE).mapInArrow(sparse, "doc_id long, label string, at binary, x binary").toArrow().to_pylist()
+    found = bounded_sample(labelled, "label", SAMPLE, EACH).mapInArrow(sparse, "doc_id long, label string, at binary, x binary").toArrow().to_pylist()
     found.sort(key=lambda r: (r["doc_id"], r["label"], r["at"]))
-    found = found[: 2 * SAMPLE]  # repeated rows of a drawn id
     kinds = sorted({r["label"] for r in found})
     if not kinds:
         return [], idf, None, 1.0

@@ -120,7 +120,6 @@ def fit(docs: DataFrame, labels: DataFrame) -> Voter:
 
     rows = sample.mapInArrow(counted, "doc_id long, label int, at binary, n binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["doc_id"], r["label"], r["at"], r["n"]))
-    rows = rows[: 2 * SAMPLE]  # repeated rows of a drawn id
     counts = np.zeros((len(rows), WIDTH), np.float32)
     for c, r in zip(counts, rows):
         c[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int32)

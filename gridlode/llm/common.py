@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A key is hot when it holds at least one row in so many; so there are at most so many hot keys.
@@ -13,30 +14,41 @@ HOT_KEYS = 1000
 
 WS = r"\x09-\x0D\x20"
 
+#: Bits of a row number that are the place in its file.
+ROW_BITS = 40
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (tests) a new local one."""
+    """The folder that all executors share: spark.checkpoint.dir; where it is unset, a new local one, on a local master only."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = sc.getCheckpointDir()
-        where = where.rpartition("/")[0] if where else "file://" + tempfile.mkdtemp(prefix="gridlode-")
+        where = where.rpartition("/")[0] if where else None
+    if not where:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="gridlode-")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where)
     return where
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses."""
+    """A path in the shared folder that no other run uses. What is written there stays until the folder is emptied."""
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder, without its lineage. Spark's cleaner removes the files."""
+    """df, written to the shared folder, without its lineage.
+
+    The files stay until the folder is emptied, or go with the last use of df where
+    spark.cleaner.referenceTracking.cleanCheckpoints is on.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint()
 
@@ -53,9 +65,44 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def first_only(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Only these columns of df, whatever else it has."""
-    return df.select(*[F.col(f"`{c}`") for c in columns])
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores, so that df has no column that is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def _file_place(docs: DataFrame):
+    """Columns for the file of a row and its place in it, if docs is a plain reading of Parquet files, else None."""
+    try:
+        meta = docs.metadataColumn("_metadata")
+        found = meta["file_path"].alias("_file"), meta["row_index"].alias("_index")
+        docs.select(*found).schema
+        return found
+    except AnalysisException:
+        return None
+
+
+def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
+    """docs plus a long per row, the same at each reading, whatever executors come or go; a column of that name is replaced.
+
+    Rows read from Parquet files are numbered by file and place in it: numbers that follow the order in which a reading
+    happens to deal out the files (monotonically_increasing_id) change with the number of cores. Other tables are
+    written to the shared folder with their numbers, and only that copy is read.
+    """
+    docs = docs.drop(name)
+    place = _file_place(docs)
+    if place is None:
+        return stored(docs.withColumn(name, F.monotonically_increasing_id()))
+    path, index = free_name(docs, "_file"), free_name(docs, "_index")
+    files = docs.select(place[0]).distinct()
+    # one row per file, never per document
+    files = checkpoint(files.select(F.col("_file").alias(path), (F.row_number().over(Window.orderBy("_file")) - 1).cast("long").alias("_number")))
+    number = free_name(docs, "_number")
+    located = docs.select("*", place[0].alias(path), place[1].alias(index))
+    located = join_small(located, files.withColumnRenamed("_number", number), [path])
+    return located.withColumn(name, F.shiftleft(F.col(number), ROW_BITS) + F.col(index)).drop(path, index, number)
 
 
 def join_counted(rows: DataFrame, values: DataFrame, keys: list[str], n: str = "n", total: int | None = None) -> DataFrame:
@@ -82,3 +129,11 @@ def join_small(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "
     """rows joined with values of few columns: by broadcast if values are counted to be few, else by a shuffle."""
     few = values.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
     return rows.join(F.broadcast(values) if few else values, keys, how)
+
+
+def without(docs: DataFrame, found) -> DataFrame:
+    """docs without some rows, all columns kept. found: from a frame of _rid, doc_id, text to the _rid of rows that go."""
+    rid = free_name(docs, "_rid")
+    numbered = with_row_id(docs, rid)
+    gone = checkpoint(found(numbered.select(F.col(rid).alias("_rid"), "doc_id", "text")).select(F.col("_rid").alias(rid)))
+    return join_small(numbered, gone, [rid], "left_anti").drop(rid)

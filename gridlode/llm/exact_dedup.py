@@ -19,16 +19,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_counted, join_small, stored
+from .common import checkpoint, join_counted, join_small, stored, with_row_id, without
 
 BLOCK_CHARS = 2048
 
 
-def with_row_id(docs: DataFrame) -> DataFrame:
-    """docs plus _rid, a number per row that is the same at each reading of the same files or checkpoint."""
-    return docs.withColumn("_rid", F.monotonically_increasing_id())
-
-
 def _blocks(docs: DataFrame, size: int) -> DataFrame:
     """docs: _rid, doc_id, text -> _rid, doc_id, nb, pos, block."""
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -94,16 +89,14 @@ def exact_groups(docs: DataFrame, size: int = BLOCK_CHARS, hashed=F.xxhash64) ->
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    docs = with_row_id(docs)
+    docs = with_row_id(docs.select("doc_id", "text"))
     sha = docs.select("_rid", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("text_sha256"))
     return exact_groups(docs).join(sha, "_rid").select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """docs without the rows whose text another row keeps."""
-    numbered = with_row_id(docs)
-    gone = exact_groups(numbered).where(~F.col("kept")).select("_rid")
-    return join_small(numbered, checkpoint(gone), ["_rid"], "left_anti").drop("_rid")
+    return without(docs, lambda rows: exact_groups(rows).where(~F.col("kept")))
 
 
 ORACLE = """

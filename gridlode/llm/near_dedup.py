@@ -26,9 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_counted, join_small
+from .common import checkpoint, join_counted, with_row_id, without
 from .components import components
-from .exact_dedup import with_row_id
 from .hashing import U, column, hash_runs, hash_sequence, hash_words, mix, pieces, text_bytes, word_bounds
 
 WORDS = 5
@@ -267,11 +266,9 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataF
 
 def near_dedup(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
-    return near_groups(with_row_id(docs), percent, words).drop("_rid")
+    return near_groups(with_row_id(docs.select("doc_id", "text")), percent, words).drop("_rid")
 
 
 def drop_near(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataFrame:
     """docs with one row of each group of near duplicates."""
-    numbered = with_row_id(docs)
-    gone = near_groups(numbered, percent, words).where(~F.col("kept")).select("_rid")
-    return join_small(numbered, checkpoint(gone), ["_rid"], "left_anti").drop("_rid")
+    return without(docs, lambda rows: near_groups(rows, percent, words).where(~F.col("kept")))

@@ -21,8 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_small
-from .exact_dedup import with_row_id
+from .common import checkpoint, without
 from .features import ROWS, bounded_sample, code_points, document_frequencies, hashed_counts, idf_of, tfidf
 from .hashing import column, pieces
 
@@ -152,8 +151,5 @@ def quality(docs: DataFrame, labels: DataFrame, folds: int = 5, fold: int = 0) -
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the classifier rejects; the scores of other rows are never written."""
-    numbered = with_row_id(docs)
     model = fit(docs.select("doc_id", "text"), labels)
-    rated = checkpoint(score(numbered, model, ["_rid"]))
-    gone = rated.where(F.col("score") < CUT).select("_rid")
-    return join_small(numbered, gone, ["_rid"], "left_anti").drop("_rid")
+    return without(docs, lambda rows: score(rows, model, ["_rid"]).where(F.col("score") < CUT))

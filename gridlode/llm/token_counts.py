@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WS, checkpoint, fresh_path, join_counted
-from .exact_dedup import with_row_id
+from .common import WS, checkpoint, fresh_path, join_counted, with_row_id
 from .hashing import column, pieces
 
 LIMIT = 2048
@@ -79,7 +78,7 @@ def count_tokens(docs: DataFrame, path: str, by_words: bool = False, limit: int
 
     text = F.coalesce(F.col("text"), F.lit(""))
     content = F.regexp_replace(text, f"[{WS}]+", " ") if by_words else text
-    numbered = with_row_id(docs)
+    numbered = with_row_id(docs.select("doc_id", "text"))
     rows = numbered.select("_rid", "doc_id", F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest"))
     rows = checkpoint(rows)
     each = checkpoint(rows.groupBy("digest").agg(F.min("_rid").alias("_rid"), F.count("*").alias("n")))

@@ -25,8 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpoint, fresh_path, join_counted, join_small
-from .exact_dedup import with_row_id
+from .common import checkpoint, fresh_path, join_counted, join_small, with_row_id
 from .hashing import column, pieces
 
 LEAST = 100

@@ -70,7 +70,7 @@ def test_exact_dedup(spark, rows, docs, empty):
     for r in rows:
         want[r[1] or ""].append(r[0])
     for size, hashed in ((2048, F.xxhash64), (16, F.xxhash64), (16, lambda c: F.pmod(F.xxhash64(c), F.lit(5)))):  # the last one collides
-        out = exact_dedup.exact_groups(exact_dedup.with_row_id(docs), size, hashed).collect()
+        out = exact_dedup.exact_groups(common.with_row_id(docs), size, hashed).collect()
         by = {(r["doc_id"]): r for r in out if r["doc_id"] is not None}
         for text, ids in want.items():
             real = [i for i in ids if i is not None]

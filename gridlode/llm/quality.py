@@ -58,12 +58,37 @@ def features_of(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return np.hstack([tfidf(counts[:, :CHARS], idf[:CHARS]), tfidf(counts[:, own], idf[own]), repeats])
 
 
-def latent_space(x: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
+class SparseRows:
+    """The non-zero numbers of a matrix, row by row; it is made dense a block of rows at a time."""
+
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
+        self.rows, self.width = rows, width
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> SparseRows:
+        return cls([(at, row[at]) for row in x for at in [np.flatnonzero(row)]], x.shape[1])
+
+    def blocks(self, size: int = 256):
+        for lo in range(0, len(self.rows), size):
+            part = self.rows[lo : lo + size]
+            out = np.zeros((len(part), self.width), np.float32)
+            for dense, (at, x) in zip(out, part):
+                dense[at] = x
+            yield out
+
+    def times(self, q: np.ndarray) -> np.ndarray:
+        return np.concatenate([b @ q for b in self.blocks()])
+
+
+def latent_space(x: SparseRows, rank: int, rounds: int = 6) -> np.ndarray:
     """Leading right singular vectors of x, as columns."""
-    rank = min(rank, *x.shape)
-    q = np.linalg.qr(np.random.default_rng(1).standard_normal((x.shape[1], rank)).astype(np.float32))[0]
+    rank = min(rank, len(x.rows), x.width)
+    q = np.linalg.qr(np.random.default_rng(1).standard_normal((x.width, rank)).astype(np.float32))[0]
     for _ in range(rounds):
-        q = np.linalg.qr(x.T @ (x @ q))[0]
+        product = np.zeros(q.shape, np.float32)
+        for b in x.blocks():
+            product += b.T @ (b @ q)
+        q = np.linalg.qr(product)[0]
     return q
 
 
@@ -78,10 +103,9 @@ class Voter:
         self.idf, self.space, self.vectors, self.labels = idf, space, vectors, labels
 
     @classmethod
-    def fit(cls, counts: np.ndarray, labels: np.ndarray, idf: np.ndarray) -> Voter:
-        x = features_of(counts, idf)
+    def fit(cls, x: SparseRows, labels: np.ndarray, idf: np.ndarray) -> Voter:
         space = latent_space(x, LATENT)
-        return cls(idf, space, _unit(x @ space), labels.astype(np.float32))
+        return cls(idf, space, _unit(x.times(space)), labels.astype(np.float32))
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not len(self.labels):
@@ -108,21 +132,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Voter:
     idf = idf_of(document_frequencies(docs, WIDTH, counts_of))
     sample = bounded_sample(labelled, "label", SAMPLE)
 
-    def counted(batches):
+    def weighed(batches):
         for part in pieces(batches, most=1 << 18, rows=ROWS):
-            counts = counts_of(column(part, "text").to_pylist())
-            sparse = [np.flatnonzero(c) for c in counts]
+            sparse = SparseRows.of(features_of(counts_of(column(part, "text").to_pylist()), idf)).rows
             yield pa.RecordBatch.from_arrays(
-                [column(part, "doc_id"), column(part, "label").cast(pa.int32()), pa.array([s.astype(np.int32).tobytes() for s in sparse], pa.binary()), pa.array([c[s].astype(np.int32).tobytes() for c, s in zip(counts, sparse)], pa.binary())],
-                ["doc_id", "label", "at", "n"],
+                [column(part, "doc_id"), column(part, "label").cast(pa.int32()), pa.array([at.astype(np.int16).tobytes() for at, _ in sparse], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in sparse], pa.binary())],
+                ["doc_id", "label", "at", "x"],
             )
 
-    rows = sample.mapInArrow(counted, "doc_id long, label int, at binary, n binary").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["doc_id"], r["label"], r["at"], r["n"]))
-    counts = np.zeros((len(rows), WIDTH), np.float32)
-    for c, r in zip(counts, rows):
-        c[np.frombuffer(r["at"], np.int32)] = np.frombuffer(r["n"], np.int32)
-    return Voter.fit(counts, np.array([r["label"] for r in rows], np.float32), idf) if rows else Voter(idf, None, None, np.zeros(0, np.float32))
+    found = sample.mapInArrow(weighed, "doc_id long, label int, at binary, x binary").toArrow()
+    if not len(found):
+        return Voter(idf, None, None, np.zeros(0, np.float32))
+    ids, label = (found.column(c).to_numpy() for c in ("doc_id", "label"))
+    order = np.lexsort((label, ids))
+    numbers = lambda c, i, kind: np.frombuffer(found.column(c)[i].as_buffer(), kind)
+    rows = [(numbers("at", i, np.int16), numbers("x", i, np.float32)) for i in order]
+    return Voter.fit(SparseRows(rows, WIDTH), label[order], idf)
 
 
 def score(docs: DataFrame, model: Voter, keep: list[str]) -> DataFrame:

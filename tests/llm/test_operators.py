@@ -509,10 +509,13 @@ def test_quality(spark, empty):
 def test_voting_is_exact():
     r = np.random.default_rng(2)
     texts = ["".join(map(chr, r.integers(97, 105, 80))) for _ in range(60)]
-    counts = quality.counts_of(texts)
     idf = np.ones(quality.WIDTH, np.float32)
     labels = (np.arange(60) % 3 > 0).astype(np.float32)
-    v = quality.Voter.fit(counts.astype(np.float32), labels, idf)
+    x = quality.features_of(quality.counts_of(texts), idf)
+    v = quality.Voter.fit(quality.SparseRows.of(x), labels, idf)
+    # the leading singular vectors of the plain matrix span the same space
+    plain = np.linalg.svd(x, full_matrices=False)[2][: v.space.shape[1]]
+    assert np.abs(np.linalg.svd(plain[:5] @ v.space)[1] - 1).max() < 1e-2
     z = quality.features_of(quality.counts_of(texts[:5]), idf) @ v.space
     z /= np.linalg.norm(z, axis=1, keepdims=True)
     for row, s in zip(z, v.score(texts[:5])):

@@ -39,12 +39,12 @@ def optimal_sites(ethanol: DataFrame, emitters: DataFrame, mesh: DataFrame, top:
 
     Of equal scores ethanol plants come first, then by site; of emitters the 500 largest take part.
     """
-    parts = []
+    parts, pyramid = [], spatial.mesh_pyramid(mesh)
     for seq, (name, rows, full) in enumerate((("ethanol", ethanol, ETHANOL_FULL), ("emitter", emitters, EMITTER_FULL))):
         rows = rows.where("emissions > 0").select("site", "name", "lon", "lat", "emissions")
         if name == "emitter":
             rows = rows.orderBy(F.desc("emissions"), "site").limit(TOP_EMITTERS)
-        scored = score_sites(rows, spatial.temperature_at(rows, mesh, "site"), "site", full)
+        scored = score_sites(rows, spatial.temperature_at(rows, pyramid, "site"), "site", full)
         parts.append(scored.withColumn("source_type", F.lit(name)).withColumn("seq", F.lit(seq)))
     order = [F.desc("combined_score"), F.asc("seq"), F.desc("emissions"), F.asc("site")]
     best = parts[0].unionByName(parts[1], allowMissingColumns=True).orderBy(*order).limit(top)

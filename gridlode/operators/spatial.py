@@ -1,4 +1,4 @@
-"""Spatial joins as equi-joins on cells, then exact refinement. No side is broadcast unless it is a fixed small list."""
+"""Spatial joins as equi-joins on cells, then exact refinement. No side is broadcast unless it is a fixed small list or counted to be small."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .shared import small, stored
 
 # The sections of the country as (west, south, east, north).
 SECTIONS = {
@@ -84,26 +85,74 @@ def within_radius(probes: DataFrame, points: DataFrame, key: str, km: float = 50
     return probes.join(met.groupBy(key).agg(best.alias("b")), key, "left").select(key, "b.*")
 
 
-def temperature_at(sites: DataFrame, mesh: DataFrame, key: str, miles: float = 5.0, rings: int = 6) -> DataFrame:
-    """Mesh values at sites (key, lon, lat): of the hexagon that holds the site, else of the nearest centre with data.
+#: Sizes of the cells of a pyramid in degrees, each a quarter of the one above.
+STEPS = (64.0, 16.0, 4.0, 1.0, 0.25)
 
-    Sites without a hexagon of their own look in cells of growing size, each time those still without a neighbour;
-    the last size holds the whole map in a few cells, so every site finds one if the mesh has data.
+
+class Pyramid:
+    """Points (lon, lat, values) by occupied cells of growing size, to find nearest points without meeting far ones.
+
+    A level has a row per occupied cell: its cell, the cell above it, and the box around its points. Levels are as large as the
+    area that the points cover, not as their number: 64,800 cells of one degree at most for valid coordinates. The points and all levels are written
+    once to the shared folder.
     """
-    data = mesh.where(F.col("avg_temperature_f").isNotNull()).select("hex_q", "hex_r", "avg_temperature_f", "point_count")
-    keyed = with_hex(sites.select(key, "lon", "lat"), "lon", "lat", miles)
-    held = keyed.join(data, ["hex_q", "hex_r"], "left").select(key, "lon", "lat", "avg_temperature_f", "point_count", F.when(F.col("avg_temperature_f").isNotNull(), 0).alias("miles"))
-    found, open_ = held.where(F.col("miles").isNotNull()), held.where(F.col("miles").isNull()).select(key, "lon", "lat")
-    clon, clat = geo.hex_centre("hex_q", "hex_r", miles)
-    centres = data.withColumn("_clon", clon).withColumn("_clat", clat)
-    # a neighbour nearer than the step is certain to be in the 3 x 3 cells; in the last round any counts
-    for i in range(rings):
-        step = 0.25 * 4**i
-        near = nearest_in_cells(open_, centres, key, "lon", "lat", "_clon", "_clat", ["avg_temperature_f", "point_count", "hex_q", "hex_r"], step, "hex_q")
-        sure = F.col("distance") <= step if i < rings - 1 else F.col("distance").isNotNull()
-        done = near.where(sure).select(key, "lon", "lat", "avg_temperature_f", "point_count", geo.degrees_to_miles(F.col("distance")).cast("int").alias("miles"))
-        found, open_ = found.unionByName(done), near.where(~F.coalesce(sure, F.lit(False))).select(key, "lon", "lat")
-    return found.unionByName(open_.selectExpr(key, "lon", "lat", "cast(null as double) avg_temperature_f", "cast(null as long) point_count", "cast(null as int) miles"))
+
+    def __init__(self, points: DataFrame, lon: str, lat: str, values: list[str]):
+        self.values = values
+        keys = lambda x, y, step: (geo.cell(x, step).alias("x"), geo.cell(y, step).alias("y"))
+        points = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+        self.points = stored(points.select(*keys(lon, lat, STEPS[-1]), F.col(lon).alias("_lon"), F.col(lat).alias("_lat"), *values))
+        box = [F.min("_lon").alias("w"), F.min("_lat").alias("s"), F.max("_lon").alias("e"), F.max("_lat").alias("n")]
+        level, levels = stored(self.points.groupBy("x", "y").agg(*box)), []
+        merged = [F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n")]
+        for i in range(len(STEPS)):
+            up = [F.lit(0).cast("long") if i == len(STEPS) - 1 else F.shiftright(c, 2) for c in ("x", "y")]
+            levels.append(level.select(up[0].alias("px"), up[1].alias("py"), "x", "y", "w", "s", "e", "n"))
+            if i < len(STEPS) - 1:
+                level = stored(level.groupBy(up[0].alias("x"), up[1].alias("y")).agg(*merged))
+        self.levels = [small(x) for x in reversed(levels)]
+
+    def nearest(self, sites: DataFrame, key: str, tie: list[str]) -> DataFrame:
+        """key, values and distance in degrees of the point nearest to each site (key, lon, lat); ties by the columns `tie`.
+
+        A site goes down the levels and keeps the cells that can hold its nearest point: those whose box is not further away
+        than the far end of the closest one. All steps keep the partitioning by site.
+        """
+        at = sites.where("lon is not null and lat is not null").repartition(key).select(key, "lon", "lat", F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"))
+        gap = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0))
+        span = lambda p, lo, hi: F.greatest(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(p) - F.col(hi)))
+        length = lambda a, b: F.sqrt(a * a + b * b)
+        for level in self.levels:
+            met = at.join(level, ["px", "py"])
+            far = length(span("lon", "w", "e"), span("lat", "s", "n")) * (1 + 1e-9) + 1e-9
+            cells = F.collect_list(F.struct(length(gap("lon", "w", "e"), gap("lat", "s", "n")).alias("near"), far.alias("far"), "x", "y"))
+            met = met.groupBy(key, "lon", "lat").agg(cells.alias("c"))
+            close = F.filter("c", lambda c: c["near"] <= F.array_min(F.transform("c", lambda d: d["far"])))
+            at = met.select(key, "lon", "lat", F.explode(close).alias("c")).select(key, "lon", "lat", F.col("c.x").alias("px"), F.col("c.y").alias("py"))
+        met = at.join(self.points, (F.col("px") == F.col("x")) & (F.col("py") == F.col("y")))
+        met = met.withColumn("distance", geo.degree_distance("lon", "lat", "_lon", "_lat"))
+        best = F.min_by(F.struct(*self.values, "distance"), F.struct("distance", *tie))
+        return met.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+
+
+def mesh_pyramid(mesh: DataFrame, miles: float = 5.0) -> Pyramid:
+    """The centres of the hexagons that have a temperature."""
+    data = mesh.where(F.col("avg_temperature_f").isNotNull())
+    lon, lat = geo.hex_centre("hex_q", "hex_r", miles)
+    return Pyramid(data.withColumn("_clon", lon).withColumn("_clat", lat), "_clon", "_clat", ["hex_q", "hex_r", "avg_temperature_f", "point_count"])
+
+
+def temperature_at(sites: DataFrame, mesh: DataFrame | Pyramid, key: str, miles: float = 5.0) -> DataFrame:
+    """Mesh values at sites (key, lon, lat; keys are unique): of the hexagon that holds the site, else of the nearest centre with data."""
+    pyramid = mesh if isinstance(mesh, Pyramid) else mesh_pyramid(mesh, miles)
+    data = pyramid.points.select("hex_q", "hex_r", "avg_temperature_f", "point_count")
+    sites = sites.select(key, "lon", "lat")
+    held = stored(with_hex(sites, "lon", "lat", miles).join(data, ["hex_q", "hex_r"], "left").select(key, "lon", "lat", "avg_temperature_f", "point_count"))
+    inside = held.where(F.col("avg_temperature_f").isNotNull()).withColumn("miles", F.lit(0))
+    rest = held.where(F.col("avg_temperature_f").isNull()).select(key, "lon", "lat")
+    near = pyramid.nearest(rest, key, ["hex_q", "hex_r"])
+    near = near.select(key, "avg_temperature_f", "point_count", geo.degrees_to_miles(F.col("distance")).cast("int").alias("miles"))
+    return inside.unionByName(rest.join(near, key, "left"))
 
 
 def drop_ocean(cells: DataFrame) -> DataFrame:

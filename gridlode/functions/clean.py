@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .geo import _c, in_us, round_half_up
 
+# Numbers that mean missing.
 SENTINELS = (-9999.0, -99999.0, -999999.0)
 
 # Header words of each field, in the order in which they are tried.
@@ -106,6 +107,8 @@ def _steps(x: Column, steps, last: str) -> Column:
 
 
 # Classes and colours.
+LINE_COLOURS = ((69, "#4CAF50"), (138, "#FF9800"), (230, "#2196F3"), (345, "#9C27B0"), (500, "#F44336"))
+LINE_WIDTHS = {3: ((69, 0.5), (138, 0.8), (230, 1.0), (345, 1.2), (500, 1.5), (None, 2.0)), 8: ((69, 1.0), (138, 1.5), (230, 2.0), (345, 2.5), (500, 3.0), (None, 3.5))}
 VOLTAGE_CLASSES = ((69, "Distribution"), (138, "Sub-transmission"), (230, "Regional Transmission"), (345, "High Voltage Transmission"), (500, "Extra High Voltage"))
 EGS_CO2_F, EGS_WATER_F = 302.0, 392.0
 SECTORS = (
@@ -139,6 +142,20 @@ def voltage_class(kv) -> Column:
     return F.when(k.isNull() | (k == 0), "Unknown").otherwise(_steps(k, VOLTAGE_CLASSES, "Ultra High Voltage"))
 
 
+def line_colour(kv) -> Column:
+    """Grey without a voltage, else by the first limit that it is below, black beyond all."""
+    return F.when(_c(kv).isNull(), "#999999").otherwise(_steps(_c(kv), LINE_COLOURS, "#000000"))
+
+
+def line_width(kv, zoom: float) -> Column:
+    """Width by voltage, linear between the widths at two zooms; without a voltage as the lowest class."""
+    k = F.coalesce(_c(kv), F.lit(0.0))
+    (z0, low), (z1, high) = LINE_WIDTHS.items()
+    at = lambda steps: _steps(k, [(limit, F.lit(w)) for limit, w in steps[:-1]], F.lit(steps[-1][1]))
+    share = min(1.0, max(0.0, (zoom - z0) / (z1 - z0)))
+    return at(low) + (at(high) - at(low)) * share
+
+
 def egs_zone(t) -> Column:
     """Which working fluids a temperature in Fahrenheit allows."""
     return F.when(_c(t).isNull(), None).otherwise(_steps(_c(t), ((EGS_CO2_F, "none"), (EGS_WATER_F, "co2")), "both"))

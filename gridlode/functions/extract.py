@@ -31,6 +31,7 @@ def is_sponsor_link(url) -> Column:
 
 def parse_address(address) -> Column:
     """struct<city, state, postal_code>: 'City, ST 12345', else 'City, State 12345', else what stands alone."""
+    # The forms of an address.
     zip_code = r"([0-9]{5}(?:-[0-9]{4})?)"
     short, named = rf"([^,]+),\s*([A-Z]{{2}})\s+{zip_code}", rf"([^,]+),\s*([A-Za-z\s]+)\s+{zip_code}"
     pick = lambda *fields: F.struct(*[v.alias(n) for v, n in zip(fields, ("city", "state", "postal_code"))])
@@ -41,6 +42,7 @@ def parse_address(address) -> Column:
 
 def coordinates(html) -> Column:
     """struct<lat, lon> from a map link, else data attributes, else script variables; null if none is in range."""
+    # The forms in which pages give coordinates, in the order in which they are tried.
     number = r"([+-]?[0-9]+\.?[0-9]*)"
     maps = r"[@&](-?[0-9]+\.[0-9]+),(-?[0-9]+\.[0-9]+)"
     tries = [
@@ -109,12 +111,15 @@ def facility_links(html, state, city) -> Column:
         lambda p: F.struct(p["href"], F.trim(p["text"]).alias("text")),
     )
     cards = F.filter(cards, lambda a: (F.size(F.split(a["href"], "/")) >= 5) & ~a["href"].rlike("/(datacenters|facilities)/$"))
-    return F.when(F.size(first) > 0, first).when(F.size(older) > 0, older).otherwise(cards)
+    each = F.when(F.size(first) > 0, first).when(F.size(older) > 0, older).otherwise(cards)
+    # of links to one page the first counts
+    return F.filter(each, lambda a, i: F.array_position(F.transform(each, lambda b: b["href"]), a["href"]) == i + 1)
 
 
 def facility_cards(html) -> Column:
     """array<struct<name, operator, street, postal_city, href>> of list cards, by the order of their texts."""
-    blocks = F.slice(F.split(_c(html), r"<div[^>]*class=[\"'][^\"']*\bui\b[^\"']*\bcard\b[^\"']*[\"'][^>]*>"), 2, 100_000)
+    blocks = F.split(_c(html), r"<div[^>]*class=[\"'][^\"']*\bui\b[^\"']*\bcard\b[^\"']*[\"'][^>]*>")
+    blocks = F.filter(blocks, lambda _, i: i > 0)
 
     def read(block):
         texts = F.filter(F.transform(F.split(F.regexp_replace(block, r"<[^>]*>", "\u0001"), "\u0001"), lambda t: F.trim(t)), lambda t: t != "")
@@ -170,7 +175,7 @@ def title_of(html) -> Column:
 
 
 def state_in(title) -> Column:
-    """The state that stands first in the alphabet of those that a title names; longer names win over their parts."""
+    """The state with the longest name of those that a title names, so that names win over their parts; of equal lengths the first in the alphabet."""
     out = None
     for name in sorted(STATES, key=lambda s: (-len(s), s)):
         hit = F.contains(F.lower(_c(title)), F.lit(name.lower()))

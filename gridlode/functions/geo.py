@@ -101,6 +101,14 @@ def parse_wkt_point(wkt) -> tuple[Column, Column, Column]:
     return srid, get(1), get(2)
 
 
+def wkt_to_lonlat(wkt) -> tuple[Column, Column]:
+    """(lon, lat) of a point as well-known text, in degrees or, by its SRID, in Web Mercator metres."""
+    srid, x, y = parse_wkt_point(wkt)
+    lon, lat = mercator_to_lonlat(x, y)
+    metres = F.coalesce(srid.isin(3857, 900913), F.lit(False))
+    return F.when(metres, lon).otherwise(x), F.when(metres, lat).otherwise(y)
+
+
 def valid_lonlat(lon, lat) -> Column:
     return _c(lat).between(-90, 90) & _c(lon).between(-180, 180)
 

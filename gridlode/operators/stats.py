@@ -134,6 +134,19 @@ def category_counts(emitters: DataFrame) -> DataFrame:
     return found.crossJoin(found.agg(F.sum("n").alias("total")))
 
 
+def distinct_categories(emitters: DataFrame) -> DataFrame:
+    """The categories that occur."""
+    return emitters.select(clean.sector_category("industry_type_sectors").alias("category")).distinct()
+
+
+def valid_sample(rows: DataFrame, required: list[str], positive: str, most: int = 1000) -> DataFrame:
+    """How many of the first `most` rows are usable: all required columns set and not 0, and one of them above 0."""
+    ok = F.col(positive) > 0
+    for c in required:
+        ok = ok & clean.falsy_to_null(c).isNotNull()
+    return rows.limit(most).agg(F.count_if(ok).alias("valid"), F.count_if(~F.coalesce(ok, F.lit(False))).alias("invalid"))
+
+
 def emission_range(emitters: DataFrame) -> DataFrame:
     e = "total_emissions_2023"
     return emitters.agg(F.coalesce(F.min(e), F.lit(0.0)).alias("min_emissions"), F.coalesce(F.max(e), F.lit(0.0)).alias("max_emissions"), F.avg(e).alias("avg_emissions"))

@@ -1,4 +1,4 @@
-"""What a file holds, from its name and its first lines. Only those few lines come to the driver."""
+"""What a file holds, from its name and its first bytes. Only those come to the driver."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ import codecs
 
 from pyspark.sql import SparkSession
 
+from ..operators.shared import head_bytes
+
+# Kinds by the ends of names, and the words of GeoJSON.
 KINDS = {".csv": "csv", ".tsv": "csv", ".txt": "csv", ".geojson": "geojson", ".json": "geojson"}
 GEOJSON_WORDS = ('"type"', '"FeatureCollection"', '"Feature"', '"geometry"', '"coordinates"')
 
@@ -34,20 +37,27 @@ def encoding_of(head: bytes) -> str:
         return "latin1"
 
 
+CODECS = {"utf8": "utf-8-sig", "utf16le": "utf-16-le", "utf16be": "utf-16-be", "latin1": "latin-1", "ascii": "ascii"}
+
+
 def detect(spark: SparkSession, path: str) -> dict:
-    """kind, headers and about how many rows or features a file holds: its size by the mean length of its first lines."""
-    lines = [r["value"] for r in spark.read.text(path).limit(20).collect()]
+    """kind, encoding, headers and about how many rows or features a file or folder holds: its size by the mean length of its first lines."""
+    head = head_bytes(spark, path)
     size = spark.read.format("binaryFile").load(path).drop("content").agg({"length": "sum"}).head()[0] or 0
-    text = "\n".join(lines)
+    encoding = encoding_of(head)
+    text = head.decode(CODECS[encoding], "ignore").lstrip("\ufeff")
+    lines = text.splitlines()
+    if len(head) < size and len(lines) > 1:
+        lines = lines[:-1]  # cut off
     kind = next((k for end, k in KINDS.items() if path.lower().endswith(end)), None)
     if kind is None or (kind == "csv" and looks_like_geojson(text)):
         kind = "geojson" if looks_like_geojson(text) else "csv" if looks_like_csv(lines) else "unknown"
-    mean = max(1.0, sum(len(x.encode()) + 1 for x in lines) / max(1, len(lines)))
-    head = lines[0] if lines else ""
+    mean = max(1.0, len(head) / max(1, text.count("\n")))
+    first = lines[0] if lines else ""
     return {
         "kind": kind,
-        "encoding": encoding_of(text.encode("utf-8", "surrogateescape")),
-        "headers": [h.strip().strip('"') for h in head.split(",")] if kind == "csv" else [],
+        "encoding": encoding,
+        "headers": [h.strip().strip('"') for h in first.split(",")] if kind == "csv" else [],
         "size": size,
-        "estimate": max(0, round(size / mean) - 1) if kind == "csv" else text.count('"Feature"') * max(1, round(size / max(1, len(text)))),
+        "estimate": max(0, round(size / mean) - 1) if kind == "csv" else round(text.count('"Feature"') * size / max(1, len(head))),
     }

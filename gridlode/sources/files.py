@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import re
 from itertools import accumulate
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clean, geo
-from ..llm.common import checkpoint
+from ..operators.shared import checkpoint, exists
 
 GEOMETRY = "struct<type:string,coordinates:string>"
+FEATURE = f"type string, properties string, geometry {GEOMETRY}"
+#: A field after a comma, quoted or plain.
+QUOTED = r',("(?:[^"]|"")*"|[^,]*)'
 
 
 def read_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
@@ -23,21 +27,32 @@ def csv_profile(rows: DataFrame) -> tuple[list[str], int]:
     return rows.columns, rows.count()
 
 
-def skip_rows(spark: SparkSession, path: str, n: int) -> DataFrame:
-    """A CSV file without its first n lines, without header names: for sheets with titles above the table.
+def split_lines(lines: DataFrame, names: list[str], sep: str = ",") -> DataFrame:
+    """Columns of lines (value) split at each separator, quoted or not; fields that a line lacks are null."""
+    parts = F.split("value", re.escape(sep))
+    return lines.select(*[F.get(parts, i).alias(n) for i, n in enumerate(names)])
 
-    Lines are numbered inside the first byte range, so n lines must fit in one.
+
+def read_sheets(spark: SparkSession, path: str, fields: dict[str, list[str]], skip: int = 0) -> DataFrame:
+    """CSV exports of sheets: file, and each field from the first of its possible headers that has a value.
+
+    The first `skip` lines of a file are titles, the next one holds its headers. A sheet, and so a file, is one row: at
+    most about a million lines by its format.
     """
-    lines = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_i"))
-    return lines.where(F.col("_i") >= n).select("value")
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.filter(F.split("value", "\r?\n"), lambda x: x != "").alias("l"))
+    lines = text.select("file", F.get("l", skip).alias("head"), F.explode(F.slice("l", skip + 2, F.greatest(F.size("l") - skip - 1, F.lit(0)))).alias("line"))
+    fields_of = lambda c: F.transform(F.regexp_extract_all(F.concat(F.lit(","), c), F.lit(QUOTED), 1), lambda x: F.replace(F.regexp_replace(x, '^"|"$', ""), F.lit('""'), F.lit('"')))
+    names, values = fields_of("head"), fields_of("line")
+    cells = lines.where(F.size(values) == F.size(names)).select("file", F.map_from_arrays(names, values).alias("m"))
+    pick = lambda options: F.coalesce(*[F.nullif(F.trim(F.try_element_at("m", F.lit(h))), F.lit("")) for h in options])
+    return cells.select("file", *[pick(options).alias(field) for field, options in fields.items()])
 
 
-def rows_between(rows: DataFrame, skip: int = 0, most: int | None = None, every: int = 1) -> DataFrame:
-    """rows after the first `skip`, every n-th, at most `most`: for resuming and sampling by position.
+def numbered(rows: DataFrame, name: str = "_i") -> DataFrame:
+    """rows with their positions, from 0, in the order in which Spark deals them out: each partition's begin where the partition before it ends.
 
-    Positions follow the order in which Spark deals the rows out: each partition's rows begin where the partition
-    before it ends. The rows are checkpointed, so that they are dealt out alike when counted and when numbered; the
-    driver sees one count per partition.
+    The rows are checkpointed, so that they are dealt out alike when counted and when numbered; the driver sees one
+    count per partition.
     """
     rows = checkpoint(rows)
     counts = {r["p"]: r["n"] for r in rows.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()}
@@ -45,8 +60,12 @@ def rows_between(rows: DataFrame, skip: int = 0, most: int | None = None, every:
     offsets = F.split(F.lit(",".join(map(str, before))), ",").cast("array<bigint>")
     # the id holds the partition above the lower 33 bits and the row's place in it below
     i = F.monotonically_increasing_id()
-    numbered = rows.withColumn("_i", F.get(offsets, F.shiftright(i, 33).cast("int")) + i.bitwiseAND(F.lit((1 << 33) - 1)))
-    out = numbered.where((F.col("_i") >= skip) & ((F.col("_i") - skip) % every == 0))
+    return rows.withColumn(name, F.get(offsets, F.shiftright(i, 33).cast("int")) + i.bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def rows_between(rows: DataFrame, skip: int = 0, most: int | None = None, every: int = 1) -> DataFrame:
+    """rows after the first `skip`, every n-th, at most `most`: for resuming and sampling by position."""
+    out = numbered(rows).where((F.col("_i") >= skip) & ((F.col("_i") - skip) % every == 0))
     return (out if most is None else out.where(F.col("_i") < skip + most * every)).drop("_i")
 
 
@@ -83,11 +102,19 @@ def points_from_csv(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return out.where(F.size("errors") == 0).drop("errors"), out.where(F.size("errors") > 0)
 
 
-def read_features(spark: SparkSession, path: str) -> DataFrame:
+def read_features(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """file, properties (JSON), kind, coordinates (JSON) of the features of GeoJSON files of any shape.
 
-    A file may hold a FeatureCollection, one Feature, an array of features, or a bare geometry.
+    A file may hold a FeatureCollection, one Feature, an array of features, or a bare geometry, and is read as one row.
+    split: for files of any size, cut into features by many tasks; their features must begin with their type, and
+    nothing else in them may be the text "Feature".
     """
+    if split:
+        text = spark.read.text(path, lineSep='"Feature"').select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
+        # what stands before the first feature of a file doesn't go on with a comma; a parser stops at the end of an object
+        tail = text.where(F.col("value").rlike(r"^\s*,"))
+        found = tail.select("file", F.from_json(F.concat(F.lit('{"type":"Feature"'), "value"), FEATURE).alias("f"))
+        return found.select("file", "f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
     return normalise_features(text)
 
@@ -109,9 +136,14 @@ def read_lines_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(path)
 
 
+def listing_of_file(name):
+    """The listing's number in a name like 6406_parcels.geojson."""
+    return F.nullif(F.regexp_extract(name, r"([0-9]+)_[^/]*$", 1), F.lit(""))
+
+
 def read_feature_folder(spark: SparkSession, path: str) -> DataFrame:
-    """Features of all files of a folder, with listing_id from names like 6406_parcels.geojson."""
-    return read_features(spark, path).withColumn("listing_id", F.regexp_extract("file", r"([0-9]+)_[^/]*$", 1))
+    """Features of all files of a folder, with listing_id from their names."""
+    return read_features(spark, path).withColumn("listing_id", listing_of_file("file"))
 
 
 def lines_from_features(features: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -140,10 +172,10 @@ def parcels_from_features(features: DataFrame, index: str | None = None) -> Data
     rings = F.when(F.col("kind") == "Polygon", F.array(F.from_json("coordinates", part))).otherwise(F.from_json("coordinates", f"array<{part}>"))
     shaped = F.transform(rings, lambda poly: F.transform(poly, lambda r: F.transform(r, lambda c: geo.point(F.get(c, 0), F.get(c, 1)))))
     shaped = F.transform(shaped, lambda poly: F.transform(poly, geo.ring_to_lonlat))
-    rows = features.withColumn("geom", shaped).where(F.size("geom") > 0)
+    rows = (features if index else numbered(features)).withColumn("geom", shaped).where(F.size("geom") > 0)
     rows = rows.where(F.forall("geom", lambda poly: geo.valid_polygon(F.get(poly, 0))))
     acres = F.aggregate(F.transform("geom", geo.polygon_acres), F.lit(0.0), lambda s, a: s + a)
-    position = F.col(index) if index else F.monotonically_increasing_id()
+    position = F.col(index) if index else F.col("_i")
     return rows.select(
         clean.pick_parcel_id(p, clean.PARCEL_ID_NAMES, position).alias("parcel_id"),
         F.try_element_at(p, F.lit("listing_id")).alias("listing_id"),
@@ -156,10 +188,5 @@ def parcels_from_features(features: DataFrame, index: str | None = None) -> Data
 
 
 def static_or(spark: SparkSession, path: str, query) -> DataFrame:
-    """The stored table at path if there is one, else the query's result."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return query()
+    """The stored table at path if there is one, else the query's result. A table that can't be read is an error."""
+    return spark.read.parquet(path) if exists(spark, path) else query()

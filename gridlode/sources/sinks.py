@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, geo
+from ..operators.shared import exists
 
+# The columns of an export.
 EXPORT_COLUMNS = ("id", "name", "address_full", "city", "state", "postal_code", "country", "latitude", "longitude", "source", "source_url", "first_seen_at", "last_seen_at")
 #: A response holds at most so many features; larger results are written as lines of features.
 MOST_FEATURES = 100_000
@@ -71,12 +73,7 @@ def write_by_month(rows: DataFrame, path: str, at: str = "created_at") -> None:
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict:
-    from pyspark.errors import AnalysisException
-
-    try:
-        found = spark.read.text(path, wholetext=True).head()
-    except AnalysisException:
-        return {"version": "1.0", "sources": {}}
+    found = spark.read.text(path, wholetext=True).head() if exists(spark, path) else None
     return json.loads(found["value"]) if found else {"version": "1.0", "sources": {}}
 
 

@@ -9,22 +9,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.shared import remove
 from ..operators.upsert import merge_seen, seen_upsert
-from ..sources.files import static_or
 
 
 def version(spark: SparkSession, target: str, batch: int) -> DataFrame | None:
-    found = static_or(spark, f"{target}/v={batch}", lambda: None) if batch >= 0 else None
-    return found
+    """The table after a batch; None before the first one. A version that is missing or can't be read is an error."""
+    return spark.read.parquet(f"{target}/v={batch}") if batch >= 0 else None
 
 
 def fold(target: str, keys: list[str], values: list[str], at: str):
-    """The function that foreachBatch calls."""
+    """The function that foreachBatch calls. The last two versions stay: the one before is read again if a batch is."""
 
     def run(rows: DataFrame, batch: int) -> None:
-        old = version(rows.sparkSession, target, batch - 1)
+        spark = rows.sparkSession
+        old = version(spark, target, batch - 1)
         new = seen_upsert(rows, keys, values, at) if old is None else merge_seen(old, rows, keys, values, at)
         new.write.mode("overwrite").parquet(f"{target}/v={batch}")
+        if batch > 1:
+            remove(spark, f"{target}/v={batch - 2}")
 
     return run
 

@@ -37,10 +37,12 @@ def keep_unleaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes words of each source up to its target."""
+    """Takes words of each source up to its target. Columns named source_size, target or taken give way to the mix's."""
     plan = checkpoint(mixing.plan_mix(mixing.sized_documents(docs)))
-    sized = docs.withColumn("_size", mixing.word_count(F.col("text"))).withColumn("_h", mixing.hash60(F.col("doc_id")))
-    return mixing.apply_mix(sized, plan).where("taken > 0").drop("_size", "_h")
+    made = ["source_size", "target", "taken"]
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c.lower() not in made])
+    sized = docs.select(own.alias("row"), "source", mixing.word_count(F.col("text")).alias("_size"), mixing.hash60(F.col("doc_id")).alias("_h"))
+    return mixing.apply_mix(sized, plan).where("taken > 0").select("row.*", *made)
 
 
 STAGES = [

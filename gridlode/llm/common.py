@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.shared import checkpoint, fresh_path, shared_dir, small, stored  # noqa: F401
+
 #: A key is hot when it holds at least one row in so many; so there are at most so many hot keys.
 HOT_KEYS = 1000
 
@@ -22,49 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir; where it is unset, a new local one, on a local master only."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        where = sc.getCheckpointDir()
-        where = where.rpartition("/")[0] if where else None
-    if not where:
-        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = "file://" + tempfile.mkdtemp(prefix="gridlode-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(where)
-    return where
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that no other run uses. What is written there stays until the folder is emptied."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder, without its lineage.
-
-    The files stay until the folder is emptied, or go with the last use of df where
-    spark.cleaner.referenceTracking.cleanCheckpoints is on.
-    """
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder as a table and read again.
-
-    For loops: a checkpoint keeps the size that Spark estimated for its plan, and joins multiply these estimates,
-    so that they grow without bound from round to round; a table has the size of its files.
-    """
-    spark = df.sparkSession
-    path = fresh_path(spark, "table")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def free_name(df: DataFrame, name: str) -> str:
     """name, or name with underscores, so that df has no column that is called so in any case."""
     taken = {c.lower() for c in df.columns}
@@ -121,14 +77,9 @@ def join_counted(rows: DataFrame, values: DataFrame, keys: list[str], n: str = "
     return marked.where("_hot").drop("_hot").unionByName(cold)
 
 
-#: A table is broadcast only when it was counted and has at most so many rows.
-SMALL_ROWS = 100_000
-
-
 def join_small(rows: DataFrame, values: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
     """rows joined with values of few columns: by broadcast if values are counted to be few, else by a shuffle."""
-    few = values.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS
-    return rows.join(F.broadcast(values) if few else values, keys, how)
+    return rows.join(small(values), keys, how)
 
 
 def without(docs: DataFrame, found) -> DataFrame:

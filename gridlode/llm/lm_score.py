@@ -5,10 +5,13 @@ depend on how often the context was seen (a bucket per power of two) and are lea
 a tenth of the training documents is held out from the counts and its tokens tell how far each estimate can be
 trusted. The final scores use the counts of all training documents.
 
-Counting and looking up are one exchange. Documents are taken in blocks of neighbouring rows; a block asks each hash
-bucket for the counts of its distinct words and bigrams and brings its own counts along; a bucket sums what all
-blocks bring and answers each of them in its order. Blocks and buckets have a bounded size whatever the input, and
-their number grows with it. Words are told apart by 64 bits; bigrams by 40 bits in a bucket of about a million.
+Counting and looking up are one exchange. A task takes its documents in blocks; a block asks each hash bucket for the
+counts of its distinct words and bigrams and brings its own counts along; a bucket sums what all blocks bring and
+answers each of them in its order. The texts are read once: a block is kept as its distinct words and their places.
+Blocks have a bounded size whatever the input, and so have buckets: their number grows with the input, and where there
+are more than FAN blocks, the requests of FAN blocks to a bucket are merged into one, and these again, until a bucket
+gets FAN requests at most, however many blocks ask for its words; answers go down the same way. Words are told apart
+by 64 bits; bigrams by 40 bits in a bucket of about a million.
 
 Defined results: A-Z are lower-cased, words are parted by ASCII white space, each text ends in one end token; a null
 or empty text is the end token alone; ids count by their decimal text, null as the empty text; repeated rows all
@@ -22,19 +25,22 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
-from .exact_dedup import with_row_id
+from .common import checkpoint, stored
 from .hashing import U, column, hash_words, mix, pieces, text_bytes, word_bounds
 
 FOLDS, TEST, TUNE = 10, 0, 1
 BLOCK_BYTES = 6 << 20
 BUCKET_TOKENS = 1_500_000
 LOW_BITS = 40
+#: The most requests that meet in a bucket.
+FAN = 512
 END, START = U(0x51ED270B9A3C6E5F), U(0xA24BAED4963EE407)
-WORD, PAIR = 0, 1
+WORD, PAIR, OWN = 0, 1, 2
+SCHEMA = "kind int, bucket long, block long, a binary, b binary, c binary"
 #: Steps per octave in which held-out probabilities are gathered for expectation-maximisation.
 STEPS = 4
 ROUNDS = 60
@@ -85,96 +91,153 @@ def pair_keys(before: np.ndarray, tokens: np.ndarray, bits: int) -> np.ndarray:
 
 
 class _Block:
-    """Distinct tokens and pairs of the documents of a block, as they come."""
+    """The documents of a block as they come, then its rows (kind, bucket, block, a, b, c)."""
 
     def __init__(self):
-        self.tokens, self.sizes, self.folds = [], [], []
+        self.tokens, self.sizes, self.ids, self.folds, self.bytes = [], [], [], [], 0
 
-    def add(self, texts, folds: np.ndarray):
+    def add(self, texts, ids, folds: np.ndarray):
         tokens, sizes = token_hashes(texts)
         self.tokens.append(tokens)
         self.sizes.append(sizes)
+        self.ids.append(ids.cast(pa.int64()))
         self.folds.append(folds)
+        self.bytes += texts.nbytes
 
-    def requests(self, block: int, bits: int):
-        """Rows (kind, bucket, block, keys, main, tune)."""
+    def rows(self, block: int, bits: int):
+        """For each kind and bucket its distinct keys and their counts outside and inside the held-out fold, then the documents."""
         tokens, sizes, folds = (np.concatenate(x) for x in (self.tokens, self.sizes, self.folds))
         fold = np.repeat(folds, sizes)
         for kind, keys in ((WORD, tokens), (PAIR, pair_keys(contexts(tokens, sizes), tokens, bits))):
-            every = np.unique(keys)
-            counts = []
-            for mine in ((fold != TEST) & (fold != TUNE), fold == TUNE):
-                got, n = np.unique(keys[mine], return_counts=True)
-                c = np.zeros(len(every), np.uint32)
-                c[np.searchsorted(every, got)] = n
-                counts.append(c)
+            every, place = np.unique(keys, return_inverse=True)
+            counts = [np.bincount(place[mine], minlength=len(every)) for mine in ((fold != TEST) & (fold != TUNE), fold == TUNE)]
             bucket = (every >> U(LOW_BITS if kind == PAIR else 64 - bits)).astype(np.int64) if bits or kind == PAIR else np.zeros(len(every), np.int64)
             edge = np.flatnonzero(np.diff(bucket, prepend=-1))
             for lo, hi in zip(edge, [*edge[1:], len(every)]):
                 yield kind, int(bucket[lo]), block, _pack_sorted(every[lo:hi]), _pack(counts[0][lo:hi]), _pack(counts[1][lo:hi])
+            if kind == WORD:
+                docs = pa.record_batch([pa.concat_arrays(self.ids), pa.array(folds), pa.array(sizes)], ["doc_id", "fold", "size"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, docs.schema) as out:
+                    out.write_batch(docs)
+                yield OWN, block, block, _pack_sorted(every), _pack(place.astype(np.uint32)), sink.getvalue().to_pybytes()
 
 
 def _asked(bits: int):
     kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    names = ["kind", "bucket", "block", "keys", "main", "tune"]
 
-    def rows(blocks: dict):
-        found = [r for b, x in blocks.items() for r in x.requests(b, bits)]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), kinds)], names)
+    def rows(block: _Block, number: int):
+        found = block.rows(number, bits)
+        return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), kinds)], ["kind", "bucket", "block", "a", "b", "c"])
 
     def run(batches):
-        blocks, group = {}, None
+        # odd numbers are blocks of held-out documents
+        first, made, open_ = TaskContext.get().partitionId() << 24, 0, {}
         for part in pieces(batches):
-            block = column(part, "block").to_numpy()
             fold = column(part, "fold").to_numpy().astype(np.int64)
-            text = column(part, "text")
-            for b in np.unique(block):
-                if group is not None and b >> 1 != group:
-                    yield rows(blocks)
-                    blocks = {}
-                group = b >> 1
-                at = np.flatnonzero(block == b)
-                blocks.setdefault(int(b), _Block()).add(text.take(pa.array(at)), fold[at])
-        if blocks:
-            yield rows(blocks)
+            for held in (0, 1):
+                at = np.flatnonzero((fold == TUNE) == held)
+                if not len(at):
+                    continue
+                block = open_.setdefault(held, _Block())
+                block.add(column(part, "text").take(pa.array(at)), column(part, "doc_id").take(pa.array(at)), fold[at])
+                if block.bytes >= BLOCK_BYTES:
+                    yield rows(open_.pop(held), (first + made) * 2 + held)
+                    made += 1
+        for held, block in open_.items():
+            yield rows(block, (first + made) * 2 + held)
+            made += 1
 
     return run
 
 
-def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """All requests to a bucket -> an answer to each block, and a row of sums under block -1."""
-    keys = [_unpack_sorted(k) for k in pdf["keys"]]
+def _summed(pdf: pd.DataFrame):
+    """Requests to a bucket -> their distinct keys, the sums of both counts, and the place of each request's keys."""
+    keys = [_unpack_sorted(k) for k in pdf["a"]]
     every, place = np.unique(np.concatenate(keys), return_inverse=True)
-    main = np.zeros(len(every), np.int64)
-    tune = np.zeros(len(every), np.int64)
-    at, out = 0, []
-    parts = []
-    for k, m, t in zip(keys, pdf["main"], pdf["tune"]):
+    sums, at, places = np.zeros((2, len(every)), np.int64), 0, []
+    for k, *counts in zip(keys, pdf["b"], pdf["c"]):
         own = place[at : at + len(k)]
         at += len(k)
-        main[own] += _unpack(m, np.uint32)
-        tune[own] += _unpack(t, np.uint32)
-        parts.append(own)
-    kind, bucket, total = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0]), main + tune
-    for block, own in zip(pdf["block"], parts):
-        out.append((kind, bucket, block, _pack(total[own]), _pack(tune[own]), 0, 0, 0))
-    out.append((kind, bucket, -1, None, None, int(total.sum()), int((total > 0).sum()), int(tune.sum())))
-    return pd.DataFrame(out, columns=["kind", "bucket", "block", "total", "tune", "tokens", "types", "tune_tokens"])
+        for total, packed in zip(sums, counts):
+            total[own] += _unpack(packed, np.int64)
+        places.append(own)
+    return every, sums, places
 
 
-class _Counts:
-    """The answers to a block, put back to its tokens."""
+def _merged(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Requests of several blocks to a bucket -> one."""
+    every, (main, tune), _ = _summed(pdf)
+    head = pdf.iloc[0]
+    return pd.DataFrame({"kind": [head["kind"]], "bucket": [head["bucket"]], "block": [head["up"]], "a": [_pack_sorted(every)], "b": [_pack(main)], "c": [_pack(tune)]})
+
+
+def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """All requests to a bucket -> an answer to each (all counts, then held-out ones), and a row of sums under block -1."""
+    kind, bucket = int(pdf["kind"].iloc[0]), int(pdf["bucket"].iloc[0])
+    if kind == OWN:
+        return pdf.assign(tokens=0, types=0, tune_tokens=0)
+    _, (main, tune), places = _summed(pdf)
+    total = main + tune
+    out = [(kind, bucket, block, _pack(total[own]), _pack(tune[own]), None, 0, 0, 0) for block, own in zip(pdf["block"], places)]
+    out.append((kind, bucket, -1, None, None, None, int(total.sum()), int((total > 0).sum()), int(tune.sum())))
+    return pd.DataFrame(out, columns=["kind", "bucket", "block", "a", "b", "c", "tokens", "types", "tune_tokens"])
+
+
+def _passed(asked: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
+    """Requests that were merged, and the answer to the merged one -> the answer to each."""
+    _, _, places = _summed(asked)
+    total, tune = (_unpack(answer[c].iloc[0], np.int64) for c in "ab")
+    out = [(k, bucket, block, _pack(total[own]), _pack(tune[own]), None) for k, bucket, block, own in zip(asked["kind"], asked["bucket"], asked["block"], places)]
+    return pd.DataFrame(out, columns=["kind", "bucket", "block", "a", "b", "c"])
+
+
+def tiers(blocks: int) -> list[int]:
+    """How many requests a bucket gets after each merging, until they are few."""
+    out = []
+    while blocks > FAN:
+        blocks = -(-blocks // FAN)
+        out.append(blocks)
+    return out
 
-    def __init__(self, texts, answers: pa.Table, bits: int):
-        self.tokens, self.sizes = token_hashes(texts)
-        self.first = np.cumsum(self.sizes) - self.sizes
-        rows = sorted(zip(*(answers.column(c).to_pylist() for c in ("kind", "bucket", "total", "tune"))), key=lambda r: r[:2])
+
+def exchange(asked: DataFrame, blocks: int) -> tuple[DataFrame, tuple]:
+    """asked: the rows of all blocks -> their answers and own rows; and tokens, types, held-out tokens in training documents."""
+    sums = SCHEMA + ", tokens long, types long, tune_tokens long"
+    steps, asked_at, own = tiers(blocks), [], None
+    if steps:
+        asked = stored(asked)
+        asked, own = asked.where(F.col("kind") != OWN), asked.where(F.col("kind") == OWN)
+    for n in steps:
+        asked_at.append(asked.withColumn("up", F.pmod(F.xxhash64("block"), F.lit(n))))
+        asked = stored(asked_at[-1].groupBy("kind", "bucket", "up").applyInPandas(_merged, SCHEMA))
+    answers = checkpoint(asked.groupBy("kind", "bucket").applyInPandas(_answered, sums))
+    totals = answers.where(f"block = -1 and kind = {WORD}").agg(F.sum("tokens"), F.sum("types"), F.sum("tune_tokens")).head()
+    answers = answers.where("block >= 0").select("kind", "bucket", "block", "a", "b", "c")
+    for below in reversed(asked_at):
+        answers = answers.withColumn("up", F.col("block")).groupBy("kind", "bucket", "up")
+        answers = below.groupBy("kind", "bucket", "up").cogroup(answers).applyInPandas(_passed, SCHEMA)
+    if own is not None:
+        answers = checkpoint(answers.unionByName(own))
+    return answers, tuple(x or 0 for x in totals)
+
+
+class _Counts:
+    """The answers to a block, put back to its tokens. rows: all of the block, its own among them."""
+
+    def __init__(self, rows: pa.Table, bits: int):
+        rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("kind", "bucket", "a", "b", "c"))), key=lambda r: r[:2])
+        _, _, words, places, docs = rows[-1]
+        place = _unpack(places, np.uint32)
+        self.docs = pa.ipc.open_stream(docs).read_all()
+        sizes = self.docs.column("size").to_numpy()
+        tokens = _unpack_sorted(words)[place]
+        self.first = np.cumsum(sizes) - sizes
+        pairs = np.unique(pair_keys(contexts(tokens, sizes), tokens, bits), return_inverse=True)[1]
         self.got = {}
-        pairs = pair_keys(contexts(self.tokens, self.sizes), self.tokens, bits)
-        for kind, keys in ((WORD, self.tokens), (PAIR, pairs)):
-            place = np.unique(keys, return_inverse=True)[1]
+        for kind, where in ((WORD, place), (PAIR, pairs)):
             mine = [r for r in rows if r[0] == kind]
-            self.got[kind] = [np.concatenate([_unpack(r[c], np.int64) for r in mine])[place] for c in (2, 3)]
+            self.got[kind] = [np.concatenate([_unpack(r[c], np.int64) for r in mine])[where] for c in (2, 3)]
 
     def counts(self, documents: int, held: bool):
         """c(word), c(context), c(context, word) of each token; held: without the held-out documents."""
@@ -213,45 +276,36 @@ def language_scores(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     docs = docs.select("doc_id", "text")
     fold = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS
-    kind = F.col("fold")
     size = docs.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("b"), F.count_if(fold != TEST).alias("d"), F.count_if(fold == TUNE).alias("t")).head()
     rows, byte, documents, held_documents = size["n"], size["b"] or 0, size["d"], size["t"]
-    shift = max(0, round(np.log2(max(1.0, BLOCK_BYTES * max(rows, 1) / max(byte, 1, 8 * rows)))))
     bits = max(0, int(np.ceil(np.log2(max(1.0, (byte / 6 + rows) / BUCKET_TOKENS)))))
-    numbered = with_row_id(docs).withColumn("fold", fold)
-    numbered = numbered.withColumn("block", F.shiftright("_rid", shift) * 2 + (kind == TUNE).cast("long"))
-
-    asked = numbered.select("block", "fold", "text").mapInArrow(_asked(bits), "kind int, bucket long, block long, keys binary, main binary, tune binary")
-    schema = "kind int, bucket long, block long, total binary, tune binary, tokens long, types long, tune_tokens long"
-    answers = checkpoint(asked.groupBy("kind", "bucket").applyInPandas(_answered, schema))
-    sums = answers.where(f"block = -1 and kind = {WORD}").agg(F.sum("tokens"), F.sum("types"), F.sum("tune_tokens")).head()
-    tokens, types, tune_tokens = (x or 0 for x in sums)
-    answers = answers.where("block >= 0").select("kind", "bucket", "block", "total", "tune")
-
-    def tuned(left: pa.Table, right: pa.Table) -> pa.Table:
-        got = _Counts(left.column("text"), right, bits).counts(documents - held_documents, True)
+
+    asked = docs.withColumn("fold", fold).mapInArrow(_asked(bits), SCHEMA)
+    answers, (tokens, types, tune_tokens) = exchange(asked, 2 * byte // BLOCK_BYTES)
+
+    def tuned(rows: pa.Table) -> pa.Table:
+        got = _Counts(rows, bits).counts(documents - held_documents, True)
         two, one, _ = _estimates(*got, tokens - tune_tokens, types)
         step = lambda p: np.where(p > 0, np.round(np.log2(np.maximum(p, 1e-300)) * STEPS), 9999).astype(np.int64)
         cells, n = np.unique(np.stack([context_bucket(got[1]), step(two), step(one)], axis=1), axis=0, return_counts=True)
         return pa.table([cells[:, 0], cells[:, 1], cells[:, 2], n], names=["b", "two", "one", "n"])
 
-    own = numbered.where(kind == TUNE).select("block", "text").groupBy("block").cogroup(answers.where("block % 2 = 1").groupBy("block"))
+    own = answers.where("block % 2 = 1").groupBy("block")
     cells = own.applyInArrow(tuned, "b long, two long, one long, n long").groupBy("b", "two", "one").agg(F.sum("n").alias("n")).toPandas()
     value = lambda q: np.where(q == 9999, 0.0, 2.0 ** (np.minimum(q, 0) / STEPS))
     bins = np.stack([value(cells["two"].to_numpy()), value(cells["one"].to_numpy()), np.full(len(cells), 1 / (types + 1))], axis=1)
     weights = mixture_weights(cells["b"].to_numpy(), bins, cells["n"].to_numpy().astype(float))
 
-    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        block = _Counts(left.column("text"), right, bits)
+    def scored(rows: pa.Table) -> pa.Table:
+        block = _Counts(rows, bits)
         word, before, pair = block.counts(documents, False)
         two, one, none = _estimates(word, before, pair, tokens, types)
         w = weights[context_bucket(before)]
         total = lambda x: np.add.reduceat(x, block.first)
         base = np.log10((word + 0.1) / (tokens + 0.1 * (types + 1)))
         score = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] * none)
-        ids = left.column("doc_id").cast(pa.int64())
-        out = [ids, pa.array(left.column("fold").to_numpy() == TEST), block.sizes, total((word > 0).astype(np.int64)), np.full(len(left), tokens), total(base), total(score)]
+        held = pa.array(block.docs.column("fold").to_numpy() == TEST)
+        out = [block.docs.column("doc_id"), held, block.docs.column("size"), total((word > 0).astype(np.int64)), np.full(len(held), tokens), total(base), total(score)]
         return pa.table([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in out], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    pairs = numbered.select("block", "doc_id", "fold", "text").groupBy("block").cogroup(answers.groupBy("block"))
-    return pairs.applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answers.groupBy("block").applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -9,8 +9,10 @@ and any passage there.
 Items are broadcast in slices of at most SLICE_BYTES, each with a pass of its own over the documents; as many
 slices are taken as the table needs, and the least distance over all of them counts.
 
-Defined results: null and empty texts have no hits; items with fewer than LEAST characters after normalising
-name no passage and match nothing; items with null ids are kept as such; of repeated items with one id, the least
+Items with fewer than LEAST characters after normalising must occur unchanged, as whole words (next to a character of
+a script that is written without spaces any place will do): a fragment with edits would be found everywhere.
+
+Defined results: null and empty texts have no hits; items without a letter or digit match nothing; items with null ids are kept as such; of repeated items with one id, the least
 distance counts; repeated documents each give their rows; an empty table on either side gives an empty result;
 other columns are ignored.
 """
@@ -24,20 +26,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_small
-from .exact_dedup import with_row_id
-from .hashing import column
+from .common import with_row_id, without
+from .hashing import column, pieces
 
 RATE = 0.08
 LEAST = 25
 SLICE_BYTES = 16 << 20
 _OTHER = re.compile(r"[\W_]+")
+#: Scripts from here on are written without spaces between words.
+UNSPACED = "\u2e80"
 
 
 def normalise(text: str | None) -> str:
     return _OTHER.sub(" ", (text or "").lower()).strip()
 
 
+def whole_words(text: str, lo: int, hi: int) -> bool:
+    """Whether text[lo:hi] begins and ends between words."""
+    cut = lambda at: not 0 < at < len(text) or " " in text[at - 1 : at + 1] or max(text[at - 1 : at + 1]) >= UNSPACED
+    return cut(lo) and cut(hi)
+
+
 def least_distance(item: str, places: dict[str, int], text: str) -> int:
     """The least edit distance between item and any substring of text. places: bit set of each character's places."""
     m = len(item)
@@ -71,16 +80,16 @@ class Matcher:
         self.items, pieces = [], defaultdict(list)
         for key, text in sorted({(k, normalise(t)) for k, t in items}, key=repr):
             m = len(text)
-            if m < least:
+            if not m:
                 continue
-            budget = int(rate * m)
+            budget = int(rate * m) if m >= least else 0
             places = defaultdict(int)
             for at, c in enumerate(text):
                 places[c] |= 1 << at
             for j in range(budget + 1):
                 a, e = j * m // (budget + 1), (j + 1) * m // (budget + 1)
                 pieces[text[a:e]].append((len(self.items), a))
-            self.items.append((key, text, dict(places), budget))
+            self.items.append((key, text, dict(places) if m >= least else None, budget))
         self.automaton = ahocorasick.Automaton()
         for piece, where in pieces.items():
             self.automaton.add_word(piece, (len(piece), where))
@@ -98,6 +107,10 @@ class Matcher:
         found = {}
         for item, at in starts.items():
             key, pattern, places, budget = self.items[item]
+            if places is None:
+                if any(whole_words(text, s, s + len(pattern)) for s in at):
+                    found[key] = 0
+                continue
             spans, best = [], budget + 1
             for s in sorted(at):
                 lo, hi = max(0, s - budget), s + len(pattern) + budget
@@ -152,7 +165,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: str = "doc_id", rate
         def run(batches, shared=shared):
             matcher = Matcher(shared.value, rate)
             kinds = pa.schema([(c, pa.int64()) for c in names[:-1]] + [("distance", pa.int32())])
-            for batch in batches:
+            for batch in pieces(batches):
                 keys = zip(*(column(batch, c).to_pylist() for c in ids))
                 rows = [dict(zip(names, (*d, k, n))) for d, t in zip(keys, column(batch, "text").to_pylist()) for k, n in matcher.match(t).items()]
                 yield pa.RecordBatch.from_pylist(rows, kinds)
@@ -166,6 +179,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, keep: str = "doc_id", rate
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """docs without the rows that hold a benchmark item."""
-    numbered = with_row_id(docs)
-    gone = checkpoint(find_leaks(numbered, benchmark, "_rid", rate).select("_rid").distinct())
-    return join_small(numbered, gone, ["_rid"], "left_anti").drop("_rid")
+    return without(docs, lambda rows: find_leaks(rows, benchmark, "_rid", rate).select("_rid").distinct())

@@ -81,7 +81,8 @@ def test_exact_dedup(spark, rows, docs, empty):
     assert {r["text_sha256"] for r in got} == {hashlib.sha256(t.encode()).hexdigest() for t in want}
     assert exact_dedup.exact_dedup(empty).count() == 0
     kept = exact_dedup.drop_exact(docs)
-    assert kept.columns == docs.columns and kept.count() == len(want) or kept.columns == [c for c in docs.columns if c != "_rid"]
+    assert kept.columns == docs.columns and kept.count() == len(want)
+    assert {r["_rid"] for r in kept.collect()} == {"r"}
 
 
 def brute_groups(rows, percent, n=5):
@@ -156,7 +157,7 @@ def test_superminhash_estimates_similarity():
     for x in a[:5]:
         p = list(range(16))
         for j in range(16):
-            d = hashing.mix(np.array([x + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)], np.uint64))[0]
+            d = hashing.mix(np.array([x]) + np.array([np.uint64((j + 1) * 0x9E3779B97F4A7C15 & 2**64 - 1)]))[0]
             k = j + int((d & np.uint64(0xFFFFFFFF)) * np.uint64(16 - j) >> np.uint64(32))
             p[j], p[k] = p[k], p[j]
             full[p[j]] = min(full[p[j]], (d >> np.uint64(32)) | np.uint64(j << 32))
@@ -277,6 +278,8 @@ def test_decontaminate(spark, empty):
                 n = edit_distance(p, decontaminate.normalise(t))
                 if n <= int(decontaminate.RATE * len(p)):
                     want[d, i] = n
+            elif p and t and f" {p} " in f" {decontaminate.normalise(t)} ":  # short items must occur unchanged, as words
+                want[d, i] = 0
     assert {(x["doc_id"], x["item_id"]): x["distance"] for x in got} == want and any(want.values()) and not all(want.values())
     bench = spark.createDataFrame(items, "item_id long, text string")
     assert decontaminate.find_leaks(empty, bench).count() == 0 and decontaminate.find_leaks(spark.createDataFrame(texts, "doc_id long, text string"), bench.where("1 = 0")).count() == 0
@@ -433,7 +436,7 @@ def test_pii(spark, personal):
         found = pii.all_spans(pii.base_spans(t), pii.model_spans(w, [t])[0])
         total += 1
         hits += any(s < 10 + len(new) and 10 < e for s, _, e in found)
-    assert hits >= 0.6 * total
+    assert hits >= 0.9 * total
 
 
 def test_lm_score(spark, rows, docs, empty):

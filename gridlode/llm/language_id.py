@@ -5,15 +5,13 @@ learning rows. The weights are trained by follow-the-regularised-leader with an
 sample of labelled rows: the L1 part leaves most weights zero. A fifth of the sample is kept apart to find the
 temperature that calibrates the probabilities.
 
-Defined results: null texts and texts without a letter are `und` with score 0; null and blank labels and null
-ids are not learned from; without any label everything is `und`; repeated rows are predicted alike; an empty
+Defined results: null texts and texts without a letter are `und` with score 0; null labels and
+null ids are not learned from, blank labels are labels like others; without any label everything is `und`; repeated rows are predicted alike; an empty
 table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,7 +28,6 @@ SAMPLE = 6000
 EACH = 100
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def counts_of(texts: list[str | None]) -> np.ndarray:
@@ -81,7 +78,7 @@ def temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def fit(docs: DataFrame, label: str = "lang") -> tuple:
     """docs: doc_id, text, label, the rows to learn from -> languages, idf, weights, temperature."""
     idf = idf_of(document_frequencies(docs, 1 << BITS, counts_of))
-    labelled = docs.select("doc_id", "text", F.col(label).alias("label")).where("doc_id is not null and trim(label) <> ''")
+    labelled = docs.select("doc_id", "text", F.col(label).alias("label")).where("doc_id is not null and label is not null")
 
     def sparse(batches):
         for part in pieces(batches, most=1 << 18, rows=ROWS):
@@ -120,7 +117,7 @@ def predict(docs: DataFrame, model: tuple) -> DataFrame:
                 p = softmax((tfidf(counts_of(texts), idf) @ w[:-1] + w[-1]).astype(np.float64) / heat)
                 best = p.argmax(axis=1)
                 for i, t in enumerate(texts):
-                    if t and LETTER.search(t):
+                    if t and any(map(str.isalpha, t)):
                         names[i], scores[i] = kinds[best[i]], p[i, best[i]]
             yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.array(names), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 

@@ -1,8 +1,8 @@
 """Personal data: base patterns, and a character-level BiLSTM-CRF that adds spans the patterns miss.
 
-The tagger is trained in numpy from labelled spans: windows of a bounded sample of documents with the base
-patterns' spans, and windows in which such spans are written in other ways (other separators, no country code,
-spaces around the at sign). A text is cut into overlapping windows; each is decoded, and the spans of all windows of
+The tagger is trained in numpy from labelled spans: windows of a bounded sample of whole documents with the base
+patterns' spans, windows in which such spans are written in other ways (other separators, no country code,
+spaces around the at sign), and windows around other signs and digits. A text is cut into overlapping windows; each is decoded, and the spans of all windows of
 a text are reconciled globally: of those that overlap, the set with the largest total of length times confidence
 stays. A found span must hold an at sign (email) or a fitting number of digits (others); so windows with neither
 sign nor digit can give no span and aren't decoded, which leaves the result the same. Model spans that touch a base
@@ -16,6 +16,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
+from bisect import bisect_left
+from heapq import nsmallest
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +28,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tagger
+from .common import checkpoint
 from .hashing import column, pieces
 from .tagger import KINDS
 
 WINDOW, OVERLAP = 128, 48
-#: The bound on the documents that training windows are taken from, and on the windows.
-SAMPLE_DOCS, SAMPLE_WINDOWS = 800, 2400
+#: The bound on the documents that training windows are taken from, and on the windows: a third for each group of them.
+SAMPLE_DOCS, SAMPLE_WINDOWS = 800, 1800
+#: Windows around synthetic spans, besides.
+SYNTHETIC = 1200
 #: Updates of the weights in training, each from a batch of windows.
-UPDATES, BATCH = 240, 64
+UPDATES, BATCH = 320, 64
 SURE = 0.6
 
 # The base patterns.
@@ -42,6 +49,8 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 DIGITS = {"ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
 SIGN = "[0-9@]"
+#: Letters about as often as in names.
+LETTERS = "eeeetaaaoooiiinnnsssrrrhlldcumfpgwybvkxjqz"
 
 
 def luhn(digits: str) -> bool:
@@ -69,7 +78,7 @@ def emails(text: str):
 def base_spans(text: str) -> list[tuple[int, str, int]]:
     """(start, kind, end) of the base patterns, by start, then by kind as listed."""
     out = [(s, 0, e) for s, e in emails(text)]
-    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m[0].split(".") if len(p) < 400) and max(map(len, m[0].split("."))) < 400]
+    out += [(m.start(), 1, m.end()) for m in IP.finditer(text) if all(len(p) <= 3 and int(p or 0) <= 255 for p in (x.lstrip("0") for x in m[0].split(".")))]
     for m in CARD.finditer(text):
         digits = re.sub("[^0-9]", "", m[0]) if m.end() - m.start() < 40 else ""
         if 14 <= len(digits) <= 19 and luhn(digits):
@@ -158,72 +167,98 @@ def model_spans(w: dict, texts: list[str], every: bool = False) -> list[list[tup
 
 
 def all_spans(base: list, added: list) -> list:
-    """Base spans, and those added that touch none of them, by start, then by kind."""
-    ends = sorted((s, e) for s, _, e in base)
-    free = [x for x in added if not any(s < x[2] and x[0] < e for s, e in ends)]
+    """Base spans (by start), and those added that touch none of them, by start, then by kind."""
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))
+    touched = lambda s, e: (n := bisect_left(starts, e)) and reach[n - 1] > s
+    free = [x for x in added if not touched(x[0], x[2])]
     return sorted([*base, *free], key=lambda x: (x[0], KINDS.index(x[1]), x[2]))
 
 
 def variants(kind: str, text: str, r: np.random.Generator) -> str:
-    """Another way to write a span."""
+    """Another way to write a span, which the base patterns miss or cut short."""
+    pick = lambda *options: options[int(r.integers(len(options)))]
     digits = re.sub("[^0-9]", "", text)
-    pick = int(r.integers(4))
     if kind == "email":
         name, _, host = text.partition("@")
-        return f"{name}{[' @ ', '@ ', ' @', '(@)'][pick]}{host}"
+        return f"{name}{pick(' @ ', '@ ', ' @', '(@)', '[@]', ' (@) ')}{host}"
     if kind == "ip":
-        return [" . ", ". ", "[.]", " ."][pick].join(text.split("."))
+        return pick(" . ", ". ", "[.]", " .", "(.)").join(text.split("."))
     if kind == "card":
-        return ["-", " ", ".", " - "][pick].join(digits[i : i + 4] for i in range(0, len(digits), 4))
+        size = pick(4, 4, 4, 5)
+        return pick("-", " ", ".", " - ", " . ", "/").join(digits[i : i + size] for i in range(0, len(digits), size))
     a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
-    return [f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b} {c}"][pick]
+    return pick(f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"({a}){b} {c}", f"{a} {b} {c}", f"{a}/{b}-{c}")
 
 
 def synthetic(kind: str, r: np.random.Generator) -> str:
     """A span of a kind, for samples that hold few."""
+    pick = lambda *options: options[int(r.integers(len(options)))]
     number = lambda n: "".join(map(str, r.integers(0, 10, n)))
-    word = lambda n: "".join(chr(97 + x) for x in r.integers(0, 26, n))
+    word = lambda n: "".join(LETTERS[int(x)] for x in r.integers(0, len(LETTERS), n))
     if kind == "email":
-        return f"{word(r.integers(3, 9))}.{number(2)}@{word(r.integers(3, 8))}.{['com', 'org', 'net', 'de'][r.integers(4)]}"
+        name = word(r.integers(2, 10)) + pick("", "", number(2), pick(".", "_", "-") + word(r.integers(2, 9)), "." + number(2))
+        return f"{name}@{pick('', '', 'mail.', word(3) + '.')}{word(r.integers(3, 10))}.{pick('com', 'org', 'net', 'de', 'edu', 'info')}"
     if kind == "ip":
-        return ".".join(str(x) for x in r.integers(1, 256, 4))
+        return ".".join(str(x) for x in r.integers(0, 256, 4))
     if kind == "card":
-        body = number(15)
+        body = number(pick(15, 15, 15, 14, 18))
         return next(body + d for d in "0123456789" if luhn(body + d))
     return f"+{r.integers(1, 99)} ({number(3)}) {number(3)}-{number(4)}"
 
 
-def training_windows(texts: list[str], seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Windows and tags from texts: around base spans, around rewritten and synthetic ones, and around other signs."""
+def windows_of(text: str):
+    """(group, window, spans in it) of a whole text: around base spans, around rewritten ones, around each other sign."""
+    r = np.random.default_rng(zlib.crc32(text.encode()))
+    spans = base_spans(text)
+    starts, free = [s for s, _, _ in spans], np.ones(len(text) + 3, bool)
+
+    def inside(lo):
+        own = spans[bisect_left(starts, lo) : bisect_left(starts, lo + WINDOW)]
+        return text[lo : lo + WINDOW], [(a - lo, q, b - lo) for a, q, b in own if b <= lo + WINDOW]
+
+    for s, k, e in spans:
+        free[max(0, s - 2) : e + 3] = False
+        yield 0, *inside(max(0, s - int(r.integers(0, WINDOW - min(WINDOW - 1, e - s)))))
+        new = variants(k, text[s:e], r)
+        left, right = text[max(0, s - int(r.integers(8, 60))) : s], text[e : e + WINDOW]
+        if not base_spans(left):
+            yield 1, (left + new + right)[:WINDOW], [(len(left), k, len(left) + len(new))]
+    for m in re.finditer(SIGN, text):
+        if free[m.start()]:
+            yield 2, *inside(max(0, m.start() - int(r.integers(10, 90))))
+
+
+def _drawn_windows(batches):
+    """The windows of all texts, of each group those with the least draws; a task keeps SAMPLE_WINDOWS of them at most."""
+    kept: list[list] = [[], [], []]
+    for part in pieces(batches):
+        for text in column(part, "text").to_pylist():
+            for i, (group, window, spans) in enumerate(windows_of(text)):
+                kept[group].append((zlib.crc32(f"{i} {window}".encode()), window, joined(spans)))
+                if len(kept[group]) > 2 * SAMPLE_WINDOWS:
+                    kept[group] = nsmallest(SAMPLE_WINDOWS, kept[group])
+    for group, rows in enumerate(kept):
+        rows = nsmallest(SAMPLE_WINDOWS, rows)
+        yield pa.RecordBatch.from_arrays([pa.array([group] * len(rows), pa.int32()), *(pa.array([x[c] for x in rows], t) for c, t in enumerate((pa.int64(), pa.string(), pa.string())))], ["g", "draw", "window", "spans"])
+
+
+def training_windows(rows: list[tuple[str, str]], seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Windows and tags: those drawn (window, spans as text), and windows around synthetic spans, most of them rewritten."""
     r = np.random.default_rng(seed)
-    rows: list[tuple[str, list]] = []
-    plain = [t for t in texts if t] or ["some plain words of a text with a few numbers like 12 and 2024 in it"]
-    for t in texts:
-        spans = base_spans(t)
-        for s, k, e in spans:
-            lo = max(0, s - int(r.integers(0, WINDOW - min(WINDOW - 1, e - s))))
-            rows.append((t[lo : lo + WINDOW], [(a - lo, q, b - lo) for a, q, b in spans if a >= lo and b <= lo + WINDOW]))
-            new = variants(k, t[s:e], r)
-            left, right = t[max(0, s - int(r.integers(8, 60))) : s], t[e : e + WINDOW]
-            if not base_spans(left):
-                rows.append(((left + new + right)[:WINDOW], [(len(left), k, len(left) + len(new))]))
-        covered = sorted((s, e) for s, _, e in spans)
-        for m in list(re.finditer(SIGN, t))[:: 8]:
-            if not any(s - 2 <= m.start() <= e + 2 for s, e in covered):
-                lo = max(0, m.start() - int(r.integers(10, 90)))
-                rows.append((t[lo : lo + WINDOW], [(a - lo, q, b - lo) for a, q, b in spans if a >= lo and b <= lo + WINDOW]))
-    for i in range(400):
+    plain = [re.sub(SIGN, "", w) for w, _ in rows] or ["some plain words of a text with a few numbers in it"]
+    pairs = [(w, [(int(s), k, int(e)) for k, s, e in (x.split(":") for x in spans.split(",") if x)]) for w, spans in rows]
+    for i in range(SYNTHETIC):
         k = KINDS[i % 4]
         t = plain[int(r.integers(len(plain)))]
-        at = int(r.integers(0, len(t)))
-        left = re.sub(SIGN, "", t[max(0, at - int(r.integers(8, 60))) : at]).rstrip() + " "
+        at = int(r.integers(0, len(t) + 1))
+        left, right = t[max(0, at - int(r.integers(8, 60))) : at].rstrip() + " ", " " + t[at:].lstrip()
         new = synthetic(k, r)
-        new = variants(k, new, r) if i % 8 >= 4 else new
-        right = " " + re.sub(SIGN, "", t[at : at + WINDOW]).lstrip()
-        rows.append(((left + new + right)[:WINDOW], [(len(left), k, len(left) + len(new))]))
-    rows = [rows[i] for i in r.permutation(len(rows))[:SAMPLE_WINDOWS]]
-    ids, tags = np.zeros((len(rows), WINDOW), np.int16), np.zeros((len(rows), WINDOW), np.int64)
-    for x, y, (t, spans) in zip(ids, tags, rows):
+        new = variants(k, new, r) if i % 16 >= 4 else new
+        pairs.append(((left + new + right)[:WINDOW], [(len(left), k, len(left) + len(new))]))
+    pairs = [pairs[i] for i in r.permutation(len(pairs))]
+    ids, tags = np.zeros((len(pairs), WINDOW), np.int16), np.zeros((len(pairs), WINDOW), np.int64)
+    for x, y, (t, spans) in zip(ids, tags, pairs):
         s = tagger.symbols(t)
         x[: len(s)] = s
         for a, k, b in spans:
@@ -234,16 +269,20 @@ def training_windows(texts: list[str], seed: int = 2) -> tuple[np.ndarray, np.nd
 
 
 def fit(docs: DataFrame) -> dict:
-    """Weights trained on a bounded sample of the documents that hold a sign or digit: at most SAMPLE_DOCS passages."""
-    signed = docs.select("doc_id", "text").where(F.col("text").rlike(SIGN))
-    total = signed.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))
-    share = min(1.0, (1.5 * SAMPLE_DOCS + 100) / max(total, 1))
-    # a passage around the first signs is enough to learn from, and bounds what is fetched
-    near = F.regexp_extract("text", f"(?s).{{0,200}}{SIGN}.{{0,1200}}", 0)
-    found = signed.where(draw < int(share * (1 << 30)) + 1).select("doc_id", near.alias("text"), draw.alias("d"))
-    rows = found.orderBy("d", "doc_id", "text").limit(SAMPLE_DOCS).collect()
-    ids, tags = training_windows([r["text"] for r in rows])
+    """Weights trained on windows of a bounded sample: at most SAMPLE_DOCS different texts with a sign or digit, taken whole.
+
+    Tasks cut their windows; the driver gets SAMPLE_WINDOWS of them at most.
+    """
+    draw = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
+    share = min(1.0, (1.5 * SAMPLE_DOCS + 100) / max(docs.count(), 1))
+    near = docs.select("text", draw.alias("d")).where(F.col("d") < int(share * (1 << 30)) + 1).where(F.col("text").rlike(SIGN))
+    last = near.select("d").distinct().orderBy("d").limit(SAMPLE_DOCS).agg(F.max("d")).head()[0] or 0
+    texts = near.where(F.col("d") <= last).groupBy("d").agg(F.min("text").alias("text"))
+    found = checkpoint(texts.select("text").mapInArrow(_drawn_windows, "g int, draw long, window string, spans string"))
+    rows = []
+    for g in range(3):
+        rows += found.where(F.col("g") == g).orderBy("draw", "window").limit(SAMPLE_WINDOWS // 3).collect()
+    ids, tags = training_windows([(r["window"], r["spans"]) for r in rows])
     return tagger.train(ids, tags, -(-UPDATES * BATCH // len(ids)), BATCH)
 
 

@@ -7,7 +7,7 @@ trusted. The final scores use the counts of all training documents.
 
 Counting and looking up are one exchange. A task takes its documents in blocks; a block asks each hash bucket for the
 counts of its distinct words and bigrams and brings its own counts along; a bucket sums what all blocks bring and
-answers each of them in its order. The texts are read once: a block is kept as its distinct words and their places.
+answers each of them in its order. The texts are read once: a block travels with its requests, compressed.
 Blocks have a bounded size whatever the input, and so have buckets: their number grows with the input, and where there
 are more than FAN blocks, the requests of FAN blocks to a bucket are merged into one, and these again, until a bucket
 gets FAN requests at most, however many blocks ask for its words; answers go down the same way. Words are told apart
@@ -94,13 +94,13 @@ class _Block:
     """The documents of a block as they come, then its rows (kind, bucket, block, a, b, c)."""
 
     def __init__(self):
-        self.tokens, self.sizes, self.ids, self.folds, self.bytes = [], [], [], [], 0
+        self.tokens, self.sizes, self.docs, self.folds, self.bytes = [], [], [], [], 0
 
     def add(self, texts, ids, folds: np.ndarray):
         tokens, sizes = token_hashes(texts)
         self.tokens.append(tokens)
         self.sizes.append(sizes)
-        self.ids.append(ids.cast(pa.int64()))
+        self.docs.append(pa.record_batch([ids.cast(pa.int64()), pa.array(folds), texts.cast(pa.large_string())], ["doc_id", "fold", "text"]))
         self.folds.append(folds)
         self.bytes += texts.nbytes
 
@@ -115,12 +115,10 @@ class _Block:
             edge = np.flatnonzero(np.diff(bucket, prepend=-1))
             for lo, hi in zip(edge, [*edge[1:], len(every)]):
                 yield kind, int(bucket[lo]), block, _pack_sorted(every[lo:hi]), _pack(counts[0][lo:hi]), _pack(counts[1][lo:hi])
-            if kind == WORD:
-                docs = pa.record_batch([pa.concat_arrays(self.ids), pa.array(folds), pa.array(sizes)], ["doc_id", "fold", "size"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, docs.schema) as out:
-                    out.write_batch(docs)
-                yield OWN, block, block, _pack_sorted(every), _pack(place.astype(np.uint32)), sink.getvalue().to_pybytes()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.docs[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+            out.write_table(pa.Table.from_batches(self.docs).combine_chunks())
+        yield OWN, block, block, None, None, sink.getvalue().to_pybytes()
 
 
 def _asked(bits: int):
@@ -227,17 +225,14 @@ class _Counts:
 
     def __init__(self, rows: pa.Table, bits: int):
         rows = sorted(zip(*(rows.column(c).to_pylist() for c in ("kind", "bucket", "a", "b", "c"))), key=lambda r: r[:2])
-        _, _, words, places, docs = rows[-1]
-        place = _unpack(places, np.uint32)
-        self.docs = pa.ipc.open_stream(docs).read_all()
-        sizes = self.docs.column("size").to_numpy()
-        tokens = _unpack_sorted(words)[place]
-        self.first = np.cumsum(sizes) - sizes
-        pairs = np.unique(pair_keys(contexts(tokens, sizes), tokens, bits), return_inverse=True)[1]
+        self.docs = pa.ipc.open_stream(rows[-1][4]).read_all()
+        tokens, self.sizes = token_hashes(self.docs.column("text"))
+        self.first = np.cumsum(self.sizes) - self.sizes
         self.got = {}
-        for kind, where in ((WORD, place), (PAIR, pairs)):
+        for kind, keys in ((WORD, tokens), (PAIR, pair_keys(contexts(tokens, self.sizes), tokens, bits))):
+            place = np.unique(keys, return_inverse=True)[1]
             mine = [r for r in rows if r[0] == kind]
-            self.got[kind] = [np.concatenate([_unpack(r[c], np.int64) for r in mine])[where] for c in (2, 3)]
+            self.got[kind] = [np.concatenate([_unpack(r[c], np.int64) for r in mine])[place] for c in (2, 3)]
 
     def counts(self, documents: int, held: bool):
         """c(word), c(context), c(context, word) of each token; held: without the held-out documents."""
@@ -305,7 +300,7 @@ def language_scores(docs: DataFrame) -> DataFrame:
         base = np.log10((word + 0.1) / (tokens + 0.1 * (types + 1)))
         score = np.log10(w[:, 0] * two + w[:, 1] * one + w[:, 2] * none)
         held = pa.array(block.docs.column("fold").to_numpy() == TEST)
-        out = [block.docs.column("doc_id"), held, block.docs.column("size"), total((word > 0).astype(np.int64)), np.full(len(held), tokens), total(base), total(score)]
+        out = [block.docs.column("doc_id"), held, block.sizes, total((word > 0).astype(np.int64)), np.full(len(held), tokens), total(base), total(score)]
         return pa.table([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in out], names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return answers.groupBy("block").applyInArrow(scored, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

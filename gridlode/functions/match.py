@@ -33,17 +33,24 @@ def _words(x) -> Column:
     return F.filter(F.split(x, " "), lambda w: F.length(w) > 2)
 
 
-def match_score(company, site, facility, city) -> Column:
-    """Points for normalised names: 50 and 30 for containment, 10 or 5 for each pair of words, 15 for each word of the place."""
-    company, site, facility, city = map(_c, (company, site, facility, city))
+def name_points(company, facility) -> Column:
+    """50 for containment, 10 or 5 for each pair of words that are equal or within each other."""
+    return F.when(_within(_c(company), _c(facility)), 50).otherwise(0) + _pairs(company, facility, lambda a, b: F.when(a == b, 10).when(_within(a, b), 5).otherwise(0))
+
+
+def place_points(site, city) -> Column:
+    """30 for containment, 15 for each pair of equal words."""
+    return F.when(_within(_c(site), _c(city)), 30).otherwise(0) + _pairs(site, city, lambda a, b: F.when(a == b, 15).otherwise(0))
 
-    def total(left, right, points):
-        each = lambda s, a: s + F.aggregate(_words(right), F.lit(0), lambda t, b: t + points(a, b))
-        return F.aggregate(_words(left), F.lit(0), each)
 
-    names = total(company, facility, lambda a, b: F.when(a == b, 10).when(_within(a, b), 5).otherwise(0))
-    places = total(site, city, lambda a, b: F.when(a == b, 15).otherwise(0))
-    return F.when(_within(company, facility), 50).otherwise(0) + F.when(_within(site, city), 30).otherwise(0) + names + places
+def _pairs(left, right, points) -> Column:
+    each = lambda s, a: s + F.aggregate(_words(_c(right)), F.lit(0), lambda t, b: t + points(a, b))
+    return F.aggregate(_words(_c(left)), F.lit(0), each)
+
+
+def match_score(company, site, facility, city) -> Column:
+    """Points for normalised names and places."""
+    return name_points(company, facility) + place_points(site, city)
 
 
 def same_state(a, b) -> Column:
@@ -67,8 +74,17 @@ def in_same_state(companies: DataFrame, facilities: DataFrame) -> DataFrame:
 def best_facilities(companies: DataFrame, facilities: DataFrame, least: int = 25) -> DataFrame:
     """id, fid and score of the best facility of each company in a matching state, if it has `least` points; ties take the least fid.
 
-    companies: id, company, site, state; facilities: fid, facility, city, state; names normalised.
+    companies: id, company, site, state; facilities: fid, facility, city, state; names normalised. Equal rows are one:
+    companies of the same name, site and state share a result, and of such facilities the least fid counts. Names and
+    places are scored once for each pair of different texts that meets.
     """
-    scored = in_same_state(companies, facilities).withColumn("score", match_score("company", "site", "facility", "city"))
-    best = scored.groupBy("id").agg(F.min_by("fid", F.struct(-F.col("score"), "fid")).alias("fid"), F.max("score").cast("long").alias("score"))
-    return best.where(F.col("score") >= least)
+    own = ["company", "site", "state"]
+    companies = companies.withColumn("state", F.upper(F.coalesce("state", F.lit(""))))
+    each = facilities.withColumn("state", F.upper(F.coalesce("state", F.lit("")))).groupBy("facility", "city", "state").agg(F.min("fid").alias("fid"))
+    met = in_same_state(companies.select(*own).distinct().withColumn("own", F.struct(*own)), each)
+    points = lambda a, b, f, name: met.select(a, b).distinct().withColumn(name, f(a, b))
+    scored = met.join(points("company", "facility", name_points, "_n"), ["company", "facility"]).join(points("site", "city", place_points, "_p"), ["site", "city"])
+    scored = scored.withColumn("score", F.col("_n") + F.col("_p"))
+    best = scored.groupBy("own").agg(F.min_by("fid", F.struct(-F.col("score"), "fid")).alias("fid"), F.max("score").cast("long").alias("score"))
+    best = best.where(F.col("score") >= least).select("own.*", "fid", "score")
+    return companies.join(best, own).select("id", "fid", "score")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, extract, geo, match
 from ..operators import scoring, spatial, stats, upsert
+from . import routes
 from .views import Views, duck
 
 QUERIES: dict = {}
@@ -73,13 +74,8 @@ def lookup_box(v):  # P11, G31
     return v.geo_points.groupBy((geo.in_box("latitude", "longitude", geo.LOOKUP_BOX) & geo.valid_lonlat("longitude", "latitude")).alias("ok")).agg(F.count("*").alias("n"))
 
 
-@query("select gid, floor(longitude / 0.5)::bigint as cx, floor(latitude / 0.5)::bigint as cy from geo_points where gid % 10 < 3")
-def floor_cells(v):  # G23 over the rows of its SQL; P23 is files.rows_between
-    return v.geo_points.where("gid % 10 < 3").select("gid", geo.cell("longitude", 0.5).alias("cx"), geo.cell("latitude", 0.5).alias("cy"))
-
-
 @query("select gid, floor(longitude / 0.5)::bigint as cx, floor(latitude / 0.5)::bigint as cy from geo_points")
-def floor_cells_all(v):  # G23
+def floor_cells(v):  # G23
     return v.geo_points.select("gid", geo.cell("longitude", 0.5).alias("cx"), geo.cell("latitude", 0.5).alias("cy"))
 
 
@@ -97,7 +93,7 @@ def mercator_to_wgs84(v):  # G1-G4
 
 @query("""with w as (select gid, 'SRID=4326;POINT(' || cast(round(longitude, 3)::decimal(10, 3) as string) || ' ' || cast(round(latitude, 3)::decimal(10, 3) as string) || ')' as wkt, longitude, latitude from geo_points)
   select gid, 4326 as srid, round(longitude, 3) as x, round(latitude, 3) as y from w""")
-def wkt_points(v):  # G5, G8-G10
+def wkt_points(v):  # G8-G10
     text = lambda c: F.round(c, 3).cast("decimal(10,3)").cast("string")
     w = v.geo_points.select("gid", F.concat(F.lit("SRID=4326;POINT("), text("longitude"), F.lit(" "), text("latitude"), F.lit(")")).alias("wkt"))
     srid, x, y = geo.parse_wkt_point("wkt")
@@ -394,7 +390,7 @@ def purge_unseen(v):  # K18
 
 
 @query("select latitude, longitude, depth_m, min(gid) as gid from geo_points group by 1, 2, 3")
-def ingest_keep_first(v):  # K3, K1, K27
+def ingest_keep_first(v):  # K3, K27
     keys = ["latitude", "longitude", "depth_m"]
     p = v.geo_points.select(*keys, "gid").crossJoin(F.broadcast(v.geo_points.agg((F.max("gid") / 2).alias("_half"))))
     old = upsert.first_per_key(p.where("gid <= _half").drop("_half"), keys, [F.col("gid")])
@@ -410,7 +406,7 @@ def ingest_keep_old(v):  # K3 with new rows for most of the old keys
 
 
 @query("select region, case when exists (select 1 from listings x where x.region = l.region and x.status = 'active') then 'new' else 'old' end as origin, max(sale_group) filter (status = 'active') as sale_group from listings l group by region")
-def upsert_latest_wins(v):  # K5, K7, K9, K11
+def upsert_latest_wins(v):  # K5, K7, K9
     rows = v.listings.select("region", F.lit("old").alias("origin"), F.lit(None).cast("long").alias("sale_group")).distinct()
     new = v.listings.where("status = 'active'").select("region", F.lit("new").alias("origin"), "sale_group")
     return upsert.latest_wins(rows, new, ["region"], [F.desc("sale_group")])
@@ -448,16 +444,8 @@ def card_dedupe(v):  # W3
     return upsert.first_cards(pages, "page_id").select("page_id", "name", "operator", "street")
 
 
-@query("select parcel_id, acres from (select parcel_id, acres from parcels where parcel_id % 7 = 0)")
-def unnest_rows(v):  # K13 over the rows of its SQL
-    from pyspark.sql import Window  # noqa: F401
-
-    packed = v.parcels.where("parcel_id % 7 = 0").groupBy("sale_group").agg(F.collect_list(F.struct("parcel_id", "acres")).alias("s"))
-    return upsert.unnest(packed.select(F.col("s.parcel_id").alias("parcel_id"), F.col("s.acres").alias("acres")), ["parcel_id", "acres"])
-
-
 @query("select parcel_id, acres from parcels")
-def unnest_rows_all(v):  # K13
+def unnest_rows(v):  # K13
     packed = v.parcels.groupBy("sale_group").agg(F.collect_list(F.struct("parcel_id", "acres")).alias("s"))
     return upsert.unnest(packed.select(F.col("s.parcel_id").alias("parcel_id"), F.col("s.acres").alias("acres")), ["parcel_id", "acres"])
 
@@ -491,7 +479,7 @@ def duplicate_coords(v):  # A24
 
 
 @query("select 'geothermal' as layer_name, 'geo_points' as table_name, count(*) as row_count from geo_points union all select 'lines', 'geo_lines', count(*) from geo_lines union all select 'missing', 'none', 0")
-def dataset_row_counts(v):  # J14, J17, K11, S14
+def dataset_row_counts(v):  # J14, J17, S14
     registry = v.spark.createDataFrame([("geothermal", "geo_points"), ("lines", "geo_lines"), ("missing", "none")], "layer_name string, table_name string")
     counts = None
     for name in ("geo_points", "geo_lines"):
@@ -583,7 +571,7 @@ def emission_range(v):  # A18, A19
 
 @query("""with e as (select site, coalesce(total_emissions_2023, 0) as x from emitters) select site, round(case when x <= 0 then 5.0 when x <= 50000 then 5 + x / 50000 * 2 when x <= 100000 then 7 + (x - 50000) / 50000 * 2 when x <= 500000 then 9 + (x - 100000) / 400000 * 3
   when x <= 1000000 then 12 + (x - 500000) / 500000 * 3 when x <= 5000000 then 15 + (x - 1000000) / 4000000 * 5 when x <= 16000000 then 20 + (x - 5000000) / 11000000 * 8 else 28.0 end, 6) as radius from e""")
-def emitter_sizes(v):  # F19, F10
+def emitter_sizes(v):  # F19
     return v.emitters.select("site", F.round(clean.interpolate("total_emissions_2023"), 6).alias("radius"))
 
 
@@ -648,7 +636,7 @@ WORDS = lambda x: f"list_filter(string_split({x}, ' '), lambda w: length(w) > 2)
     + coalesce(list_sum(flatten(list_transform({WORDS('company')}, lambda a: list_transform({WORDS('facility')}, lambda b: case when a = b then 10 when contains(a, b) or contains(b, a) then 5 else 0 end)))), 0)
     + coalesce(list_sum(flatten(list_transform({WORDS('site')}, lambda a: list_transform({WORDS('city')}, lambda b: case when a = b then 15 else 0 end)))), 0) as score from c join f using (state))
   select id, arg_min(fid, struct_pack(a := -score, b := fid))::bigint as fid, max(score)::bigint as score from s group by id having max(score) >= 25""")
-def fuzzy_match(v):  # J13, F21, P26; its states are equal or don't match
+def fuzzy_match(v):  # J13, F21; its states are equal or don't match
     text = lambda x: match.normalise_name(x)
     c = v.table("part").select(F.col("p_partkey").alias("id"), text("p_type").alias("company"), text(F.concat("p_brand", F.lit(" site"))).alias("site"), (F.col("p_partkey") % 10).cast("string").alias("state"))
     names = F.element_at(F.array(*map(F.lit, ("Economy Brass LLC", "Large Burnished Corp", "Promo Steel Co", "Standard Plated Inc"))), (F.col("s_suppkey") % 4 + 1).cast("int"))
@@ -674,13 +662,13 @@ def page_links(v):  # F36, S16
 
 
 @query("""select page_id, replace(replace(replace(replace(replace(nullif(trim(regexp_extract(html, '<title[^>]*>([^<]*)', 1)), ''), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') as title, length(html) >= 500 and not regexp_matches(html, '(?i)access denied|captcha|verify you are human') as ok from html""")
-def page_titles(v):  # F39, F41, F42, S17
+def page_titles(v):  # S17
     return v.html.select("page_id", extract.title_of("html").alias("title"), extract.valid_page("html").alias("ok"))
 
 
 @query("""with l as (select page_id, url, unnest(regexp_extract_all(html, '<a\\b[^>]*?href=["'']([^"'']*)["''][^>]*>([^<]*)', 1)) as href from html)
   select href, min(page_id) as page_id, count(*) as n from l group by href""")
-def url_dedupe(v):  # W6, F38
+def url_dedupe(v):  # W6
     links = v.html.select("page_id", F.explode(extract.anchors("html")).alias("a"))
     return links.groupBy(F.col("a.href").alias("href")).agg(F.min("page_id").alias("page_id"), F.count("*").alias("n"))
 
@@ -691,13 +679,13 @@ def resolved_urls(v):  # F31, P24
 
 
 @query("select event_id, try_cast(json_extract_string(props, '$.k') as bigint) as k, coalesce(try_cast(json_extract_string(props, '$.k') as bigint) > 50, false) as large from events")
-def json_props(v):  # F40, F45, F27
+def json_props(v):  # values out of JSON
     k = F.get_json_object("props", "$.k").try_cast("long")
     return v.table("events").select("event_id", k.alias("k"), F.coalesce(k > 50, F.lit(False)).alias("large"))
 
 
 @query("select c_custkey as id, try_cast(replace(printf('%.0f', c_acctbal * 100), '.', '') as bigint) as plain, case when c_custkey % 3 = 0 then null else floor(abs(c_acctbal))::bigint end as emissions from customer")
-def thousands(v):  # F22, F5, F7
+def thousands(v):  # F22
     rows = v.table("customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
     text = F.when(F.col("id") % 3 == 0, "---").otherwise(F.format_number(F.floor(F.abs("c_acctbal")), 0))
     return rows.select("id", F.format_string("%.0f", F.col("c_acctbal") * 100).try_cast("long").alias("plain"), match.parse_thousands(text).alias("emissions"))
@@ -706,3 +694,42 @@ def thousands(v):  # F22, F5, F7
 @query("select internal_id, coalesce(nullif(address_full, ''), 'Unknown') as address, nullif(trim(state), '') as state from datacenters")
 def defaults(v):  # P27, F8
     return v.datacenters.select("internal_id", clean.or_default("address_full", "Unknown").alias("address"), clean.clean_string("state").alias("state"))
+
+
+# routes of the service
+
+
+@query("select l.layer_name, coalesce(c.n, 0) as row_count from (values ('points', '2024'), ('lines', '2023'), ('none', '2022')) l(layer_name, created_at) left join (select 'points' as k, count(*) as n from geo_points union all select 'lines', count(*) from geo_lines) c on c.k = l.layer_name")
+def route_datasets(v):
+    registry = v.spark.createDataFrame([("points", "points", "2024"), ("lines", "lines", "2023"), ("none", "gone", "2022")], "layer_name string, table_name string, created_at string")
+    count = lambda name, rows: rows.agg(F.count("*").alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
+    return routes.datasets(registry, count("points", v.geo_points).unionByName(count("lines", v.geo_lines))).select("layer_name", "row_count")
+
+
+@query("""select temperature_f, round(km, 6) as distance_km, depth_m, latitude, longitude from (select *, 2 * 6371.0088 * asin(sqrt(least(1.0, pow(sin((radians(latitude) - radians(38.0)) / 2), 2) + cos(radians(38.0)) * cos(radians(latitude)) * pow(sin(radians(longitude + 100.0) / 2), 2)))) as km from geo_points)
+  where km <= 50 and depth_m between 2900 and 3100 order by km limit 1""")
+def route_temperature_lookup(v):
+    return routes.temperature_lookup(v.geo_points, 38.0, -100.0, 3000.0).withColumn("distance_km", F.round("distance_km", 6))
+
+
+@query("select longitude, latitude, depth_m, temperature_f from geo_points where longitude between -105 and -95 and latitude between 35 and 45 and depth_m between 3950 and 4050")
+def route_tile_data(v):
+    return routes.geothermal_tile_data(v.geo_points, -105.0, 35.0, -95.0, 45.0, 4000.0)
+
+
+@query("select parcel_id, sale_group, longitude, latitude from parcels where is_active")
+def route_pins(v):
+    return routes.pins(v.parcels).select("parcel_id", "sale_group", "longitude", "latitude")
+
+
+@query("select site, name, emissions from ethanol")
+def route_ethanol_plants(v):
+    return routes.ethanol_plants(v.ethanol).select("site", "name", "emissions")
+
+
+@query("select cell_id, case when code = 'BSMT3' then 'U' when dt < 3000 then 'F' when dt < 6000 then 'M' else 'U' end as quality from geology where dt >= 2000")
+def route_geology(v):
+    return routes.geology(v.geology, 2000.0).select("cell_id", "quality")
+
+
+from . import ingest, pages, shapes  # noqa: E402, F401  they register their queries

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import clean, geo
 from ..operators import spatial, stats
+from ..sources import sinks
 
 
 def datasets(registry: DataFrame, counts: DataFrame) -> DataFrame:
@@ -56,15 +57,36 @@ def mesh(points: DataFrame, depth: float) -> DataFrame:
     return spatial.hex_mesh(points.where(F.col("depth_m").between(depth - 50, depth + 50)))
 
 
+def storage_sites(rows: DataFrame) -> DataFrame:
+    """Carbon storage sites with coordinates, by name."""
+    return datacenters(rows)
+
+
+def ethanol_plants(rows: DataFrame) -> DataFrame:
+    """Plants by emissions, unknown ones last."""
+    return rows.orderBy(F.col("emissions").desc_nulls_last())
+
+
+def geology(rows: DataFrame, least_depth: float | None = None) -> DataFrame:
+    """Cells with their quality, from a depth on."""
+    rows = rows if least_depth is None else rows.where(F.col("dt") >= least_depth)
+    return rows.withColumn("quality", clean.geology_quality("dt", clean.described("code", clean.BASEMENT_TYPES)))
+
+
+#: What each route of the service answers; health, configuration, crawling and schema changes are left out.
 ROUTES = {
-    "GET /api/datasets": datasets,
-    "GET /api/datasets/:id/stats": dataset_stats,
-    "POST /api/temperature-lookup": temperature_lookup,
-    "POST /api/geothermal-tile-data": geothermal_tile_data,
-    "GET /api/energynet-parcels": parcels,
-    "GET /api/energynet-pins": pins,
-    "GET /api/datacenters": datacenters,
-    "GET /api/emitters": emitters,
-    "GET /api/emitters/categories": emitter_categories,
-    "GET /api/generate-cache/:dataSource": mesh,
+    "datasets": datasets,
+    "datasets/stats": dataset_stats,
+    "temperature lookup": temperature_lookup,
+    "tile data": geothermal_tile_data,
+    "parcels": parcels,
+    "pins": pins,
+    "datacenters": datacenters,
+    "storage sites": storage_sites,
+    "emitters": emitters,
+    "emitter categories": emitter_categories,
+    "ethanol plants": ethanol_plants,
+    "geology": geology,
+    "cached mesh": mesh,
+    "save cache": sinks.save_cache,
 }

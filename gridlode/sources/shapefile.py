@@ -73,3 +73,36 @@ def read_shapefiles(spark: SparkSession, path: str, every: int = 1, most: int |
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     out = files.mapInPandas(_records, SCHEMA).where(F.col("record") % every == 0)
     return out if most is None else out.limit(most)
+
+
+def _box(points) -> tuple:
+    xs, ys = zip(*points)
+    return min(xs), min(ys), max(xs), max(ys)
+
+
+def archive(keys: list[str], rings: list[list[tuple]], layer: str = "cells") -> bytes:
+    """A zipped shapefile of polygons of one ring each, with their keys as the attribute KEY."""
+    bodies = [struct.pack("<i4d2ii", 5, *_box(ring), 1, len(ring), 0) + b"".join(struct.pack("<2d", *p) for p in ring) for ring in rings]
+    size = 50 + sum(4 + len(b) // 2 for b in bodies)
+    head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size) + struct.pack("<2i8d", 1000, 5, *_box([p for r in rings for p in r]), 0, 0, 0, 0)
+    shp = head + b"".join(struct.pack(">2i", i + 1, len(b) // 2) + b for i, b in enumerate(bodies))
+    width = max(len(k) for k in keys)
+    dbf = struct.pack("<4BIHH20x", 3, 24, 1, 1, len(keys), 65, width + 1) + struct.pack("<11sc4xBB14x", b"KEY", b"C", width, 0) + b"\r"
+    dbf += b"".join(b" " + k.encode().ljust(width) for k in keys) + b"\x1a"
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(f"{layer}.shp", shp)
+        z.writestr(f"{layer}.dbf", dbf)
+    return out.getvalue()
+
+
+def write_archives(cells: DataFrame, path: str) -> None:
+    """cells: archive, key, ring -> a file per archive with its cells by key. An archive is made by one task: deal few cells to each."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("key")
+        rings = [[(p["x"], p["y"]) for p in ring] for ring in pdf["ring"]]
+        return pd.DataFrame({"value": [archive([str(k) for k in pdf["key"]], rings)]})
+
+    made = cells.groupBy("archive").applyInPandas(pack, "value binary")
+    made.select(F.col("value").cast("string").alias("value")).write.option("maxRecordsPerFile", 1).text(path)

@@ -40,6 +40,11 @@ def feature_collection(rows: DataFrame, total: str | None = None, as_of: str | N
     return json.dumps({"type": "FeatureCollection", "features": [json.loads(r["value"]) for r in found], "metadata": meta})
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """CSV with headers; quotes in fields are doubled, NULL is empty."""
+    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+
+
 def export_frame(facilities: DataFrame) -> DataFrame:
     """The fixed columns of an export, times in ISO form."""
     have = set(facilities.columns)

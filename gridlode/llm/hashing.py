@@ -47,10 +47,11 @@ def _power_table(n: int) -> list[np.ndarray]:
 
 
 def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """The UTF-8 bytes of a string column, end to end, and the offsets of its rows; null is empty."""
+    """The bytes of a string (UTF-8) or binary column, end to end, and the offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+    kind = pa.large_binary() if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else pa.large_string()
+    column = column.cast(kind).fill_null(b"" if kind == pa.large_binary() else "")
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, where, data = column.buffers()

@@ -29,6 +29,8 @@ from .common import checkpoint, fresh_path, join_counted, join_small, with_row_i
 from .hashing import column, pieces
 
 LEAST = 100
+#: A task holds about so many bytes of records at a time, or one record.
+HELD = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
 #: A gzip member of no bytes.
 EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
@@ -36,22 +38,23 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record_id(page) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page}')}>"
+def record_id(row: int) -> str:
+    """Pages may have no id or share one; rows have numbers of their own."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'row:{row}')}>"
 
 
-def member(page, url: str | None, payload: bytes, digest: str, refers, revisit: bool, date: str = DATE) -> bytes:
+def member(row: int, page, url: str | None, payload: bytes, digest: str, refers, refers_row, revisit: bool, date: str = DATE) -> bytes:
     """One record as a gzip member."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(page)}", f"WARC-Date: {date}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {record_id(row)}", f"WARC-Date: {date}"]
     if page is not None:
         lines.append(f"WARC-Page-ID: {page}")
     if url is not None:
         lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
     lines.append(f"WARC-Payload-Digest: sha256:{digest}")
     if revisit:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers)}"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {record_id(refers_row)}"]
         if refers is not None:
             lines.append(f"WARC-Refers-To-Page-ID: {refers}")
     lines += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}", "", ""]
@@ -70,14 +73,15 @@ def parse(raw: bytes) -> tuple[dict, bytes]:
 
 
 def write_warc(pages: DataFrame, path: str) -> None:
-    """Writes pages (page_id, url, payload string, digest, refers, revisit) as archives in the folder path."""
+    """Writes pages (_rid, page_id, url, payload string, digest, refers, refers_row, revisit) as archives in the folder path."""
+    fields = ["_rid", "page_id", "url", "payload", "digest", "refers", "refers_row", "revisit"]
 
     def run(batches):
         for part in pieces(batches, text="payload"):
-            rows = zip(*(column(part, c).to_pylist() for c in ("page_id", "url", "payload", "digest", "refers", "revisit")))
-            yield pa.RecordBatch.from_arrays([pa.array([member(p, u, t.encode(), d, r, v) for p, u, t, d, r, v in rows], pa.binary())], ["member"])
+            rows = zip(*(column(part, c).to_pylist() for c in fields))
+            yield pa.RecordBatch.from_arrays([pa.array([member(i, p, u, t.encode(), *rest) for i, p, u, t, *rest in rows], pa.binary())], ["member"])
 
-    members = pages.select("page_id", "url", "payload", "digest", "refers", "revisit").mapInArrow(run, "member binary")
+    members = pages.select(*fields).mapInArrow(run, "member binary")
     members.select(F.col("member").cast("string").alias("value")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin-1")).text(path)
 
 
@@ -125,7 +129,7 @@ def _scan(batches):
     names, kinds = ["kind", "file", "start", "seq", "raw"], (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary())
     rows = lambda found: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*found), kinds)], names)
     for batch in batches:
-        found = []
+        found, held = [], 0
         for file, start, piece in zip(column(batch, "file").to_pylist(), column(batch, "start").to_pylist(), column(batch, "piece").to_pylist()):
             if (file, start) != at:
                 if found_any and joiner.raw:
@@ -140,6 +144,10 @@ def _scan(batches):
             elif not found_any:
                 found.append(("head", file, start, seq, MAGIC + piece))
             seq += 1
+            held += len(record or piece)
+            if found and held > HELD:
+                yield rows(found)
+                found, held = [], 0
         if found:
             yield rows(found)
     if found_any and joiner.raw:
@@ -172,7 +180,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to of every record. Revisits have no payload."""
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text="raw"):
             out = []
             for raw in column(batch, "raw").to_pylist():
                 headers, block = parse(raw)
@@ -202,7 +210,7 @@ def archive_pages(pages: DataFrame, path: str, least: int = LEAST) -> None:
     first = F.min(F.struct(F.isnull("page_id").alias("z"), "page_id", "_rid"))
     same = checkpoint(large.groupBy("digest").agg(F.count("*").alias("n"), first.alias("first")).where("n > 1"))
     again = join_counted(large, same, ["digest"]).where("first is not null and _rid <> first._rid")
-    again = checkpoint(again.select("_rid", F.col("first.page_id").alias("refers"), F.lit(True).alias("revisit")))
+    again = checkpoint(again.select("_rid", F.col("first.page_id").alias("refers"), F.col("first._rid").alias("refers_row"), F.lit(True).alias("revisit")))
     write_warc(join_small(numbered, again, ["_rid"]).withColumn("revisit", F.coalesce("revisit", F.lit(False))), path)
 
 

@@ -325,6 +325,8 @@ def test_warc(spark, tmp_path):
 
     raw = b"".join(gzip.open(f).read() for f in glob.glob(local + "/part-*"))
     assert raw.count(b"WARC/1.1\r\n") == len(rows)
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", raw)
+    assert len(set(ids)) == len(rows) and set(re.findall(rb"WARC-Refers-To: (\S+)", raw)) < set(ids)
     assert warc.round_trip(df.where("1 = 0")).count() == 0
 
 

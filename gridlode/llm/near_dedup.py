@@ -10,8 +10,8 @@ its members are dealt into chunks, each compared in one task with the bucket's f
 by products of shingle incidence matrices; only a spanning forest of the confirmed links leaves the task. In buckets
 with members that didn't join the first one's group, all members are dealt anew, by prefix filtering: with the shingles
 of each set ordered from rare to common, two sets as similar as asked share one of the first few (for 85 %, a bit over 15 %
-of a set), so those are the new buckets. Texts that only share a common passage part there. What is still large is
-compared chunk by chunk. Every candidate is confirmed on full shingle sets, and no link between classes of one bucket
+of a set), so those are the new buckets, where they hold a member that didn't join. Texts that only share a common
+passage part there. What is still large is compared chunk by chunk. Every candidate is confirmed on full shingle sets, and no link between classes of one bucket
 is lost.
 
 Sets hold 64-bit hashes of five words' 64-bit hashes: two sets of n shingles differ by a collision with a probability
@@ -214,21 +214,24 @@ def _shingled(words: int):
 
 
 def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
-    """sets: _rid, size, s (distinct integers) -> _rid, size, key: the first few of each set from rare to common that others have too.
+    """sets: _rid, size, open, s (distinct integers) -> _rid, size, open, key: the first few of each set from rare to common that open sets have too.
 
-    Any two sets with 100 * intersection >= percent * union have a key in common.
+    An open set has a key in common with any other set for which 100 * intersection >= percent * union.
     """
-    items = sets.select("_rid", "size", F.explode("s").alias("key"))
-    often = checkpoint(items.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key")))
+    items = sets.select("_rid", "size", "open", F.explode("s").alias("key"))
+    often = checkpoint(items.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("opened")).where("n > 1"))
+    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key", "opened")))
     first = F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 as int)")
-    rows = join_counted(items, often, ["key"]).groupBy("_rid", "size").agg(ranked.alias("l")).select("_rid", "size", F.slice("l", 1, first).alias("l"))
-    return rows.select("_rid", "size", F.explode(F.filter("l", lambda x: x["n"] > 1)).alias("x")).select("_rid", "size", F.col("x.key").alias("key"))
+    same = ["_rid", "size", "open"]
+    rows = join_counted(items, often, ["key"]).groupBy(*same).agg(ranked.alias("l")).select(*same, F.slice("l", 1, first).alias("l"))
+    return rows.select(*same, F.explode(F.filter("l", lambda x: (x["n"] > 1) & x["opened"])).alias("x")).select(*same, F.col("x.key").alias("key"))
 
 
 def _buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keys: _rid, size, key -> buckets of two or more (key, c, pivot), and their members with these."""
-    buckets = checkpoint(keys.groupBy("key").agg(F.count("*").alias("c"), F.min("_rid").alias("pivot")).where("c > 1"))
+    """keys: _rid, size, open, key -> buckets of two or more with an open one (key, c, pivot), and their members with these."""
+    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("_rid").alias("pivot"), F.max("open").alias("opened"))
+    buckets = checkpoint(buckets.where("c > 1 and opened").drop("opened"))
+    keys = keys.drop("open")
     return buckets, checkpoint(join_counted(keys, buckets, ["key"], "c").where("c is not null"))
 
 
@@ -266,9 +269,11 @@ def _hot_links(members: DataFrame, sizes: DataFrame, packed: DataFrame, words: i
     if counts.isEmpty():
         return [link(one)]
     if not last:
-        open_ = join_counted(one.select("key", "_rid"), counts.select("key", "n"), ["key"]).where("n is not null").select("_rid")
-        open_ = checkpoint(open_.unionByName(counts.select(F.col("pivot").alias("_rid"))).distinct())
-        sets = checkpoint(packed.join(open_, "_rid", "left_semi").mapInArrow(_shingled(words), "_rid long, size long, s array<long>"))
+        each = join_counted(one.select("key", "_rid", (~joined).alias("open")), counts.select("key", "n"), ["key"]).where("n is not null").select("_rid", "open")
+        each = each.unionByName(counts.select(F.col("pivot").alias("_rid"), F.lit(False).alias("open")))
+        each = checkpoint(each.groupBy("_rid").agg(F.max("open").alias("open")))
+        sets = packed.join(each, "_rid", "left_semi").mapInArrow(_shingled(words), "_rid long, size long, s array<long>")
+        sets = checkpoint(sets.join(each, "_rid"))
         buckets, dealt = _buckets(prefix_keys(sets, percent))
         hot = dealt.where(F.col("c") > BUCKET).select("key", "_rid", "pivot", "c")
         return [link(one), *_links(_pairs(dealt, percent), hot, buckets, packed, words, percent, True)]
@@ -296,7 +301,7 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataF
     same = ["size", "d1", "d2"]
     classes = checkpoint(signed.where("size > 0").groupBy(*same).agg(F.min("_rid").alias("rep"), F.count("*").alias("n")))
     reps = signed.join(classes.select(F.col("rep").alias("_rid")), "_rid", "left_semi")
-    bands = checkpoint(reps.select("_rid", "size", F.explode("bands").alias("key")))
+    bands = checkpoint(reps.select("_rid", "size", F.lit(True).alias("open"), F.explode("bands").alias("key")))
     buckets, members = _buckets(bands)
     pairs = _pairs(members, percent)
 

@@ -11,7 +11,7 @@ answers each of them in its order. The texts are read once: a block travels with
 Blocks have a bounded size whatever the input, and so have buckets: their number grows with the input, and where there
 are more than FAN blocks, the requests of FAN blocks to a bucket are merged into one, and these again, until a bucket
 gets FAN requests at most, however many blocks ask for its words; answers go down the same way. Words are told apart
-by 64 bits; bigrams by 38 bits in a bucket of under 400,000 tokens.
+by 64 bits; bigrams by 39 bits in a bucket of under 800,000 tokens.
 
 Defined results: A-Z are lower-cased, words are parted by ASCII white space, each text ends in one end token; a null
 or empty text is the end token alone; ids count by their decimal text, null as the empty text; repeated rows all
@@ -33,9 +33,9 @@ from .common import checkpoint, stored
 from .hashing import U, column, hash_words, mix, pieces, text_bytes, word_bounds
 
 FOLDS, TEST, TUNE = 10, 0, 1
-BLOCK_BYTES = 6 << 20
-BUCKET_TOKENS = 375_000
-LOW_BITS = 38
+BLOCK_BYTES = 8 << 20
+BUCKET_TOKENS = 750_000
+LOW_BITS = 39
 #: The most requests that meet in a bucket.
 FAN = 512
 END, START = U(0x51ED270B9A3C6E5F), U(0xA24BAED4963EE407)
@@ -116,7 +116,7 @@ class _Block:
             for lo, hi in zip(edge, [*edge[1:], len(every)]):
                 yield kind, int(bucket[lo]), block, _pack_sorted(every[lo:hi]), _pack(counts[0][lo:hi]), _pack(counts[1][lo:hi])
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, self.docs[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 3))) as out:
+        with pa.ipc.new_stream(sink, self.docs[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", 9))) as out:
             out.write_table(pa.Table.from_batches(self.docs).combine_chunks())
         yield OWN, block, block, None, None, sink.getvalue().to_pybytes()
 

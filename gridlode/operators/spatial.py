@@ -99,17 +99,17 @@ class Pyramid:
 
     def __init__(self, points: DataFrame, lon: str, lat: str, values: list[str]):
         self.values = values
-        keys = lambda x, y, step: (geo.cell(x, step).alias("x"), geo.cell(y, step).alias("y"))
+        keys = lambda x, y, step: (geo.cell(x, step).alias("_x"), geo.cell(y, step).alias("_y"))
         points = points.where(F.col(lon).isNotNull() & F.col(lat).isNotNull())
         self.points = stored(points.select(*keys(lon, lat, STEPS[-1]), F.col(lon).alias("_lon"), F.col(lat).alias("_lat"), *values))
-        box = [F.min("_lon").alias("w"), F.min("_lat").alias("s"), F.max("_lon").alias("e"), F.max("_lat").alias("n")]
-        level, levels = stored(self.points.groupBy("x", "y").agg(*box)), []
-        merged = [F.min("w").alias("w"), F.min("s").alias("s"), F.max("e").alias("e"), F.max("n").alias("n")]
+        box = [F.min("_lon").alias("_w"), F.min("_lat").alias("_s"), F.max("_lon").alias("_e"), F.max("_lat").alias("_n")]
+        level, levels = stored(self.points.groupBy("_x", "_y").agg(*box)), []
+        merged = [F.min("_w").alias("_w"), F.min("_s").alias("_s"), F.max("_e").alias("_e"), F.max("_n").alias("_n")]
         for i in range(len(STEPS)):
-            up = [F.lit(0).cast("long") if i == len(STEPS) - 1 else F.shiftright(c, 2) for c in ("x", "y")]
-            levels.append(level.select(up[0].alias("px"), up[1].alias("py"), "x", "y", "w", "s", "e", "n"))
+            up = [F.lit(0).cast("long") if i == len(STEPS) - 1 else F.shiftright(c, 2) for c in ("_x", "_y")]
+            levels.append(level.select(up[0].alias("_px"), up[1].alias("_py"), "_x", "_y", "_w", "_s", "_e", "_n"))
             if i < len(STEPS) - 1:
-                level = stored(level.groupBy(up[0].alias("x"), up[1].alias("y")).agg(*merged))
+                level = stored(level.groupBy(up[0].alias("_x"), up[1].alias("_y")).agg(*merged))
         self.levels = [small(x) for x in reversed(levels)]
 
     def nearest(self, sites: DataFrame, key: str, tie: list[str]) -> DataFrame:
@@ -118,21 +118,21 @@ class Pyramid:
         A site goes down the levels and keeps the cells that can hold its nearest point: those whose box is not further away
         than the far end of the closest one. All steps keep the partitioning by site.
         """
-        at = sites.where("lon is not null and lat is not null").repartition(key).select(key, "lon", "lat", F.lit(0).cast("long").alias("px"), F.lit(0).cast("long").alias("py"))
+        at = sites.where("lon is not null and lat is not null").repartition(key).select(key, "lon", "lat", F.lit(0).cast("long").alias("_px"), F.lit(0).cast("long").alias("_py"))
         gap = lambda p, lo, hi: F.greatest(F.col(lo) - F.col(p), F.col(p) - F.col(hi), F.lit(0.0))
         span = lambda p, lo, hi: F.greatest(F.abs(F.col(p) - F.col(lo)), F.abs(F.col(p) - F.col(hi)))
         length = lambda a, b: F.sqrt(a * a + b * b)
         for level in self.levels:
-            met = at.join(level, ["px", "py"])
-            far = length(span("lon", "w", "e"), span("lat", "s", "n")) * (1 + 1e-9) + 1e-9
-            cells = F.collect_list(F.struct(length(gap("lon", "w", "e"), gap("lat", "s", "n")).alias("near"), far.alias("far"), "x", "y"))
-            met = met.groupBy(key, "lon", "lat").agg(cells.alias("c"))
-            close = F.filter("c", lambda c: c["near"] <= F.array_min(F.transform("c", lambda d: d["far"])))
-            at = met.select(key, "lon", "lat", F.explode(close).alias("c")).select(key, "lon", "lat", F.col("c.x").alias("px"), F.col("c.y").alias("py"))
-        met = at.join(self.points, (F.col("px") == F.col("x")) & (F.col("py") == F.col("y")))
+            met = at.join(level, ["_px", "_py"])
+            far = length(span("lon", "_w", "_e"), span("lat", "_s", "_n")) * (1 + 1e-9) + 1e-9
+            cells = F.collect_list(F.struct(length(gap("lon", "_w", "_e"), gap("lat", "_s", "_n")).alias("_near"), far.alias("_far"), "_x", "_y"))
+            met = met.groupBy(key, "lon", "lat").agg(cells.alias("_cells"))
+            close = F.filter("_cells", lambda c: c["_near"] <= F.array_min(F.transform("_cells", lambda d: d["_far"])))
+            at = met.select(key, "lon", "lat", F.explode(close).alias("_cells")).select(key, "lon", "lat", F.col("_cells._x").alias("_px"), F.col("_cells._y").alias("_py"))
+        met = at.join(self.points, (F.col("_px") == F.col("_x")) & (F.col("_py") == F.col("_y")))
         met = met.withColumn("distance", geo.degree_distance("lon", "lat", "_lon", "_lat"))
         best = F.min_by(F.struct(*self.values, "distance"), F.struct("distance", *tie))
-        return met.groupBy(key).agg(best.alias("b")).select(key, "b.*")
+        return met.groupBy(key).agg(best.alias("_b")).select(key, "_b.*")
 
 
 def mesh_pyramid(mesh: DataFrame, miles: float = 5.0) -> Pyramid:

@@ -188,7 +188,7 @@ LOOKUP = f"""{MESH}, data as (select * from mesh where depth_m = 4000 and t is n
 
 @query(f"""with sites as (select 1 as src, site, name, total_emissions_2023 as emissions, lon, lat from emitters), {LOOKUP}
   select site, t as avg_temperature_f, n as point_count, miles from found""")
-def temperature_at_sites(v):  # J9, G11, G18
+def temperature_at_sites(v):  # J9
     mesh = spatial.hex_mesh(v.geo_points.where("depth_m = 4000"))
     return spatial.temperature_at(_sites(v)[1], mesh, "site").select("site", "avg_temperature_f", "point_count", "miles")
 
@@ -211,7 +211,7 @@ def optimal_sites_topn(v):  # U1, F17, W2, O5
 @query("""with h as (select site, lon, lat from emitters), d as (select h.site, arg_min(struct_pack(dt := g.dt, d := sqrt(pow(h.lon - g.longitude, 2) + pow(h.lat - g.latitude, 2))),
   struct_pack(d := sqrt(pow(h.lon - g.longitude, 2) + pow(h.lat - g.latitude, 2)), c := g.cell_id)) as b from h join geology g on abs(floor(g.longitude / 0.5) - floor(h.lon / 0.5)) <= 1 and abs(floor(g.latitude / 0.5) - floor(h.lat / 0.5)) <= 1 group by 1)
   select h.site, d.b.dt as dt, round(d.b.d, 6) as distance, coalesce(d.b.dt > 4000, false) as filtered from h left join d using (site)""")
-def geology_nearest_basement(v):  # J10, G19
+def geology_nearest_basement(v):  # J10
     near = spatial.nearest_in_cells(v.emitters.select("site", "lon", "lat"), v.geology, "site", "lon", "lat", "longitude", "latitude", ["dt", "cell_id"], 0.5, "cell_id")
     return near.select("site", "dt", *six("distance"), F.coalesce(F.col("dt") > 4000, F.lit(False)).alias("filtered"))
 

@@ -80,3 +80,20 @@ def ring_centres(v):  # G20, G32: triangles
 @query("select min(longitude) as west, min(latitude) as south, max(longitude + 0.5) as east, max(latitude + 0.5) as north from geo_points")
 def ring_extent(v):  # A29
     return stats.ring_bounds(_square(v, 0.5), "ring")
+
+
+@query("""select gid, (gid % 10 + 0.5) / 10.0 + (gid % 7 + 0.5) / 7.0 < 1 as inside from geo_points""")
+def points_in_rings(v):  # G11: right triangles and points of their boxes
+    x, y = F.col("longitude"), F.col("latitude")
+    triangle = F.array(geo.point(x, y), geo.point(x + 1.5, y), geo.point(x, y + 1.2), geo.point(x, y))
+    px, py = x + (F.col("gid") % 10 + 0.5) / 10.0 * 1.5, y + (F.col("gid") % 7 + 0.5) / 7.0 * 1.2
+    return v.geo_points.select("gid", geo.point_in_ring(px, py, triangle).alias("inside"))
+
+
+@query("""select gid, round(longitude + 0.25, 6) as open_x, round(latitude + 0.25, 6) as open_y, round(longitude + 0.2, 6) as closed_x, round(latitude + 0.2, 6) as closed_y, 5::int as points from geo_points""")
+def vertex_means(v):  # G18, G19, and the repeated points that G14 drops
+    s = _square(v, 0.5)
+    open_, closed = geo.vertex_mean("ring", False), geo.vertex_mean("ring", True)
+    doubled = F.flatten(F.transform("ring", lambda p: F.array(p, p)))
+    out = s.select("gid", open_.alias("o"), closed.alias("c"), F.size(geo.drop_repeats(doubled)).alias("points"))
+    return out.select("gid", *[F.round(c, 6).alias(n) for c, n in (("o.x", "open_x"), ("o.y", "open_y"), ("c.x", "closed_x"), ("c.y", "closed_y"))], "points")

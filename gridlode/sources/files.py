@@ -106,13 +106,14 @@ def read_features(spark: SparkSession, path: str, split: bool = False) -> DataFr
     """file, properties (JSON), kind, coordinates (JSON) of the features of GeoJSON files of any shape.
 
     A file may hold a FeatureCollection, one Feature, an array of features, or a bare geometry, and is read as one row.
-    split: for files of any size, cut into features by many tasks; their features must begin with their type, and
-    nothing else in them may be the text "Feature".
+    split: for files of any size, cut into features by many tasks; their features must begin with their type (else the
+    reading fails), and nothing else in them may be the text "Feature".
     """
     if split:
         text = spark.read.text(path, lineSep='"Feature"').select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
         # what stands before the first feature of a file doesn't go on with a comma; a parser stops at the end of an object
-        tail = text.where(F.col("value").rlike(r"^\s*,"))
+        late = F.raise_error(F.lit("a feature must begin with its type")).cast("boolean")
+        tail = text.where(F.when(F.col("value").rlike(r"^\s*[}\]]"), late).otherwise(F.col("value").rlike(r"^\s*,")))
         found = tail.select("file", F.from_json(F.concat(F.lit('{"type":"Feature"'), "value"), FEATURE).alias("f"))
         return found.select("file", "f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))

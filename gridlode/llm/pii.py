@@ -4,7 +4,8 @@ The tagger is trained in numpy from labelled spans: windows of a bounded sample
 patterns' spans, windows in which such spans are written in other ways (other separators, no country code,
 spaces around the at sign), and windows around other signs and digits. A text is cut into overlapping windows; each is decoded, and the spans of all windows of
 a text are reconciled globally: of those that overlap, the set with the largest total of length times confidence
-stays. A found span must hold an at sign (email) or a fitting number of digits (others); so windows with neither
+stays. A found span must hold an at sign (email), four numbers up to 255 (ip), or a fitting number of digits (others;
+those of a card pass Luhn's test); so windows with neither
 sign nor digit can give no span and aren't decoded, which leaves the result the same. Model spans that touch a base
 span are dropped: base spans always stay.
 
@@ -47,7 +48,7 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-DIGITS = {"ip": (4, 12), "card": (13, 19), "phone": (7, 15)}
+DIGITS = {"card": (13, 19), "phone": (7, 15)}
 SIGN = "[0-9@]"
 #: Letters about as often as in names.
 LETTERS = "eeeetaaaoooiiinnnsssrrrhlldcumfpgwybvkxjqz"
@@ -109,8 +110,12 @@ def window_starts(text: str, every: bool = False) -> list[int]:
 def _fits(kind: str, text: str) -> bool:
     if kind == "email":
         return "@" in text
+    numbers = re.findall("[0-9]+", text)
+    if kind == "ip":
+        return len(numbers) == 4 and all(len(x) <= 3 and int(x) <= 255 for x in numbers)
+    digits = "".join(numbers)
     low, high = DIGITS[kind]
-    return low <= sum("0" <= c <= "9" for c in text) <= high
+    return low <= len(digits) <= high and (kind != "card" or luhn(digits))
 
 
 def reconcile(found: list[tuple[int, int, str, float]]) -> list[tuple[int, str, int]]:

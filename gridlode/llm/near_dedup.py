@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, join_counted, with_row_id, without
+from .common import HOT_KEYS, checkpoint, join_counted, with_row_id, without
 from .components import components
 from .hashing import U, column, hash_runs, hash_sequence, hash_words, mix, pieces, text_bytes, word_bounds
 
@@ -218,13 +218,20 @@ def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
 
     An open set has a key in common with any other set for which 100 * intersection >= percent * union.
     """
-    items = sets.select("_rid", "size", "open", F.explode("s").alias("key"))
-    often = checkpoint(items.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("opened")).where("n > 1"))
-    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key", "opened")))
-    first = F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 as int)")
     same = ["_rid", "size", "open"]
-    rows = join_counted(items, often, ["key"]).groupBy(*same).agg(ranked.alias("l")).select(*same, F.slice("l", 1, first).alias("l"))
-    return rows.select(*same, F.explode(F.filter("l", lambda x: (x["n"] > 1) & x["opened"])).alias("x")).select(*same, F.col("x.key").alias("key"))
+    often = sets.select("open", F.explode("s").alias("key")).groupBy("key")
+    often = checkpoint(often.agg(F.count("*").alias("n"), F.max("open").alias("opened")).where("n > 1"))
+    # the most common ones, HOT_KEYS at most, stand last in the order; they are kept with their sets and never dealt out
+    common = F.col("n") * HOT_KEYS >= F.lit(sets.agg(F.sum("size")).head()[0] or 0)
+    hot = F.array(*[F.lit(r["key"]) for r in sorted(often.where(common).collect(), key=lambda r: (r["n"], r["key"]))]).cast("array<bigint>")
+    first = F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 as int)")
+    rare = F.array_except("s", hot)
+    last = F.slice(F.array_intersect(hot, "s"), 1, F.greatest(first - F.size(rare), F.lit(0)))
+    items = sets.select(*same, last.alias("h"), F.explode_outer(rare).alias("key")).join(often.where(~common), "key", "left")
+    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key", "opened")))
+    rows = items.groupBy(*same).agg(ranked.alias("l"), F.first("h").alias("h"))
+    kept = F.filter(F.slice("l", 1, first), lambda x: (x["n"] > 1) & x["opened"])
+    return rows.select(*same, F.explode(F.concat(F.transform(kept, lambda x: x["key"]), "h")).alias("key"))
 
 
 def _buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:

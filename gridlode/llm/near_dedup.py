@@ -223,11 +223,13 @@ def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
     often = checkpoint(often.agg(F.count("*").alias("n"), F.max("open").alias("opened")).where("n > 1"))
     # the most common ones, HOT_KEYS at most, stand last in the order; they are kept with their sets and never dealt out
     common = F.col("n") * HOT_KEYS >= F.lit(sets.agg(F.sum("size")).head()[0] or 0)
-    hot = F.array(*[F.lit(r["key"]) for r in sorted(often.where(common).collect(), key=lambda r: (r["n"], r["key"]))]).cast("array<bigint>")
+    top = [r["key"] for r in sorted(often.where(common).collect(), key=lambda r: (r["n"], r["key"]))]
+    hot = F.array(*map(F.lit, top)).cast("array<bigint>")
     first = F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 as int)")
-    rare = F.array_except("s", hot)
-    last = F.slice(F.array_intersect(hot, "s"), 1, F.greatest(first - F.size(rare), F.lit(0)))
-    items = sets.select(*same, last.alias("h"), F.explode_outer(rare).alias("key")).join(often.where(~common), "key", "left")
+    parted = sets.withColumn("rare", F.filter("s", lambda x: ~x.isin(*top)) if top else F.col("s"))
+    # few sets have so few rare ones that common ones count
+    last = F.when(F.size("rare") < first, F.slice(F.array_intersect(hot, "s"), 1, first - F.size("rare"))).otherwise(F.array().cast("array<bigint>"))
+    items = parted.select(*same, last.alias("h"), F.explode_outer("rare").alias("key")).join(often.where(~common), "key", "left")
     ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key", "opened")))
     rows = items.groupBy(*same).agg(ranked.alias("l"), F.first("h").alias("h"))
     kept = F.filter(F.slice("l", 1, first), lambda x: (x["n"] > 1) & x["opened"])

@@ -233,7 +233,8 @@ def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
     ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key", "opened")))
     rows = items.groupBy(*same).agg(ranked.alias("l"), F.first("h").alias("h"))
     kept = F.filter(F.slice("l", 1, first), lambda x: (x["n"] > 1) & x["opened"])
-    return rows.select(*same, F.explode(F.concat(F.transform(kept, lambda x: x["key"]), "h")).alias("key"))
+    # written once: bucket counts and members read it again
+    return checkpoint(rows.select(*same, F.explode(F.concat(F.transform(kept, lambda x: x["key"]), "h")).alias("key")))
 
 
 def _buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:

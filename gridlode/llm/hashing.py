@@ -19,6 +19,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 _LOWER_BYTE = _BYTE[LOWER]
+#: For hash_words, to tell A-Z from a-z.
+WHOLE_BYTE = _BYTE
 
 _powers: list[np.ndarray] = []
 
@@ -79,8 +81,8 @@ def word_bounds(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return starts, ends, np.searchsorted(starts, at)
 
 
-def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the lower-cased words data[starts:ends], a chunk of bytes at a time."""
+def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray = _LOWER_BYTE) -> np.ndarray:
+    """64-bit hashes of the words data[starts:ends], lower-cased unless values says else, a chunk of bytes at a time."""
     out = np.empty(len(starts), np.uint64)
     i = 0
     while i < len(starts):
@@ -89,7 +91,7 @@ def hash_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         up, down = powers(hi - lo)
         sums = np.empty(hi - lo + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(_LOWER_BYTE[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        np.cumsum(values[data[lo:hi]] * up[: hi - lo], out=sums[1:])
         s, e = starts[i:j] - lo, ends[i:j] - lo
         out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _PLACE[0])
         i = j

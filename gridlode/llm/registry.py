@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, pii, quality, token_counts, warc
+from . import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, periodic_runs, pii, quality, token_counts, warc
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op10_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), labels)
 
 
+def op13_periodic_runs(spark, sf_dir):
+    return periodic_runs.run_digests(periodic_runs.planted(table(spark, sf_dir, "documents")))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_near_dedup": op2_near_dedup,
@@ -62,6 +66,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,

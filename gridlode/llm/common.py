@@ -29,8 +29,26 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def _plain_reading(docs: DataFrame) -> bool:
+    """Whether docs is one reading of files with nothing but projections and filters over it: then each of its rows is a row of a file, once.
+
+    Joins, generators and unions keep the place of a row, but give it to several rows.
+    """
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        node = node.children().head()
+    if node.getClass().getSimpleName() != "LogicalRelation" or not hasattr(node.relation(), "location"):
+        return False
+    roots = node.relation().location().rootPaths()
+    paths = sorted(roots.apply(i).toString().rstrip("/") + "/" for i in range(roots.size()))
+    # a file that is listed twice is read twice
+    return not any(b.startswith(a) for a, b in zip(paths, paths[1:]))
+
+
 def _file_place(docs: DataFrame):
     """Columns for the file of a row and its place in it, if docs is a plain reading of Parquet files, else None."""
+    if not _plain_reading(docs):
+        return None
     try:
         meta = docs.metadataColumn("_metadata")
         found = meta["file_path"].alias("_file"), meta["row_index"].alias("_index")
@@ -41,11 +59,11 @@ def _file_place(docs: DataFrame):
 
 
 def with_row_id(docs: DataFrame, name: str = "_rid") -> DataFrame:
-    """docs plus a long per row, the same at each reading, whatever executors come or go; a column of that name is replaced.
+    """docs plus a long of its own per row, the same at each reading, whatever executors come or go; a column of that name is replaced.
 
     Rows read from Parquet files are numbered by file and place in it: numbers that follow the order in which a reading
-    happens to deal out the files (monotonically_increasing_id) change with the number of cores. Other tables are
-    written to the shared folder with their numbers, and only that copy is read.
+    happens to deal out the files (monotonically_increasing_id) change with the number of cores. Other tables, joins,
+    exploded rows and unions among them, are written to the shared folder with their numbers, and only that copy is read.
     """
     docs = docs.drop(name)
     place = _file_place(docs)

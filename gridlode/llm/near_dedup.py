@@ -6,7 +6,7 @@ Banding: four slots make a band; so many bands are used that a pair at the thres
 probability under 1e-5. Copies of the same set are one class, so a group of exact copies is one row here.
 
 Candidates of a bucket of up to BUCKET classes are its pairs. A larger bucket is never expanded into pairs:
-its members are dealt into chunks, each compared in one task with the bucket's first member and within itself
+its members are dealt into chunks by number and size, each compared in one task with the bucket's first member and within itself
 by products of shingle incidence matrices; only a spanning forest of the confirmed links leaves the task. In buckets
 with members that didn't join the first one's group, all members are dealt anew, by prefix filtering: with the shingles
 of each set ordered from rare to common, two sets as similar as asked share one of the first few (for 85 %, a bit over 15 %
@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT_KEYS, checkpoint, join_counted, with_row_id, without
+from .common import checkpoint, join_counted, with_row_id, without
 from .components import components
 from .hashing import U, column, hash_runs, hash_sequence, hash_words, mix, pieces, text_bytes, word_bounds
 
@@ -41,6 +41,10 @@ ROWS = 4
 MISS = 1e-5
 BUCKET = 32
 CHUNK = 512
+#: Members with so many shingles in all are a chunk too.
+CHUNK_SHINGLES = 4 << 20
+#: The order of shingles in prefix filtering follows counts of so many hash cells, added up in so many parts.
+CELL_BITS, CELL_PARTS = 20, 64
 
 
 def bands_for(percent: int) -> int:
@@ -213,34 +217,97 @@ def _shingled(words: int):
     return run
 
 
+def _cells(keys: np.ndarray) -> np.ndarray:
+    return (mix(keys.view(np.uint64)) >> U(64 - CELL_BITS)).astype(np.int64)
+
+
+def _flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The elements of all sets of a batch, end to end, and the size of each set."""
+    sets = column(batch, "s").cast(pa.large_list(pa.int64()))
+    return sets.flatten().to_numpy(zero_copy_only=False), sets.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def cell_counts(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How many elements of all sets fall into each of 2**CELL_BITS hash cells, and whether open sets have one there.
+
+    Each task counts its own sets; tasks that add up a part of the cells read the counts of others one after the other.
+    """
+    width = (1 << CELL_BITS) // CELL_PARTS
+    kinds = "part int, counts binary, opened binary"
+
+    def rows(counts, opened, parts):
+        press = zstandard.ZstdCompressor(level=1)
+        packed = [[pa.array([press.compress(x[p].tobytes()) for p in parts], pa.binary())] for x in (counts, opened)]
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), *packed[0], *packed[1]], ["part", "counts", "opened"])
+
+    def count(batches):
+        counts, opened, any_ = np.zeros(1 << CELL_BITS, np.int64), np.zeros(1 << CELL_BITS, bool), False
+        for batch in batches:
+            keys, sizes = _flat(batch)
+            at = _cells(keys)
+            np.add.at(counts, at, 1)
+            opened[at[np.repeat(column(batch, "open").to_numpy(zero_copy_only=False).astype(bool), sizes)]] = True
+            any_ = any_ or len(keys) > 0
+        if any_:
+            yield rows(counts.reshape(CELL_PARTS, width), opened.reshape(CELL_PARTS, width), range(CELL_PARTS))
+
+    def add(batches):
+        press, counts, opened = zstandard.ZstdDecompressor(), {}, {}
+        for batch in batches:
+            for p, n, o in zip(*(column(batch, c).to_pylist() for c in ("part", "counts", "opened"))):
+                counts[p] = counts.get(p, 0) + np.frombuffer(press.decompress(n), np.int64)
+                opened[p] = opened.get(p, False) | np.frombuffer(press.decompress(o), bool)
+        if counts:
+            yield rows(counts, opened, sorted(counts))
+
+    # each part is of one size, whatever the sets hold
+    summed = sets.select("open", "s").mapInArrow(count, kinds).repartition("part").mapInArrow(add, kinds).collect()
+    press, counts, opened = zstandard.ZstdDecompressor(), np.zeros((CELL_PARTS, width), np.int64), np.zeros((CELL_PARTS, width), bool)
+    for r in summed:
+        counts[r["part"]] += np.frombuffer(press.decompress(r["counts"]), np.int64)
+        opened[r["part"]] |= np.frombuffer(press.decompress(r["opened"]), bool)
+    return counts.reshape(-1), opened.reshape(-1)
+
+
 def prefix_keys(sets: DataFrame, percent: int) -> DataFrame:
     """sets: _rid, size, open, s (distinct integers) -> _rid, size, open, key: the first few of each set from rare to common that open sets have too.
 
-    An open set has a key in common with any other set for which 100 * intersection >= percent * union.
+    An open set has a key in common with any other set for which 100 * intersection >= percent * union. Any order
+    of elements that is the same for all sets will do; here it is by the counts of hash cells, a table of a fixed size.
     """
-    same = ["_rid", "size", "open"]
-    often = sets.select("open", F.explode("s").alias("key")).groupBy("key")
-    often = checkpoint(often.agg(F.count("*").alias("n"), F.max("open").alias("opened")).where("n > 1"))
-    # the most common ones, HOT_KEYS at most, stand last in the order; they are kept with their sets and never dealt out
-    common = F.col("n") * HOT_KEYS >= F.lit(sets.agg(F.sum("size")).head()[0] or 0)
-    top = [r["key"] for r in sorted(often.where(common).collect(), key=lambda r: (r["n"], r["key"]))]
-    hot = F.array(*map(F.lit, top)).cast("array<bigint>")
-    first = F.expr(f"cast(size - (size * {percent} + 99) div 100 + 1 as int)")
-    parted = sets.withColumn("rare", F.filter("s", lambda x: ~x.isin(*top)) if top else F.col("s"))
-    # few sets have so few rare ones that common ones count
-    last = F.when(F.size("rare") < first, F.slice(F.array_intersect(hot, "s"), 1, first - F.size("rare"))).otherwise(F.array().cast("array<bigint>"))
-    items = parted.select(*same, last.alias("h"), F.explode_outer("rare").alias("key")).join(often.where(~common), "key", "left")
-    ranked = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(1)).alias("n"), "key", "opened")))
-    rows = items.groupBy(*same).agg(ranked.alias("l"), F.first("h").alias("h"))
-    kept = F.filter(F.slice("l", 1, first), lambda x: (x["n"] > 1) & x["opened"])
+    shared = sets.sparkSession.sparkContext.broadcast(cell_counts(sets))
+
+    def firsts(batches):
+        counts, opened = shared.value
+        for batch in batches:
+            keys, sizes = _flat(batch)
+            cells = _cells(keys)
+            number = counts[cells]
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            order = np.lexsort((keys, number, owner))
+            rank = np.arange(len(keys)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            most = sizes - (sizes * percent + 99) // 100 + 1
+            # a cell with one element has an element of one set
+            kept = order[(rank < most[owner]) & (number[order] > 1) & opened[cells[order]]]
+            of = owner[kept]
+            take = [column(batch, c).take(pa.array(of)) for c in ("_rid", "size", "open")]
+            yield pa.RecordBatch.from_arrays([*take, pa.array(keys[kept])], ["_rid", "size", "open", "key"])
+
+    keys = checkpoint(sets.mapInArrow(firsts, "_rid long, size long, open boolean, key long"))
+    often = keys.groupBy("key").agg(F.count("*").alias("n"), F.max("open").alias("opened"))
+    often = checkpoint(often.where("n > 1 and opened").drop("opened"))
     # written once: bucket counts and members read it again
-    return checkpoint(rows.select(*same, F.explode(F.concat(F.transform(kept, lambda x: x["key"]), "h")).alias("key")))
+    return checkpoint(join_counted(keys, often, ["key"]).where("n is not null").select("_rid", "size", "open", "key"))
 
 
 def _buckets(keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """keys: _rid, size, open, key -> buckets of two or more with an open one (key, c, pivot), and their members with these."""
-    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("_rid").alias("pivot"), F.max("open").alias("opened"))
-    buckets = checkpoint(buckets.where("c > 1 and opened").drop("opened"))
+    """keys: _rid, size, open, key -> buckets of two or more with an open one (key, c, pivot, most), and their members with these.
+
+    most: members of this bucket that a task holds at a time, by their shingles on average.
+    """
+    buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("_rid").alias("pivot"), F.max("open").alias("opened"), F.avg("size").alias("w"))
+    fits = F.greatest(F.lit(1.0), F.least(F.lit(float(CHUNK)), F.floor(CHUNK_SHINGLES / F.greatest("w", F.lit(1.0))))).alias("most")
+    buckets = checkpoint(buckets.where("c > 1 and opened").select("key", "c", "pivot", fits))
     keys = keys.drop("open")
     return buckets, checkpoint(join_counted(keys, buckets, ["key"], "c").where("c is not null"))
 
@@ -261,20 +328,20 @@ def _links(pairs: DataFrame, hot: DataFrame, buckets: DataFrame, packed: DataFra
 
 
 def _hot_links(members: DataFrame, sizes: DataFrame, packed: DataFrame, words: int, percent: int, last: bool) -> list[DataFrame]:
-    """members: key, _rid of large buckets; sizes: key, pivot, c -> links a, b that connect all that is linked.
+    """members: key, _rid of large buckets; sizes: key, pivot, c, most -> links a, b that connect all that is linked.
 
     last: members that don't join the first one's group meet all others; else they are dealt into smaller buckets before.
     """
     schema = "key long, _rid long, root long, pivot long"
     rooted = _rooted(words, percent)
-    spread = F.ceil(F.col("c") / CHUNK).cast("int")
+    spread = F.ceil(F.col("c") / F.col("most")).cast("int")
     each = members.withColumn("chunk", F.pmod(F.xxhash64("_rid"), spread).cast("int")).select("key", "_rid", "pivot", "chunk")
     firsts = sizes.select("key", F.col("pivot").alias("_rid"), "pivot", F.explode(F.sequence(F.lit(0), spread - 1)).alias("chunk"))
     rows = each.unionByName(firsts).join(packed, "_rid")
     one = checkpoint(rows.groupBy("key", "chunk").applyInPandas(rooted, schema).where("_rid <> pivot"))
     joined = F.col("root") == F.col("pivot")
     counts = one.groupBy("key").agg(F.count_if(~joined).alias("rest"), (F.count_if(joined) + 1).alias("main"), F.count("*").alias("n"), F.first("pivot").alias("pivot"))
-    counts = checkpoint(counts.where("rest > 0"))
+    counts = checkpoint(counts.where("rest > 0").join(sizes.select("key", "most"), "key"))
     link = lambda df: df.where("_rid <> root").select(F.col("_rid").alias("a"), F.col("root").alias("b"))
     if counts.isEmpty():
         return [link(one)]
@@ -285,9 +352,9 @@ def _hot_links(members: DataFrame, sizes: DataFrame, packed: DataFrame, words: i
         sets = packed.join(each, "_rid", "left_semi").mapInArrow(_shingled(words), "_rid long, size long, s array<long>")
         sets = checkpoint(sets.join(each, "_rid"))
         buckets, dealt = _buckets(prefix_keys(sets, percent))
-        hot = dealt.where(F.col("c") > BUCKET).select("key", "_rid", "pivot", "c")
+        hot = dealt.where(F.col("c") > BUCKET).select("key", "_rid", "pivot", "c", "most")
         return [link(one), *_links(_pairs(dealt, percent), hot, buckets, packed, words, percent, True)]
-    parts = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    parts = lambda n: F.ceil(F.col(n) / F.col("most")).cast("int")
     two = join_counted(one.drop("pivot"), counts, ["key"]).where("rest is not null").withColumn("rests", parts("rest")).withColumn("mains", parts("main"))
     two = two.withColumn("at", F.pmod(F.xxhash64("_rid"), F.when(joined, F.col("mains")).otherwise(F.col("rests"))).cast("int"))
     lead = counts.withColumn("rests", parts("rest")).withColumn("mains", parts("main")).select("key", F.col("pivot").alias("_rid"), F.col("pivot").alias("root"), "rests", "mains", "pivot")
@@ -315,7 +382,7 @@ def near_groups(docs: DataFrame, percent: int = 80, words: int = WORDS) -> DataF
     buckets, members = _buckets(bands)
     pairs = _pairs(members, percent)
 
-    hot = checkpoint(members.where(F.col("c") > BUCKET).select("key", "_rid", "pivot", "c"))
+    hot = checkpoint(members.where(F.col("c") > BUCKET).select("key", "_rid", "pivot", "c", "most"))
     wanted = pairs.select(F.col("a").alias("_rid")).union(pairs.select("b")).union(hot.select("_rid")).distinct()
     texts = docs.select("_rid", "text").join(checkpoint(wanted), "_rid", "left_semi")
     packed = checkpoint(texts.mapInArrow(_packed, "_rid long, packed binary"))

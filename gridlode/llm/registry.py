@@ -14,7 +14,8 @@ def op1_pii(spark, sf_dir):
 
 
 def op2_near_dedup(spark, sf_dir):
-    return near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85)
+    groups = near_dedup.near_dedup(table(spark, sf_dir, "documents"), percent=85)
+    return groups.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))  # of rows that repeat an id, all or none
 
 
 def op3_exact_dedup(spark, sf_dir):

@@ -78,6 +78,44 @@ def test_numbers_stay(spark, corpus):
     assert made.columns.count("_number") == 1 and sorted(map(tuple, made.select("doc_id", "_number").collect())) == sorted(map(tuple, made.select("doc_id", "_number").collect()))
 
 
+def shapes(docs):
+    """Tables with several rows for a row of a file, each with its own number of rows."""
+    spark = docs.sparkSession
+    two = spark.range(2).withColumnRenamed("id", "k")
+    keys = docs.select("doc_id").union(docs.select("doc_id"))
+    return {
+        "exploded": docs.select("*", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("e")),
+        "crossed": docs.crossJoin(two),
+        "joined": docs.join(keys, "doc_id"),
+        "united": docs.union(docs),
+        "conditional": docs.join(F.broadcast(two), F.col("k") < 5),
+        "read twice": spark.read.parquet(*docs.inputFiles(), *docs.inputFiles()[:1]),
+    }
+
+
+@pytest.mark.parametrize("shape", ["exploded", "crossed", "joined", "united", "conditional", "read twice"])
+def test_each_row_has_its_own_number(spark, corpus, shape):
+    docs = shapes(spark.read.parquet(corpus[0]))[shape]
+    numbered = common.with_row_id(docs)
+    assert numbered.select("_rid").distinct().count() == numbered.count() == docs.count() > len(texts())
+
+
+def test_stages_on_tables_that_repeat_rows(spark, corpus):
+    rows = texts()
+    for name in ("crossed", "united", "exploded"):
+        docs = shapes(spark.read.parquet(corpus[0]))[name]
+        assert exact_dedup.drop_exact(docs).count() == len(set(rows))
+        groups = near_dedup.near_dedup(docs, 85)
+        whole = near_dedup.near_dedup(spark.read.parquet(corpus[0]), 85)
+        assert groups.where("kept").count() == whole.where("kept").count() == near_dedup.drop_near(docs, 85).count()
+
+
+def test_plain_readings_are_not_written(spark, corpus):
+    docs = spark.read.parquet(corpus[0])
+    assert common._file_place(docs.select("doc_id", "text").where("doc_id > 3")) is not None
+    assert common._file_place(spark.range(3).toDF("doc_id")) is None
+
+
 def operators(spark, corpus):
     path, labels, bench = corpus
     read = lambda: spark.read.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, mixing, near_dedup, periodic_runs, pii, quality, token_counts, warc
+from . import decontaminate, exact_dedup, language_id, lm_score, merkle, mixing, near_dedup, periodic_runs, pii, quality, token_counts, warc
 from .common import table
 
 
@@ -52,6 +52,10 @@ def op10_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), labels)
 
 
+def op12_merkle(spark, sf_dir):
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return periodic_runs.run_digests(periodic_runs.planted(table(spark, sf_dir, "documents")))
 
@@ -67,10 +71,12 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op12_merkle": op12_merkle,
     "op13_periodic_runs": op13_periodic_runs,
 }
 ORACLES = {
     "op3_exact_dedup": exact_dedup.ORACLE,
     "op5_warc": warc.ORACLE,
     "op9_mixing": mixing.ORACLE,
+    "op12_merkle": merkle.ORACLE,
 }

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact_dedup, language_id, lm_score, merkle, mixing, near_dedup, periodic_runs, pii, quality, token_counts, warc
-from .common import table
+from . import decontaminate, exact_dedup, language_id, lm_score, merkle, mixing, near_dedup, periodic_runs, pii, quality, token_counts, token_ids, warc
+from .common import fresh_path, table
 
 
 def op1_pii(spark, sf_dir):
@@ -52,6 +52,12 @@ def op10_quality(spark, sf_dir):
     return quality.quality(table(spark, sf_dir, "documents"), labels)
 
 
+def op11_token_ids(spark, sf_dir):
+    path = fresh_path(spark, "token-ids")
+    token_ids.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end_id=2, by_words=True)
+    return token_ids.read_documents(spark, path)
+
+
 def op12_merkle(spark, sf_dir):
     return merkle.verified_documents(table(spark, sf_dir, "documents"))
 
@@ -71,6 +77,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_mixing": op9_mixing,
     "op10_quality": op10_quality,
+    "op11_token_ids": op11_token_ids,
     "op12_merkle": op12_merkle,
     "op13_periodic_runs": op13_periodic_runs,
 }

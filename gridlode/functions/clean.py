@@ -263,7 +263,8 @@ def line_errors(kind, coordinates) -> Column:
 def pick_parcel_id(props, names, index) -> Column:
     """The first non-empty of the named properties of a map, else the number after index, zero-padded."""
     tries = [F.nullif(F.trim(F.try_element_at(_c(props), F.lit(n))), F.lit("")) for n in names]
-    return F.coalesce(*tries, F.lpad((_c(index) + 1).cast("string"), 3, "0"))
+    number = (_c(index) + 1).cast("string")
+    return F.coalesce(*tries, F.lpad(number, F.greatest(F.lit(3), F.length(number)), F.lit("0")))
 
 
 def other_props(props, standard) -> Column:

@@ -77,6 +77,15 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
+def move_part(spark: SparkSession, folder: str, path: str) -> None:
+    """Makes the one part that a folder of a written table holds the file at path; there must be none yet."""
+    store, at = _store(spark, folder)
+    parts = [f.getPath() for f in store.listStatus(at) if not f.getPath().getName().startswith(("_", "."))]
+    if len(parts) != 1 or not store.rename(parts[0], _store(spark, path)[1]):
+        raise OSError(f"{folder} can't become {path}")
+    store.delete(at, True)
+
+
 def head_bytes(spark: SparkSession, path: str, most: int = 65536) -> bytes:
     """The first bytes of a file, or of the first file of a folder by name."""
     store, at = _store(spark, path)

@@ -93,6 +93,13 @@ def expire_missing(listings: DataFrame, active: DataFrame, key: str, only_active
     return listings.join(found, key, "left").withColumn("status", F.when(gone, "expired").otherwise(F.col("status"))).drop("_here")
 
 
+def cleanup_expired(listings: DataFrame, parcels: DataFrame, active: DataFrame, key: str, only_active: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(listings, parcels): listings that the active set lacks are expired, and their parcels are not active."""
+    found = active.select(key).distinct().withColumn("_here", F.lit(True))
+    marked = parcels.join(found, key, "left").withColumn("is_active", F.col("is_active") & F.col("_here").isNotNull())
+    return expire_missing(listings, active, key, only_active), marked.drop("_here")
+
+
 def expire_by_date(listings: DataFrame, as_of, end: str = "sale_end_date") -> DataFrame:
     """Status 'expired' for active listings that ended before as_of; `changed` tells which."""
     over = F.coalesce((F.col("status") == "active") & (F.col(end) < F.lit(as_of)), F.lit(False))

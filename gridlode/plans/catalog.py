@@ -342,9 +342,8 @@ def expire_missing(v):  # K14, J5
 
 @query("select l.sale_group, case when l.sale_group % 3 <> 0 then 'expired' else status end as status, p.parcel_id, case when l.sale_group % 3 <> 0 then false else is_active end as is_active from listings l join parcels p on p.sale_group = l.sale_group")
 def cleanup_expired_listings(v):  # K15
-    listings = upsert.expire_missing(v.listings, v.listings.where("sale_group % 3 = 0"), "sale_group", only_active=False)
-    gone = F.col("sale_group") % 3 != 0
-    return listings.select("sale_group", "status").join(v.parcels.select("sale_group", "parcel_id", "is_active"), "sale_group").withColumn("is_active", F.when(gone, False).otherwise(F.col("is_active")))
+    listings, parcels = upsert.cleanup_expired(v.listings, v.parcels, v.listings.where("sale_group % 3 = 0"), "sale_group", only_active=False)
+    return listings.select("sale_group", "status").join(parcels.select("sale_group", "parcel_id", "is_active"), "sale_group")
 
 
 @query("select case when status = 'active' and sale_end_date < date '1997-01-01' then 'expired' else status end as status, count(*) as listings, count(*) filter (status = 'active' and sale_end_date < date '1997-01-01') as changed from listings group by 1")

@@ -54,6 +54,32 @@ def csv_strict_rows(v):  # S12: lines with a field too many or too few go, quote
     return rows.select(F.col("parcel_id").cast("long").alias("parcel_id"), F.col("acres").cast("double").alias("acres"), F.split("state", ",")[0].alias("state"))
 
 
+@query("""select internal_id as id, name || ' é' as name, case internal_id % 4 when 0 then 'plain' when 1 then 'two' || chr(10) || 'lines' when 2 then 'say "' || name || '",' || chr(10) || '"' end as note, encoding
+  from datacenters cross join (values ('utf8'), ('utf16be'), ('latin1')) e(encoding)""")
+def csv_quoted_records(v):  # S1, S12, S21: line breaks, separators and quotes inside fields, in the encodings that are found
+    k = F.col("internal_id") % 4
+    note = F.when(k == 0, "plain").when(k == 1, "two\nlines").when(k == 2, F.concat(F.lit('say "'), "name", F.lit('",\n"')))
+    rows = v.datacenters.select(F.col("internal_id").alias("id"), F.concat("name", F.lit(" é")).alias("name"), note.alias("note"))
+    out = None
+    for charset in ("UTF-8", "UTF-16", "ISO-8859-1"):
+        path = _new(v, "csv")
+        sinks.write_csv(rows, path, charset)
+        back = files.read_csv(v.spark, path)
+        one = back.select(F.col("id").cast("long").alias("id"), "name", "note", F.lit(detect.detect(v.spark, path)["encoding"]).alias("encoding"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select count(*) as all_rows, count(*) as ids, sum(parcel_id)::bigint as total from parcels where parcel_id % 10 not in (3, 5)")
+def csv_strict_pruned(v):  # S12: malformed lines go whatever columns are read
+    n = F.col("parcel_id") % 10
+    value = F.concat(F.col("parcel_id").cast("string"), F.when(n == 5, "").otherwise(F.lit(",a")), F.when(n == 3, ",b,c").otherwise(",b"))
+    path = _raw(v.parcels.select(value.alias("value")), "parcel_id,acres,state", _new(v, "csv"))
+    rows = files.read_csv(v.spark, path, strict=True)
+    some = rows.select("parcel_id").agg(F.count("parcel_id").alias("ids"), F.sum(F.col("parcel_id").cast("long")).alias("total"))
+    return some.select(F.lit(rows.count()).cast("long").alias("all_rows"), "ids", "total")
+
+
 @query("""select internal_id as id, '"' || name as name, ' Inc"' as kind, country from datacenters""")
 def csv_plain_split(v):  # S13: quoted commas split too
     value = F.concat(F.col("internal_id").cast("string"), F.lit(',"'), "name", F.lit(', Inc",'), "country")
@@ -121,6 +147,20 @@ def geojson_parcels(v):  # S3, G29: a collection per listing, cut into features
     return files.read_features(v.spark, path, split=True).select(p["sale_group"].alias("sale_group"), p["parcel_id"].alias("parcel_id"), p["state"].alias("state"), F.get(at, 0).alias("longitude"), F.get(at, 1).alias("latitude"))
 
 
+@query("""select sale_group, parcel_id, 'Feature' as kind, '"type":"Feature"}]{[' || parcel_id as text, longitude, latitude from parcels""")
+def geojson_by_structure(v):  # S3, S4: keys in any order, brackets and the word Feature in strings, lists of features elsewhere
+    props = F.struct("sale_group", "parcel_id", F.lit("Feature").alias("kind"), F.concat(F.lit('"type":"Feature"}]{['), F.col("parcel_id").cast("string")).alias("text"))
+    geometry = F.struct(F.array("longitude", "latitude").alias("coordinates"), F.lit("Point").alias("type"))
+    f = F.to_json(F.struct(props.alias("properties"), geometry.alias("geometry"), F.lit("Feature").alias("type")))
+    whole = F.concat(F.lit('{"old":[{"type":"Feature"}],"name":"features","features":['), "l", F.lit('],"type":"FeatureCollection","more":[{"features":[{"type":"Feature"}]}]}'))
+    path = _new(v, "geojson")
+    v.parcels.groupBy("sale_group").agg(F.array_join(F.collect_list(f), ",").alias("l")).select(whole.alias("value")).write.text(path)
+    rows = files.read_features(v.spark, path, split=True)
+    at = F.from_json("coordinates", "array<double>")
+    p = F.from_json("properties", "parcel_id long, sale_group long, kind string, text string")
+    return rows.select(p["sale_group"].alias("sale_group"), p["parcel_id"].alias("parcel_id"), p["kind"].alias("kind"), p["text"].alias("text"), F.get(at, 0).alias("longitude"), F.get(at, 1).alias("latitude"))
+
+
 @query("select internal_id::varchar as file, ['Point', 'LineString', 'Point', 'Polygon'][internal_id % 4 + 1] as kind, [2, 1, 3, 1][internal_id % 4 + 1]::bigint as n from datacenters")
 def geojson_shapes(v):  # S4: a collection, a feature, an array of features, a bare geometry
     point = _feature(["name"], "Point", F.array(F.lit(1.0), F.lit(2.0)))
@@ -152,6 +192,18 @@ def listing_files(v):  # S10
     return v.listings.select("sale_group", files.listing_of_file(name).alias("listing_id"))
 
 
+@query("select case when region = '1-URGENT' then null else left(region, 1) end as listing_id, sale_group, title from listings")
+def feature_folder(v):  # S10: a folder of files, the listing from their names
+    folder = _new(v, "folder")
+    rows = v.listings.select("region", _feature(["sale_group", "title"], "Point", F.array(F.lit(1.0), F.lit(2.0))).alias("f"))
+    for region in sorted(r["region"] for r in rows.select("region").distinct().collect()):  # five
+        name = "all" if region == "1-URGENT" else region[0]
+        sinks.write_collection_file(rows.where(F.col("region") == region).select(F.col("f").alias("value")), f"{folder}/{name}_parcels.geojson")
+    found = files.read_feature_folder(v.spark, folder, split=True)
+    p = F.from_json("properties", "sale_group long, title string")
+    return found.select("listing_id", p["sale_group"].alias("sale_group"), p["title"].alias("title"))
+
+
 @query("select site, name, total_emissions_2023 from emitters")
 def ndjson_emitters(v):  # S5
     path = _new(v, "ndjson")
@@ -208,6 +260,18 @@ def derived_geometry(v):  # K20, K21, X2, G29
     return sinks.with_geometry(v.datacenters).select("internal_id", at(0).alias("x"), at(1).alias("y"))
 
 
+@query("""select parcel_id, case when parcel_id % 3 = 0 then longitude + 1 when parcel_id % 3 = 1 then longitude end as longitude, case when parcel_id % 3 = 0 then latitude + 0.5 when parcel_id % 3 = 1 then latitude end as latitude,
+  case when parcel_id % 3 = 0 then '2024-05-06' when parcel_id % 3 = 1 then '2020-01-01' end as updated, parcel_id % 3 < 2 as has_point from parcels""")
+def parcel_centroids(v):  # K20, K21, X2: centroids of rings where parcels have no point, and when they were written
+    k = F.col("parcel_id") % 3
+    x, y = F.col("longitude"), F.col("latitude")
+    ring = F.array(geo.point(x, y), geo.point(x + 2, y), geo.point(x + 2, y + 1), geo.point(x, y + 1), geo.point(x, y))
+    lost = lambda c: F.when(k == 1, F.col(c))
+    old = v.parcels.select("parcel_id", F.when(k == 0, ring).alias("ring"), lost("longitude").alias("longitude"), lost("latitude").alias("latitude"), F.when(k == 1, F.lit("2020-01-01")).cast("timestamp").alias("updated_at"))
+    out = sinks.with_centroid(old, as_of="2024-05-06")
+    return out.select("parcel_id", F.round("longitude", 9).alias("longitude"), F.round("latitude", 9).alias("latitude"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated"), F.col("geom").isNotNull().alias("has_point"))
+
+
 @query("select n_nationkey as id, n_name as name, (n_nationkey * 2)::double as longitude, (n_nationkey - 10)::double as latitude, (select count(*) from nation) as total, (select sum(n_regionkey)::double from nation) as total_size, '2024-01-01' as generated from nation")
 def nation_collection(v):  # K22: one collection with its metadata
     n = F.col("n_nationkey")

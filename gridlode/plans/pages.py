@@ -97,14 +97,14 @@ def link_rules(v):  # P25, F30, F44
 # properties, numbers, names
 
 
-@query("""select parcel_id, case parcel_id % 3 when 0 then 'P' || parcel_id when 1 then 'T' || parcel_id else lpad((parcel_id + 1)::varchar, 3, '0') end as picked, case when parcel_id % 3 = 0 then 'PARCEL,county' else 'TRACT,county' end as other, array_to_string(list_filter(['active', 'large'], lambda f: case f when 'active' then is_active else acres > 25 end), ',') as flags from parcels""")
+@query("""select parcel_id, case parcel_id % 3 when 0 then 'P' || parcel_id when 1 then 'T' || parcel_id else lpad((parcel_id + 1)::varchar, greatest(3, length((parcel_id + 1)::varchar))::int, '0') end as picked, case when parcel_id % 3 = 0 then 'PARCEL,county' else 'TRACT,county' end as other, array_to_string(list_filter(['active', 'large'], lambda f: case f when 'active' then is_active else acres > 25 end), ',') as flags from parcels""")
 def parcel_props(v):  # F26, F27, F45
     k = F.col("parcel_id") % 3
     value = F.when(k == 0, _text("P", "{parcel_id}")).when(k == 1, _text("T", "{parcel_id}")).otherwise(" ")
     props = F.create_map(F.when(k == 0, "PARCEL").otherwise("TRACT"), value, F.lit("state"), F.col("state"), F.lit("county"), F.lit("c"))
     flags = F.create_map(F.lit("active"), F.col("is_active"), F.lit("large"), F.col("acres") > 25)
     # a number of more than three digits isn't cut
-    picked = F.when(k < 2, clean.pick_parcel_id(props, clean.PARCEL_ID_NAMES, F.col("parcel_id"))).otherwise(clean.pick_parcel_id(props, clean.PARCEL_ID_NAMES, F.col("parcel_id")))
+    picked = clean.pick_parcel_id(props, clean.PARCEL_ID_NAMES, F.col("parcel_id"))
     return v.parcels.select(
         "parcel_id",
         picked.alias("picked"),
@@ -113,15 +113,14 @@ def parcel_props(v):  # F26, F27, F45
     )
 
 
-@query("""select gid, case gid % 5 when 0 then null when 1 then depth_m when 2 then null when 3 then depth_m + 0.5 else -depth_m end as number, case gid % 5 when 3 then depth_m + 0.5 when 4 then -depth_m end as guarded, case gid % 5 when 0 then -9999.0 when 1 then depth_m when 3 then depth_m + 0.5 when 4 then -depth_m end as stripped from geo_points""")
+@query("""select gid, case gid % 5 when 0 then null when 1 then depth_m when 2 then null when 3 then depth_m + 0.5 else -depth_m end as number, case gid % 5 when 0 then -9999.0 when 3 then depth_m + 0.5 when 4 then -depth_m end as guarded, case gid % 5 when 0 then -9999.0 when 1 then depth_m when 3 then depth_m + 0.5 when 4 then -depth_m end as stripped from geo_points""")
 def text_numbers(v):  # sentinels, units, words, plain numbers
     d, k = F.col("depth_m").cast("int").cast("string"), F.col("gid") % 5
     text = F.when(k == 0, "-9999").when(k == 1, F.concat(F.lit("$"), d, F.lit(" m"))).when(k == 2, "abc").when(k == 3, F.concat(F.lit(" "), d, F.lit(".5 "))).otherwise(F.concat(F.lit("-"), d, F.lit(".0")))
-    guarded = F.when(k == 0, None).otherwise(clean.guarded_number(text))
-    return v.geo_points.select("gid", clean.parse_numeric(text).alias("number"), guarded.alias("guarded"), extract.strip_number(text).alias("stripped"))
+    return v.geo_points.select("gid", clean.parse_numeric(text).alias("number"), clean.guarded_number(text).alias("guarded"), extract.strip_number(text).alias("stripped"))
 
 
-@query("""select c_custkey as id, 'my_' || lower(replace(c_mktsegment, ' ', '_')) || '_' || c_custkey as table_name, case when c_custkey < 1024 then printf('%.1f B', c_custkey::double) else printf('%.1f KB', c_custkey / 1024.0) end as size,
+@query("""select c_custkey as id, 'my_' || lower(replace(c_mktsegment, ' ', '_')) || '_' || c_custkey as table_name, case when c_custkey < 1024 then printf('%.1f B', c_custkey::double) else printf('%.1f KB', round(c_custkey / 1024.0, 1)) end as size,
   case when c_custkey >= 3600 then (c_custkey // 3600) || 'h ' || (c_custkey % 3600 // 60) || 'm ' || (c_custkey % 60) || 's' when c_custkey >= 60 then (c_custkey // 60) || 'm ' || (c_custkey % 60) || 's' else c_custkey || 's' end as lasted, '20240229' as version from customer""")
 def names_and_sizes(v):  # F32, F33, F46
     c = v.table("customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("segment"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, geo
 from ..operators.shared import checkpoint, exists
+from . import csv_records, geojson_records
 
 GEOMETRY = "struct<type:string,coordinates:string>"
 FEATURE = f"type string, properties string, geometry {GEOMETRY}"
@@ -17,9 +18,9 @@ FEATURE = f"type string, properties string, geometry {GEOMETRY}"
 QUOTED = r',("(?:[^"]|"")*"|[^,]*)'
 
 
-def read_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """A CSV file with a header, all text. strict: rows with another number of fields are dropped."""
-    return spark.read.csv(path, header=True, inferSchema=False, escape='"', mode="DROPMALFORMED" if strict else "PERMISSIVE")
+def read_csv(spark: SparkSession, path: str, strict: bool = False, encoding: str | None = None) -> DataFrame:
+    """CSV files with headers, all text, split at true record bounds. strict: rows with another number of fields are dropped."""
+    return csv_records.read_csv(spark, path, strict, encoding)
 
 
 def csv_profile(rows: DataFrame) -> tuple[list[str], int]:
@@ -106,20 +107,26 @@ def read_features(spark: SparkSession, path: str, split: bool = False) -> DataFr
     """file, properties (JSON), kind, coordinates (JSON) of the features of GeoJSON files of any shape.
 
     A file may hold a FeatureCollection, one Feature, an array of features, or a bare geometry, and is read as one row.
-    split: for files of any size, cut into features by many tasks; their features must begin with their type (else the
-    reading fails), and nothing else in them may be the text "Feature".
+    split: for files of any size, cut into features by many tasks.
     """
     if split:
-        text = spark.read.text(path, lineSep='"Feature"').select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value")
-        # what stands before the first feature of a file doesn't go on with a comma; a parser stops at the end of an object
-        late = F.raise_error(F.lit("a feature must begin with its type")).cast("boolean")
-        tail = text.where(F.when(F.col("value").rlike(r"^\s*[}\]]"), late).otherwise(F.col("value").rlike(r"^\s*,")))
-        found = tail.select("file", F.from_json(F.concat(F.lit('{"type":"Feature"'), "value"), FEATURE).alias("f"))
-        return found.select("file", "f.properties", F.col("f.geometry.type").alias("kind"), F.col("f.geometry.coordinates").alias("coordinates"))
+        return features_of(geojson_records.read_elements(spark, path).select("file", as_feature(F.col("value")).alias("f")))
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
     return normalise_features(text)
 
 
+def as_feature(value):
+    """A feature's JSON, also of a bare geometry."""
+    bare = F.to_json(F.struct(F.lit("Feature").alias("type"), F.from_json(value, GEOMETRY).alias("geometry")))
+    return F.when(F.get_json_object(value, "$.coordinates").isNotNull() & (F.get_json_object(value, "$.geometry").isNull()), bare).otherwise(value)
+
+
+def features_of(rows: DataFrame) -> DataFrame:
+    """rows: file, f (a feature's JSON) -> its parts."""
+    get = lambda p: F.get_json_object("f", p)
+    return rows.select("file", get("$.properties").alias("properties"), get("$.geometry.type").alias("kind"), get("$.geometry.coordinates").alias("coordinates"))
+
+
 def normalise_features(text: DataFrame) -> DataFrame:
     """text: file, value -> a row per feature."""
     kind = F.get_json_object("value", "$.type")
@@ -127,9 +134,7 @@ def normalise_features(text: DataFrame) -> DataFrame:
     many = F.when(F.col("value").startswith("["), F.from_json("value", "array<string>")).when(kind == "FeatureCollection", collection)
     bare = F.to_json(F.struct(F.lit("Feature").alias("type"), F.from_json("value", GEOMETRY).alias("geometry")))
     one = F.when(kind == "Feature", F.array("value")).when(F.get_json_object("value", "$.coordinates").isNotNull(), F.array(bare))
-    rows = text.select("file", F.explode(F.coalesce(many, one)).alias("f"))
-    get = lambda p: F.get_json_object("f", p)
-    return rows.select("file", get("$.properties").alias("properties"), get("$.geometry.type").alias("kind"), get("$.geometry.coordinates").alias("coordinates"))
+    return features_of(text.select("file", F.explode(F.coalesce(many, one)).alias("f")))
 
 
 def read_lines_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -142,9 +147,9 @@ def listing_of_file(name):
     return F.nullif(F.regexp_extract(name, r"([0-9]+)_[^/]*$", 1), F.lit(""))
 
 
-def read_feature_folder(spark: SparkSession, path: str) -> DataFrame:
+def read_feature_folder(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """Features of all files of a folder, with listing_id from their names."""
-    return read_features(spark, path).withColumn("listing_id", listing_of_file("file"))
+    return read_features(spark, path, split).withColumn("listing_id", listing_of_file("file"))
 
 
 def lines_from_features(features: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, geo
-from ..operators.shared import exists
+from ..operators.shared import exists, move_part
 
 # The columns of an export.
 EXPORT_COLUMNS = ("id", "name", "address_full", "city", "state", "postal_code", "country", "latitude", "longitude", "source", "source_url", "first_seen_at", "last_seen_at")
@@ -29,6 +29,18 @@ def write_features(rows: DataFrame, path: str, **where) -> None:
     features(rows, **where).write.mode("overwrite").text(path)
 
 
+def write_collection_file(found: DataFrame, path: str) -> None:
+    """Features (value, JSON) as one FeatureCollection in one file of that name: written line by line by one task, as a file is.
+
+    Its first element is null, which readers pass over, so that no line needs to know whether it is the last.
+    """
+    spark = found.sparkSession
+    line = lambda text: spark.createDataFrame([(text,)], "value string")
+    whole = line('{"type":"FeatureCollection","features":[null').union(found.select(F.concat(F.lit(","), "value"))).union(line("]}"))
+    whole.coalesce(1).write.text(f"{path}.parts")
+    move_part(spark, f"{path}.parts", path)
+
+
 def feature_collection(rows: DataFrame, total: str | None = None, as_of: str | None = None, **where) -> str:
     """A FeatureCollection with its count, and the sum of a column; refuses more than MOST_FEATURES rows."""
     found = features(rows, **where).limit(MOST_FEATURES + 1).collect()
@@ -40,9 +52,9 @@ def feature_collection(rows: DataFrame, total: str | None = None, as_of: str | N
     return json.dumps({"type": "FeatureCollection", "features": [json.loads(r["value"]) for r in found], "metadata": meta})
 
 
-def write_csv(rows: DataFrame, path: str) -> None:
+def write_csv(rows: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """CSV with headers; quotes in fields are doubled, NULL is empty."""
-    rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    rows.write.option("header", True).option("encoding", encoding).option("quote", '"').option("escape", '"').csv(path)
 
 
 def export_frame(facilities: DataFrame) -> DataFrame:
@@ -104,6 +116,23 @@ def save_listings(parcels: DataFrame, folder: str) -> None:
     parcels.write.mode("overwrite").partitionBy("listing_id").parquet(folder)
 
 
-def with_geometry(rows: DataFrame) -> DataFrame:
-    """Derived columns in place of triggers: the point and when the row was written."""
-    return rows.withColumn("geom", F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), geo.geojson_point("longitude", "latitude")))
+def with_geometry(rows: DataFrame, as_of: str | None = None) -> DataFrame:
+    """Derived columns in place of triggers: the point and, with as_of, when the row was written."""
+    out = rows.withColumn("geom", F.when(F.col("latitude").isNotNull() & F.col("longitude").isNotNull(), geo.geojson_point("longitude", "latitude")))
+    return out if as_of is None else out.withColumn("updated_at", F.lit(as_of).cast("timestamp"))
+
+
+def with_centroid(rows: DataFrame, ring: str = "ring", as_of: str | None = None) -> DataFrame:
+    """rows of parcels with the centroid of their outer ring (points x, y) as longitude and latitude where they lack one, and its point.
+
+    Rows without a ring keep what they have; updated_at changes where something was filled in.
+    """
+    lacks = F.col("longitude").isNull() | F.col("latitude").isNull()
+    centre = F.when(F.size(ring) > 0, geo.ring_centroid(F.col(ring)))
+    fills = lacks & centre.isNotNull()
+    out = rows.withColumn("_c", F.when(fills, centre))
+    if as_of is not None:
+        before = F.col("updated_at") if "updated_at" in rows.columns else F.lit(None).cast("timestamp")
+        out = out.withColumn("updated_at", F.when(F.col("_c").isNotNull(), F.lit(as_of).cast("timestamp")).otherwise(before))
+    out = out.withColumns({"longitude": F.coalesce("_c.x", "longitude"), "latitude": F.coalesce("_c.y", "latitude")})
+    return with_geometry(out.drop("_c"))

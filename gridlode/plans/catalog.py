@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean, extract, geo, match
-from ..operators import scoring, spatial, stats, upsert
+from ..operators import boundary, scoring, spatial, stats, upsert
+from ..operators.shared import checkpoint
 from . import routes
 from .views import Views, duck
 
@@ -172,6 +173,51 @@ def land_hexes(v):  # J15, J16
     return spatial.drop_ocean(mesh).select("hex_q", "hex_r", "avg_temperature_f")
 
 
+def _hexagons(v):
+    """The cells of the 4000 m mesh with their corners."""
+    lon, lat = geo.hex_centre("hex_q", "hex_r")
+    mesh = spatial.hex_mesh(v.geo_points.where("depth_m = 4000")).withColumn("lon", lon).withColumn("lat", lat)
+    x, y = F.col("lon"), F.col("lat")
+    corners = [geo.point(x + i * 0.08, y + j * 0.035) for i, j in ((0, -2), (1, -1), (1, 1), (0, 2), (-1, 1), (-1, -1), (0, -2))]
+    return mesh.withColumn("ring", F.array(*corners))
+
+
+def _boundaries(v):
+    """Two parts per nation, a diamond, every other one with a hole, and a square beside it."""
+    k = F.col("n_nationkey")
+    x, y, w, h = -120.0 + (k * 37) % 50, 27.0 + (k * 11) % 20, 2.3 + k % 4, 1.7 + k % 3
+    diamond = lambda z: F.array(geo.point(x - w * z, y), geo.point(x, y - h * z), geo.point(x + w * z, y), geo.point(x, y + h * z), geo.point(x - w * z, y))
+    square = F.array(geo.point(x + w + 1, y), geo.point(x + w + 1.7, y), geo.point(x + w + 1.7, y + 0.7), geo.point(x + w + 1, y + 0.7))
+    parts = F.when(k % 2 == 0, F.array(F.array(diamond(1.0), diamond(0.5)), F.array(square))).otherwise(F.array(F.array(diamond(1.0)), F.array(square)))
+    return v.table("nation").select("n_nationkey", parts.alias("polygons"))
+
+
+DIAMOND = "[{{'x': x - w * {0}, 'y': y}}, {{'x': x, 'y': y - h * {0}}}, {{'x': x + w * {0}, 'y': y}}, {{'x': x, 'y': y + h * {0}}}]"
+TURN = "(({2} - {0}) * ({5} - {1}) - ({3} - {1}) * ({4} - {0}))"
+OUTLINES = f"""b as (select n_nationkey as k, -120.0 + (n_nationkey * 37) % 50 as x, 27.0 + (n_nationkey * 11) % 20 as y, 2.3 + n_nationkey % 4 as w, 1.7 + n_nationkey % 3 as h from nation),
+  r as (select k, {DIAMOND.format("1.0")} as l from b union all select k, {DIAMOND.format("0.5")} from b where k % 2 = 0
+    union all select k, [{{'x': x + w + 1, 'y': y}}, {{'x': x + w + 1.7, 'y': y}}, {{'x': x + w + 1.7, 'y': y + 0.7}}, {{'x': x + w + 1, 'y': y + 0.7}}] from b),
+  e as (select k, l[i].x as xa, l[i].y as ya, l[i % 4 + 1].x as xb, l[i % 4 + 1].y as yb from r, range(1, 5) t(i)),
+  s as (select hex_q, hex_r, t, [{{'x': clon, 'y': clat - 0.07}}, {{'x': clon + 0.08, 'y': clat - 0.035}}, {{'x': clon + 0.08, 'y': clat + 0.035}}, {{'x': clon, 'y': clat + 0.07}}, {{'x': clon - 0.08, 'y': clat + 0.035}}, {{'x': clon - 0.08, 'y': clat - 0.035}}] as l from mesh where depth_m = 4000),
+  d as (select hex_q, hex_r, l[i].x as cx, l[i].y as cy, l[i % 6 + 1].x as dx, l[i % 6 + 1].y as dy from s, range(1, 7) t(i)),
+  met as (select distinct hex_q, hex_r, k from d join e on greatest(xa, xb) >= least(cx, dx) and least(xa, xb) <= greatest(cx, dx) and greatest(ya, yb) >= least(cy, dy) and least(ya, yb) <= greatest(cy, dy)
+    where sign({TURN.format("cx", "cy", "dx", "dy", "xa", "ya")}) <> sign({TURN.format("cx", "cy", "dx", "dy", "xb", "yb")}) and sign({TURN.format("xa", "ya", "xb", "yb", "cx", "cy")}) <> sign({TURN.format("xa", "ya", "xb", "yb", "dx", "dy")})
+    union select hex_q, hex_r, k from s join e on (ya > l[1].y) <> (yb > l[1].y) and l[1].x < (xb - xa) * (l[1].y - ya) / (yb - ya) + xa group by 1, 2, 3 having count(*) % 2 = 1)"""
+
+
+@query(f"with {MESH}, {OUTLINES} select hex_q, hex_r, k as nation from met")
+def boundary_hexes(v):  # J15, G12: hexagons against polygons of several parts with holes
+    cells = checkpoint(_hexagons(v).select("hex_id", "hex_q", "hex_r", "ring"))
+    cover = boundary.covering(_boundaries(v), "n_nationkey", 0.5)
+    met = boundary.meeting(cells, "hex_id", "ring", cover, "n_nationkey", 0.5)
+    return cells.join(met, "hex_id").select("hex_q", "hex_r", F.col("n_nationkey").alias("nation"))
+
+
+@query(f"with {MESH}, {OUTLINES} select hex_q, hex_r, t as avg_temperature_f from s where t is not null or (hex_q, hex_r) in (select (hex_q, hex_r) from met)")
+def trimmed_hexes(v):  # J15: all hexagons with data, and those without that meet a boundary
+    return boundary.trim(checkpoint(_hexagons(v)), "hex_id", "ring", _boundaries(v), "n_nationkey", 0.5).select("hex_q", "hex_r", "avg_temperature_f")
+
+
 def _sites(v):
     return v.ethanol.select("site", "name", "lon", "lat", "emissions"), v.emitters.select("site", "name", "lon", "lat", F.col("total_emissions_2023").alias("emissions"))
 

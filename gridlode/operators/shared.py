@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -77,6 +78,53 @@ def remove(spark: SparkSession, path: str) -> None:
     store.delete(at, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder, none if there is no folder."""
+    store, at = _store(spark, path)
+    return [f.getPath().getName() for f in store.listStatus(at)] if store.exists(at) else []
+
+
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """A small file."""
+    store, at = _store(spark, path)
+    stream = store.open(at)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def write_once(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Writes a small file whole or not at all; False if there is a file at path.
+
+    It is written beside its place and moved there by a rename that doesn't replace, which is one step in HDFS and its like.
+    Local folders lack such a step: there the name is taken by a folder first, which only one can make.
+    """
+    store, at = _store(spark, path)
+    beside = at.getParent().suffix(f"/.{uuid.uuid4().hex}")
+    stream = store.create(beside, True)
+    stream.write(data)
+    stream.close()
+    context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    none = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    mine = True
+    if store.getScheme() == "file":
+        try:
+            os.mkdir(at.toUri().getPath() + ".taken")
+        except FileExistsError:
+            mine = False
+    try:
+        if mine:
+            context.rename(beside, at, none)
+        return mine
+    except Exception as e:
+        if "FileAlreadyExistsException" not in str(e):
+            raise
+        return False
+    finally:
+        store.delete(beside, False)
+
+
 def move_part(spark: SparkSession, folder: str, path: str) -> None:
     """Makes the one part that a folder of a written table holds the file at path; there must be none yet."""
     store, at = _store(spark, folder)

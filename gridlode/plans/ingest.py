@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from ..operators import stats, upsert
 from ..operators.shared import fresh_path
+from ..operators.versions import KeyedTable
 from ..sources import detect, files, shapefile, sinks
 from ..streaming import sightings
 from .catalog import query
@@ -246,12 +247,26 @@ def registry_upsert(v):  # K11: created_at stays
     return upsert.register_dataset(old, new, [F.col("table_name")])
 
 
+@query("""with n as (select region, sale_group, title from listings where sale_group % 4 = 1), o as (select region, sale_group, title from listings where sale_group % 2 = 0 union all select region, sale_group, 'old' from listings where sale_group % 8 = 1)
+  select sale_group, case when sale_group % 4 = 1 then title || '!' else title end as title, case when sale_group % 8 = 1 then '2020' else '2024' end as created, region from (select * from n union all select * from o where sale_group % 2 = 0) where sale_group % 10 <> 0""")
+def stored_upserts(v):  # K5, K7, K9, K10: a table on disk, changed by key, of which only touched buckets are written anew
+    rows = lambda where, title, at: v.listings.where(where).select("sale_group", title.alias("title"), F.lit(at).alias("created"), "region")
+    old = rows("sale_group % 2 = 0", F.col("title"), "2024").unionByName(rows("sale_group % 8 = 1", F.lit("old"), "2020"))
+    new = rows("sale_group % 4 = 1", F.concat("title", F.lit("!")), "2024")
+    table = KeyedTable.create(v.spark, _new(v, "listings"), old.schema, ["sale_group"], 8)
+    for change in (old, new):
+        table.merge(change, lambda had, came: upsert.latest_wins(had, came, ["sale_group"], [F.col("title")], keep=["created"]))
+    table.delete(v.listings.where("sale_group % 10 = 0").select("sale_group"))
+    return table.read()
+
+
 @query("select internal_id, name from datacenters where is_us")
 def reloaded_table(v):  # K12: all rows go before the new ones come
-    path = _new(v, "reload")
-    for rows in (v.datacenters, v.datacenters.where("is_us")):
-        sinks.replace_rows(rows.select("internal_id", "name"), path)
-    return v.spark.read.parquet(path)
+    rows = v.datacenters.select("internal_id", "name", "is_us")
+    table = KeyedTable.create(v.spark, _new(v, "reload"), rows.drop("is_us").schema, ["internal_id"], 4)
+    for part in (rows, rows.where("is_us")):
+        table.replace(part)
+    return table.read()
 
 
 @query("select internal_id, longitude as x, latitude as y from datacenters")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean, geo
 from ..operators.shared import checkpoint, exists
-from . import csv_records, geojson_records
+from . import csv_records, geojson_records, sinks
 
 GEOMETRY = "struct<type:string,coordinates:string>"
 FEATURE = f"type string, properties string, geometry {GEOMETRY}"
@@ -194,5 +194,11 @@ def parcels_from_features(features: DataFrame, index: str | None = None) -> Data
 
 
 def static_or(spark: SparkSession, path: str, query) -> DataFrame:
-    """The stored table at path if there is one, else the query's result. A table that can't be read is an error."""
-    return spark.read.parquet(path) if exists(spark, path) else query()
+    """The stored table at path, or that of this name in its folder's manifest, if there is one, else the query's result.
+
+    A table that can't be read is an error.
+    """
+    if exists(spark, path):
+        return spark.read.parquet(path)
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return sinks.cached_or(spark, folder, name, query)

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, geo
-from ..operators.shared import exists, move_part
+from ..operators.shared import move_part
+from ..operators.versions import Document
 
 # The columns of an export.
 EXPORT_COLUMNS = ("id", "name", "address_full", "city", "state", "postal_code", "country", "latitude", "longitude", "source", "source_url", "first_seen_at", "last_seen_at")
@@ -80,7 +82,7 @@ def append_rows(rows: DataFrame, path: str) -> None:
 
 
 def replace_rows(rows: DataFrame, path: str) -> None:
-    """Delete all, then insert."""
+    """Delete all, then insert; for tables that nobody reads or writes meanwhile. `KeyedTable.replace` is one step."""
     rows.write.mode("overwrite").parquet(path)
 
 
@@ -89,22 +91,33 @@ def write_by_month(rows: DataFrame, path: str, at: str = "created_at") -> None:
     rows.withColumn("year", F.year(at)).withColumn("month", F.month(at)).write.mode("append").partitionBy("year", "month").parquet(path)
 
 
-def read_manifest(spark: SparkSession, path: str) -> dict:
-    found = spark.read.text(path, wholetext=True).head() if exists(spark, path) else None
-    return json.loads(found["value"]) if found else {"version": "1.0", "sources": {}}
+def read_manifest(spark: SparkSession, folder: str) -> dict:
+    return Document(spark, f"{folder}/manifest").read()[1] or {"version": "1.0", "sources": {}}
 
 
 def save_cache(rows: DataFrame, folder: str, name: str, as_of: str, depth: float | None = None) -> dict:
-    """Writes a source's table beside the manifest and merges its entry into it."""
+    """Writes a source's table beside the manifest, then its entry into it, by one rename.
+
+    The table before it stays until then, and other writers' entries are kept.
+    """
     spark = rows.sparkSession
-    rows.write.mode("overwrite").parquet(f"{folder}/{name}")
-    manifest = read_manifest(spark, f"{folder}/manifest")
+    table = f"{name}-{uuid.uuid4().hex}"
+    rows.write.parquet(f"{folder}/{table}")
     version = spark.range(1).select(extract.data_version(F.lit(as_of).cast("timestamp"))).head()[0]
-    count = spark.read.parquet(f"{folder}/{name}").count()
-    manifest["sources"][name] = {"cached": True, "defaultDepth": depth, "lastIngestion": as_of, "dataVersion": version, "featureCount": count}
-    manifest["lastUpdated"] = as_of
-    spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/manifest")
-    return manifest
+    count = spark.read.parquet(f"{folder}/{table}").count()
+    entry = {"cached": True, "defaultDepth": depth, "lastIngestion": as_of, "dataVersion": version, "featureCount": count, "table": table}
+
+    def add(manifest):
+        manifest = manifest or {"version": "1.0", "sources": {}}
+        return {**manifest, "sources": {**manifest["sources"], name: entry}, "lastUpdated": as_of}
+
+    return Document(spark, f"{folder}/manifest").change(add)
+
+
+def cached_or(spark: SparkSession, folder: str, name: str, query) -> DataFrame:
+    """The stored table of a source if the manifest has one, else the query's result."""
+    entry = read_manifest(spark, folder)["sources"].get(name)
+    return spark.read.parquet(f"{folder}/{entry['table']}") if entry else query()
 
 
 def load_listing(spark: SparkSession, folder: str, listing: str) -> DataFrame:

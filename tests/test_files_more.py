@@ -30,9 +30,9 @@ def test_features_cut_by_many_tasks(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert files.read_features(spark, str(tmp_path)).count() == 600
+    # a feature needn't begin with its type any more
     (tmp_path / "e.geojson").write_text('{"features":[{"geometry":null,"type":"Feature"}],"type":"FeatureCollection"}')
-    with pytest.raises(Exception, match="begin with its type"):
-        files.read_features(spark, str(tmp_path), split=True).collect()
+    assert files.read_features(spark, str(tmp_path), split=True).count() == 601
 
 
 def test_sheets(spark, tmp_path):

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import functions as F
 
 from ..functions import geo, simplify
-from ..operators import stats
+from ..operators import stats, tiles
 from .catalog import query
 
 
@@ -97,3 +97,32 @@ def vertex_means(v):  # G18, G19, and the repeated points that G14 drops
     doubled = F.flatten(F.transform("ring", lambda p: F.array(p, p)))
     out = s.select("gid", open_.alias("o"), closed.alias("c"), F.size(geo.drop_repeats(doubled)).alias("points"))
     return out.select("gid", *[F.round(c, 6).alias(n) for c, n in (("o.x", "open_x"), ("o.y", "open_y"), ("c.x", "closed_x"), ("c.y", "closed_y"))], "points")
+
+
+WORLD = "(({0}) + 180.0) / 360.0 * 32 as {1}x, (1 - ln(tan(radians(least(greatest({2}, -85.0511287798066), 85.0511287798066))) + 1 / cos(radians(least(greatest({2}, -85.0511287798066), 85.0511287798066)))) / pi()) / 2 * 32 as {1}y"
+SIDES = [("-dx", "(a_x - tx)"), ("dx", "(tx + 1 - a_x)"), ("-dy", "(a_y - ty)"), ("dy", "(ty + 1 - a_y)")]
+ENTER = ", ".join(f"case when {d} < 0 then {gap} / ({d}) end" for d, gap in SIDES)
+LEAVE = ", ".join(f"case when {d} > 0 then {gap} / ({d}) end" for d, gap in SIDES)
+
+
+@query(f"""with w as (select gid, kv, {WORLD.format("x0", "a_", "y0")}, {WORLD.format("x1", "b_", "y1")} from geo_lines),
+  t as (select *, b_x - a_x as dx, b_y - a_y as dy from w, unnest(generate_series(greatest(0, floor(least(a_x, b_x))::int), least(31, floor(greatest(a_x, b_x))::int))) u(tx), unnest(generate_series(greatest(0, floor(least(a_y, b_y))::int), least(31, floor(greatest(a_y, b_y))::int))) v(ty)),
+  c as (select *, greatest(0.0, {ENTER}) as lo, least(1.0, {LEAVE}) as hi from t where not (dx = 0 and (a_x < tx or a_x > tx + 1)) and not (dy = 0 and (a_y < ty or a_y > ty + 1))),
+  q as (select tx, ty, gid, kv, floor((case when lo > 0 then a_x + lo * dx else a_x end - tx) * 4096 + 0.5)::int as x0, floor((case when lo > 0 then a_y + lo * dy else a_y end - ty) * 4096 + 0.5)::int as y0,
+    floor((case when hi < 1 then a_x + hi * dx else b_x end - tx) * 4096 + 0.5)::int as x1, floor((case when hi < 1 then a_y + hi * dy else b_y end - ty) * 4096 + 0.5)::int as y1 from c where lo < hi)
+  select tx, ty, gid, kv, x0, y0, x1, y1 from q where x0 <> x1 or y0 <> y1""")
+def tile_lines(v):  # S23, G26: lines clipped to the tiles they touch, encoded as vector tiles and decoded
+    lines = v.geo_lines.select("gid", "kv", F.array(F.array(geo.point("x0", "y0"), geo.point("x1", "y1"))).alias("parts"))
+    made = tiles.encode_tiles(tiles.tile_rows(lines, "parts", 5, tiles.LINE), "parts", "lines", tiles.LINE, key="gid")
+    found = tiles.read_tiles(made, "kv double")
+    p = lambda i: F.get(F.get("parts", 0), i)
+    return found.select("tx", "ty", F.col("id").alias("gid"), "kv", p(0)["x"].alias("x0"), p(0)["y"].alias("y0"), p(1)["x"].alias("x1"), p(1)["y"].alias("y1"))
+
+
+@query(f"""with w as (select parcel_id, {WORLD.format("longitude", "a_", "latitude")} from parcels)
+  select floor(a_x)::int as tx, floor(a_y)::int as ty, parcel_id, floor((a_x - floor(a_x)) * 4096 + 0.5)::int as x, floor((a_y - floor(a_y)) * 4096 + 0.5)::int as y from w""")
+def tile_points(v):  # S23: points in their tiles
+    points = v.parcels.select("parcel_id", F.array(F.array(geo.point("longitude", "latitude"))).alias("parts"))
+    found = tiles.tile_rows(points, "parts", 5, tiles.POINT)
+    p = F.get(F.get("parts", 0), 0)
+    return found.select("tx", "ty", "parcel_id", p["x"].alias("x"), p["y"].alias("y"))

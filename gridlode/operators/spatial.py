@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from .cell_tree import CellTree, Plane, Sphere
 from .shared import small, stored
 
 # The sections of the country as (west, south, east, north).
@@ -45,18 +46,11 @@ def in_sections(cells: DataFrame, half_lon: float, half_lat: float, lon: str = "
 
 
 def nearest_in_cells(left: DataFrame, right: DataFrame, key: str, lon: str, lat: str, to_lon: str, to_lat: str, values: list[str], step: float = 0.5, tie: str | None = None) -> DataFrame:
-    """left with the values of the nearest row of right in the 3 x 3 cells around it, by distance in degrees; null if none.
-
-    Each left row goes to nine cells; a cell's right rows meet it by an equi-join.
-    """
-    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    probes = left.select(key, lon, lat, F.explode(around).alias("_o"))
-    probes = probes.select(key, lon, lat, (geo.cell(lon, step) + F.col("_o.i")).alias("_x"), (geo.cell(lat, step) + F.col("_o.j")).alias("_y"))
-    there = right.select(geo.cell(to_lon, step).alias("_x"), geo.cell(to_lat, step).alias("_y"), F.col(to_lon).alias("_lon"), F.col(to_lat).alias("_lat"), *values)
-    met = probes.join(there, ["_x", "_y"]).withColumn("_d", geo.degree_distance(lon, lat, "_lon", "_lat"))
-    order = F.struct("_d", *([tie] if tie else []))
-    best = met.groupBy(key).agg(F.min_by(F.struct(*values, F.col("_d").alias("distance")), order).alias("_b"))
-    return left.join(best, key, "left").select(left["*"], *[F.col(f"_b.{v}").alias(v) for v in [*values, "distance"]])
+    """left with the values of the nearest row of right in the 3 x 3 cells around it, by distance in degrees; null if none. Keys are unique."""
+    tree = CellTree(right, to_lon, to_lat, values, step, Plane(), tie=tie)
+    x, y = geo.cell(lon, step), geo.cell(lat, step)
+    around = F.array(*[F.struct((x + i).alias("i"), (y + j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    return left.join(tree.nearest(left, key, lon, lat, around), key, "left").select(left["*"], *values, "distance")
 
 
 def semi_on_cells(points: DataFrame, boxes: DataFrame, step: float = 1.0) -> DataFrame:
@@ -71,18 +65,21 @@ def semi_on_cells(points: DataFrame, boxes: DataFrame, step: float = 1.0) -> Dat
 def within_radius(probes: DataFrame, points: DataFrame, key: str, km: float = 50.0, depth: float = 100.0, tie: str = "gid") -> DataFrame:
     """For each probe (key, lat, lng, depth) the nearest reading within km and +-depth metres, by great-circle distance.
 
-    Cells are `km` high; a probe goes to the cells that its circle can touch, wider in longitude towards the poles.
+    Cells are `km` high; a probe goes to the cells that its circle can touch, more of them towards the poles, and around
+    the date line.
     """
     step = km / 111.0
-    reach = F.ceil(1 / F.cos(F.radians(F.least(F.abs(F.col("lat")) + step, F.lit(89.0))))).cast("long")
-    rows = F.sequence(geo.cell("lat", step) - 1, geo.cell("lat", step) + 1)
-    cols = F.sequence(geo.cell("lng", step) - reach, geo.cell("lng", step) + reach)
-    near = probes.select(key, "lat", "lng", F.col("depth").alias("_depth"), F.explode(rows).alias("_y"), cols.alias("_xs")).select("*", F.explode("_xs").alias("_x")).drop("_xs")
-    there = points.withColumn("_x", geo.cell("longitude", step)).withColumn("_y", geo.cell("latitude", step))
-    met = near.join(there, ["_x", "_y"]).where(F.col("depth_m").between(F.col("_depth") - depth, F.col("_depth") + depth))
-    met = met.withColumn("distance_km", geo.haversine_km("lng", "lat", "longitude", "latitude")).where(F.col("distance_km") <= km)
-    best = F.min_by(F.struct("temperature_f", "depth_m", "latitude", "longitude", "distance_km"), F.struct("distance_km", tie))
-    return probes.join(met.groupBy(key).agg(best.alias("b")), key, "left").select(key, "b.*")
+    values = ["temperature_f", "depth_m", "latitude", "longitude"]
+    tree = CellTree(points, "longitude", "latitude", values, step, Sphere(), band="depth_m", tie=tie)
+    most = tree.columns
+    reach = F.ceil(1 / F.cos(F.radians(F.least(F.abs(F.col("lat")) + step, F.lit(89.9))))).cast("long") + 1
+    x, y = tree.base(F.col("lng"), F.col("lat"))
+    # near the poles all columns
+    columns = F.when(2 * reach + 1 < most, F.sequence(x - reach, x + reach)).otherwise(F.sequence(F.lit(0).cast("long"), F.lit(most - 1).cast("long")))
+    around = F.flatten(F.transform(columns, lambda i: F.transform(F.sequence(y - 1, y + 1), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    asked = probes.select(key, "lat", "lng", (F.col("depth") - depth).alias("_from"), (F.col("depth") + depth).alias("_to"))
+    best = tree.nearest(asked, key, "lng", "lat", around, within=km, band=("_from", "_to"))
+    return probes.join(best, key, "left").select(key, *values, F.col("distance").alias("distance_km"))
 
 
 #: Sizes of the cells of a pyramid in degrees, each a quarter of the one above.

@@ -8,7 +8,7 @@ from ..functions import geo
 from ..operators import stats, upsert
 from ..operators.shared import fresh_path
 from ..operators.versions import KeyedTable
-from ..sources import detect, files, shapefile, sinks
+from ..sources import detect, files, ledger, shapefile, sinks
 from ..streaming import sightings
 from .catalog import query
 
@@ -338,6 +338,18 @@ def month_partitions(v):  # K28: the filter prunes folders
     return v.spark.read.parquet(path).where("year = 1995").groupBy("month").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
+@query("select gid, longitude, latitude from geo_points")
+def resumed_ingest(v):  # T2: an ingest that stops after one batch of ranges, and a second run that does the rest
+    path = _new(v, "csv")
+    sinks.write_csv(v.geo_points.select("gid", "longitude", "latitude"), path)
+    lines = "gid long, longitude double, latitude double"
+    parse = lambda rows: rows.where("value <> 'gid,longitude,latitude'").select("_range", F.from_csv("value", lines).alias("r")).select("_range", "r.*")
+    book = ledger.Ledger(v.spark, _new(v, "ledger"))
+    for most in (1, None):
+        ledger.ingest(v.spark, path, book, parse, range_bytes=256 << 10, batch=4, most=most)
+    return book.output(v.spark.createDataFrame([], lines).schema)
+
+
 @query("select user_id, strftime(max(ts), '%Y-%m-%d') as day, min(ts) as first_seen_at, max(ts) as last_seen_at from sightings group by user_id")
 def streamed_sightings(v):  # T2, K10: micro-batches from new files, then a restart that finds nothing new
     source, target, state = (_new(v, n) for n in ("stream", "seen", "offsets"))

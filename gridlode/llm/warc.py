@@ -11,12 +11,14 @@ within a task, or, for a member that runs past the end of a range, from the frag
 
 Defined results: a null page is an empty payload; of equal payloads of at least LEAST bytes the row with the
 smallest page_id (null last; of repeated rows one) is the response and the others revisit it; smaller ones are all
-responses; null urls have no target; an empty table gives an empty result; other columns are ignored.
+responses; null urls have no target; an empty table gives an empty result; other columns are ignored. A member may hold
+several records; archives that aren't compressed raise an error, as does a member that breaks off inside a record.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 import zlib
 
@@ -32,6 +34,7 @@ LEAST = 100
 #: A task holds about so many bytes of records at a time, or one record.
 HELD = 8 << 20
 MAGIC = b"\x1f\x8b\x08"
+_LENGTH = re.compile(rb"\r\ncontent-length:[ \t]*([0-9]+)[ \t]*\r\n", re.I)
 #: A gzip member of no bytes.
 EMPTY = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 DATE = "1970-01-01T00:00:00Z"
@@ -72,6 +75,24 @@ def parse(raw: bytes) -> tuple[dict, bytes]:
     return headers, rest[: int(headers.get("content-length", len(rest)))]
 
 
+def records_of(member: bytes) -> list[bytes]:
+    """The records of an inflated member, by their Content-Length; ValueError if the last one breaks off."""
+    out, at = [], 0
+    while at < len(member):
+        head = member.find(b"\r\n\r\n", at)
+        found = _LENGTH.search(member, at, head + 2) if head >= 0 else None
+        if not found or not member.startswith(b"WARC/", at):
+            raise ValueError("a member holds something that is no record, or a record without Content-Length")
+        end = head + 4 + int(found[1])
+        if end > len(member):
+            raise ValueError("a record breaks off")
+        out.append(member[at:end])
+        at = end
+        while member.startswith(b"\r\n", at):
+            at += 2
+    return out
+
+
 def write_warc(pages: DataFrame, path: str) -> None:
     """Writes pages (_rid, page_id, url, payload string, digest, refers, refers_row, revisit) as archives in the folder path."""
     fields = ["_rid", "page_id", "url", "payload", "digest", "refers", "refers_row", "revisit"]
@@ -135,11 +156,13 @@ def _scan(batches):
                 if found_any and joiner.raw:
                     found.append(("tail", *at, seq, joiner.raw))
                 at, joiner, seq, found_any = (file, start), Joiner(), 0, False
-                if start == 0:
-                    continue  # what comes before the first magic
+                if start == 0:  # what comes before the first magic
+                    if piece:
+                        raise ValueError(f"{file} isn't compressed by members")
+                    continue
             record = joiner.push(piece)
             if record:
-                found.append(("record", file, start, seq, record))
+                found += [("record", file, start, seq, r) for r in records_of(record)]
                 found_any = True
             elif not found_any:
                 found.append(("head", file, start, seq, MAGIC + piece))
@@ -160,7 +183,7 @@ def _rejoin(pdf: pd.DataFrame) -> pd.DataFrame:
     for raw in pdf.sort_values(["start", "seq"])["raw"]:
         record = joiner.push(raw[len(MAGIC) :])
         if record:
-            out.append(record)
+            out += records_of(record)
     return pd.DataFrame({"raw": out}, columns=["raw"])
 
 

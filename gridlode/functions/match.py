@@ -59,32 +59,25 @@ def same_state(a, b) -> Column:
     return F.contains(a, b) | F.contains(b, F.substring(a, 1, 2))
 
 
+def state_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """state, other: the upper-case states (null as the empty text) of both sides that match by same_state; one row each."""
+    plain = F.upper(F.coalesce("state", F.lit("")))
+    return left.select(plain.alias("state")).distinct().crossJoin(right.select(plain.alias("other")).distinct()).where(same_state("state", "other"))
+
+
 def in_same_state(companies: DataFrame, facilities: DataFrame) -> DataFrame:
     """Each company with each facility whose state text matches its own by same_state. Both have a column state.
 
     The rule runs over the distinct states of both sides only; companies meet facilities by equi-joins through the
-    pairs of states found. A null state counts as the empty text.
+    pairs of states found. A null state counts as the empty text, which matches every state.
     """
     plain = F.upper(F.coalesce("state", F.lit("")))
-    c, f = companies.withColumn("_c", plain).drop("state"), facilities.withColumn("_f", plain).drop("state")
-    pairs = c.select("_c").distinct().crossJoin(f.select("_f").distinct()).where(same_state("_c", "_f"))
-    return c.join(pairs, "_c").join(f, "_f").drop("_c", "_f")
+    pairs = state_pairs(companies, facilities).select(F.col("state").alias("_c"), F.col("other").alias("_f"))
+    return companies.withColumn("_c", plain).drop("state").join(pairs, "_c").join(facilities.withColumn("_f", plain).drop("state"), "_f").drop("_c", "_f")
 
 
 def best_facilities(companies: DataFrame, facilities: DataFrame, least: int = 25) -> DataFrame:
-    """id, fid and score of the best facility of each company in a matching state, if it has `least` points; ties take the least fid.
+    """The best facility of each company in a matching state: `operators.matching.best_facilities`."""
+    from ..operators import matching
 
-    companies: id, company, site, state; facilities: fid, facility, city, state; names normalised. Equal rows are one:
-    companies of the same name, site and state share a result, and of such facilities the least fid counts. Names and
-    places are scored once for each pair of different texts that meets.
-    """
-    own = ["company", "site", "state"]
-    companies = companies.withColumn("state", F.upper(F.coalesce("state", F.lit(""))))
-    each = facilities.withColumn("state", F.upper(F.coalesce("state", F.lit("")))).groupBy("facility", "city", "state").agg(F.min("fid").alias("fid"))
-    met = in_same_state(companies.select(*own).distinct().withColumn("own", F.struct(*own)), each)
-    points = lambda a, b, f, name: met.select(a, b).distinct().withColumn(name, f(a, b))
-    scored = met.join(points("company", "facility", name_points, "_n"), ["company", "facility"]).join(points("site", "city", place_points, "_p"), ["site", "city"])
-    scored = scored.withColumn("score", F.col("_n") + F.col("_p"))
-    best = scored.groupBy("own").agg(F.min_by("fid", F.struct(-F.col("score"), "fid")).alias("fid"), F.max("score").cast("long").alias("score"))
-    best = best.where(F.col("score") >= least).select("own.*", "fid", "score")
-    return companies.join(best, own).select("id", "fid", "score")
+    return matching.best_facilities(companies, facilities, least)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import struct
 import zipfile
+from typing import BinaryIO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -14,42 +15,71 @@ SCHEMA = "file string, layer string, record long, kind string, parts array<array
 KINDS = {1: "Point", 3: "LineString", 5: "Polygon"}
 
 
-def shapes(data: bytes):
-    """(kind, parts) of each record of a .shp file; shapes with heights and measures are read without them."""
-    at = 100
-    while at + 8 <= len(data):
-        size = struct.unpack(">i", data[at + 4 : at + 8])[0] * 2
-        body, at = data[at + 8 : at + 8 + size], at + 8 + size
-        code = struct.unpack("<i", body[:4])[0]
-        kind = KINDS.get(code % 10)
-        if kind == "Point":
-            yield kind, [[struct.unpack("<2d", body[4:20])]]
-        elif kind:
-            parts, points = struct.unpack("<2i", body[36:44])
-            starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
-            xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
-            pts = list(zip(xy[::2], xy[1::2]))
-            yield kind, [pts[a:b] for a, b in zip(starts, starts[1:])]
-        else:
-            yield None, []
-
-
-def attributes(data: bytes, encoding: str = "utf-8"):
-    """A dict of each record of a .dbf file."""
-    n, head, size = struct.unpack("<IHH", data[4:12])
-    fields, at = [], 32
-    while data[at : at + 1] not in (b"\r", b""):
-        fields.append((data[at : at + 11].split(b"\0")[0].decode("ascii", "replace"), data[at + 16]))
-        at += 32
-    for i in range(n):
-        row, pos, out = data[head + i * size : head + (i + 1) * size], 1, {}
-        for name, width in fields:
-            out[name] = row[pos : pos + width].decode(encoding, "replace").strip("\0 ")
-            pos += width
-        yield out
+#: A task hands on so many records at a time.
+BATCH = 2_000
+
+
+def shape_of(body: bytes):
+    """(kind, parts) of the body of a record; shapes with heights and measures are read without them."""
+    code = struct.unpack("<i", body[:4])[0]
+    kind = KINDS.get(code % 10)
+    if kind == "Point":
+        return kind, [[struct.unpack("<2d", body[4:20])]]
+    if not kind:
+        return None, []
+    parts, points = struct.unpack("<2i", body[36:44])
+    starts = [*struct.unpack(f"<{parts}i", body[44 : 44 + 4 * parts]), points]
+    xy = struct.unpack(f"<{2 * points}d", body[44 + 4 * parts : 44 + 4 * parts + 16 * points])
+    pts = list(zip(xy[::2], xy[1::2]))
+    return kind, [pts[a:b] for a, b in zip(starts, starts[1:])]
+
+
+def shapes(stream: BinaryIO):
+    """The shape of each record of a .shp file, one after the other."""
+    stream.read(100)
+    while len(head := stream.read(8)) == 8:
+        yield shape_of(stream.read(struct.unpack(">i", head[4:])[0] * 2))
+
+
+def fields_of(stream: BinaryIO) -> tuple:
+    """(number of rows, where they begin, bytes of a row, names and widths) of a .dbf file; leaves it after its fields."""
+    n, begin, size = struct.unpack("<IHH", stream.read(32)[4:12])
+    fields, read = [], 32
+    while (first := stream.read(1)) not in (b"\r", b""):
+        data = first + stream.read(31)
+        read += 32
+        fields.append((data[:11].split(b"\0")[0].decode("ascii", "replace"), data[16]))
+    stream.read(max(0, begin - read - 1))
+    return n, begin, size, fields
+
+
+def values_of(row: bytes, fields: list, encoding: str = "utf-8") -> dict:
+    pos, out = 1, {}
+    for name, width in fields:
+        out[name] = row[pos : pos + width].decode(encoding, "replace").strip("\0 ")
+        pos += width
+    return out
+
+
+def attributes_of(stream: BinaryIO, head: tuple, record: int) -> dict:
+    """The attributes of one record of a .dbf file that can be sought in; none beyond its end."""
+    n, begin, size, fields = head
+    if record >= n:
+        return {}
+    stream.seek(begin + record * size)
+    return values_of(stream.read(size), fields)
+
+
+def attributes(stream: BinaryIO):
+    """A dict of each record of a .dbf file, one after the other."""
+    n, _, size, fields = fields_of(stream)
+    for _ in range(n):
+        yield values_of(stream.read(size), fields)
 
 
 def _records(batches):
+    """Records of archives, unpacked as they are read, in bounded batches."""
+    names_ = ["file", "layer", "record", "kind", "parts", "attributes"]
     for pdf in batches:
         out = []
         for file, content in zip(pdf["path"], pdf["content"]):
@@ -61,11 +91,15 @@ def _records(batches):
                     if not low.endswith(".shp"):
                         continue
                     table = names.get(low[:-4] + ".dbf")
-                    rows = attributes(z.read(table)) if table else iter(())
-                    for i, (kind, parts) in enumerate(shapes(z.read(name))):
-                        pts = [[{"x": x, "y": y} for x, y in p] for p in parts]
-                        out.append((file, name, i, kind, pts, next(rows, {})))
-        yield pd.DataFrame(out, columns=["file", "layer", "record", "kind", "parts", "attributes"])
+                    with z.open(name) as found, z.open(table) if table else io.BytesIO() as rows:
+                        values = attributes(rows) if table else iter(())
+                        for i, (kind, parts) in enumerate(shapes(found)):
+                            pts = [[{"x": x, "y": y} for x, y in p] for p in parts]
+                            out.append((file, name, i, kind, pts, next(values, {})))
+                            if len(out) == BATCH:
+                                yield pd.DataFrame(out, columns=names_)
+                                out = []
+        yield pd.DataFrame(out, columns=names_)
 
 
 def read_shapefiles(spark: SparkSession, path: str, every: int = 1, most: int | None = None) -> DataFrame:
@@ -86,7 +120,7 @@ def archive(keys: list[str], rings: list[list[tuple]], layer: str = "cells") ->
     size = 50 + sum(4 + len(b) // 2 for b in bodies)
     head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, size) + struct.pack("<2i8d", 1000, 5, *_box([p for r in rings for p in r]), 0, 0, 0, 0)
     shp = head + b"".join(struct.pack(">2i", i + 1, len(b) // 2) + b for i, b in enumerate(bodies))
-    width = max(len(k) for k in keys)
+    width = max(len(k.encode()) for k in keys)
     dbf = struct.pack("<4BIHH20x", 3, 24, 1, 1, len(keys), 65, width + 1) + struct.pack("<11sc4xBB14x", b"KEY", b"C", width, 0) + b"\r"
     dbf += b"".join(b" " + k.encode().ljust(width) for k in keys) + b"\x1a"
     out = io.BytesIO()

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import match
@@ -94,37 +94,35 @@ def best_facilities(companies: DataFrame, facilities: DataFrame, least: int = 25
     states = small(checkpoint(match.state_pairs(mine.select("state"), each.select("state"))))
     meet = lambda df: df.join(states, "state").drop("state").withColumnsRenamed({"other": "state"})
     found = []
-
-    def points(df: DataFrame) -> Column:
-        """Both kinds of points of pairs company, site, facility, city."""
-        n = df.join(names.select(F.col("a").alias("company"), F.col("b").alias("facility"), F.col("points").alias("_n")), ["company", "facility"], "left")
-        p = n.join(places.select(F.col("a").alias("site"), F.col("b").alias("city"), F.col("points").alias("_p")), ["site", "city"], "left")
-        by_name = F.when((F.col("company") == "") | (F.col("facility") == ""), 50).otherwise(F.coalesce("_n", F.lit(0)))
-        by_place = F.when((F.col("site") == "") | (F.col("city") == ""), 30).otherwise(F.coalesce("_p", F.lit(0)))
-        return p.select(F.struct("company", "site", F.col("_state").alias("state")).alias("own"), "fid", (by_name + by_place).cast("long").alias("score"))
-
+    pair_of = ["company", "site", "_state", "facility", "city", "fid"]
     there = each.select("facility", "city", "state", "fid")
     asked = mine.withColumn("_state", F.col("state"))
     pair = lambda df, a, b: df.select(F.col("a").alias(a), F.col("b").alias(b))
-    # pairs of places with points, and of these enough alone for any name: the least fid of a city
-    found.append(points(meet(asked.join(pair(places, "site", "city"), "site")).join(there, ["city", "state"])))
+    # pairs of places with points, with all facilities there
+    found.append(meet(asked.join(pair(places, "site", "city"), "site")).join(there, ["city", "state"]).select(*pair_of))
     # pairs of names that are enough alone: the least fid of a name; with points for its place it is above
     named = there.groupBy("facility", "state").agg(F.min_by(F.struct("city", "fid"), "fid").alias("s")).select("facility", "state", "s.city", "s.fid")
-    found.append(points(meet(asked.join(pair(names.where(F.col("points") >= least), "company", "facility"), "company")).join(named, ["facility", "state"])))
+    found.append(meet(asked.join(pair(names.where(F.col("points") >= least), "company", "facility"), "company")).join(named, ["facility", "state"]).select(*pair_of))
     # an empty text is held by all: the least fid of a state stands for all that have no other points
     one = lambda df: df.groupBy("state").agg(F.min_by(F.struct("facility", "city", "fid"), "fid").alias("s")).select("state", "s.*")
     nameless, placeless = there.where("facility = ''"), there.where("city = ''")
-    found.append(points(meet(asked.where("company = '' or site = ''")).join(one(there), "state")))
-    found.append(points(meet(asked.where("company = ''")).join(one(placeless), "state")))
+    found.append(meet(asked.where("company = '' or site = ''")).join(one(there), "state").select(*pair_of))
+    found.append(meet(asked.where("company = ''")).join(one(placeless), "state").select(*pair_of))
     for some in (nameless, placeless, nameless.where("city = ''")):
-        found.append(points(meet(asked).join(one(some), "state")))
+        found.append(meet(asked).join(one(some), "state").select(*pair_of))
     # and those that have, by their names; pairs of places are all made above
     by_names = asked.join(pair(names, "company", "facility"), "company")
-    found.append(points(meet(by_names.where("site = ''")).join(there, ["facility", "state"])))
-    found.append(points(meet(by_names).join(placeless, ["facility", "state"])))
+    found.append(meet(by_names.where("site = ''")).join(there, ["facility", "state"]).select(*pair_of))
+    found.append(meet(by_names).join(placeless, ["facility", "state"]).select(*pair_of))
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)
+    # both kinds of points of each pair that may be the best
+    worth = lambda df, a, b, n: df.select(F.col("a").alias(a), F.col("b").alias(b), F.col("points").alias(n))
+    every = every.join(worth(names, "company", "facility", "_n"), ["company", "facility"], "left").join(worth(places, "site", "city", "_p"), ["site", "city"], "left")
+    by_name = F.when((F.col("company") == "") | (F.col("facility") == ""), 50).otherwise(F.coalesce("_n", F.lit(0)))
+    by_place = F.when((F.col("site") == "") | (F.col("city") == ""), 30).otherwise(F.coalesce("_p", F.lit(0)))
+    every = every.select(F.struct("company", "site", F.col("_state").alias("state")).alias("own"), "fid", (by_name + by_place).cast("long").alias("score"))
     best = every.groupBy("own").agg(F.min_by("fid", F.struct(-F.col("score"), "fid")).alias("fid"), F.max("score").alias("score"))
     best = best.where(F.col("score") >= least).select("own.*", "fid", "score")
     return companies.join(best, own).select("id", "fid", "score")

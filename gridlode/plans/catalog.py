@@ -5,10 +5,13 @@ A query's name begins with what it shows; `op` in the comments is the number of
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean, extract, geo, match
-from ..operators import boundary, scoring, spatial, stats, upsert
+from ..operators import boundary, greedy_clusters, scoring, spatial, stats, upsert
 from ..operators.shared import checkpoint
 from . import routes
 from .views import Views, duck
@@ -286,6 +289,12 @@ def parcel_clusters(v):  # A31
     return spatial.clusters(v.parcels, 6).select("cx", "cy", "point_count", "acres", *six("lon", "lat"))
 
 
+@query()  # the order of the items makes it, one by one: tests hold it against the plain loop
+def parcel_cluster_levels(v):  # A31: each zoom from the one above
+    levels = greedy_clusters.cluster_levels(v.parcels, "parcel_id", "acres", least=12)
+    return reduce(DataFrame.unionByName, [found.select(F.lit(zoom).alias("zoom"), "parcel_id", *six("lon", "lat"), "point_count", "acres") for zoom, found in levels])
+
+
 # lines
 
 

@@ -9,8 +9,8 @@ and any passage there.
 Items are broadcast in slices of at most SLICE_BYTES, each with a pass of its own over the documents; as many
 slices are taken as the table needs, and the least distance over all of them counts.
 
-Items with fewer than LEAST characters after normalising must occur unchanged, as whole words (next to a character of
-a script that is written without spaces any place will do): a fragment with edits would be found everywhere.
+Items too short for a budget (RATE * m under 1) must occur unchanged, as whole words (next to a character of a script
+that is written without spaces any place will do): as a part of words they would be found everywhere.
 
 Defined results: null and empty texts have no hits; items without a letter or digit match nothing; items with null ids are kept as such; of repeated items with one id, the least
 distance counts; repeated documents each give their rows; an empty table on either side gives an empty result;
@@ -30,7 +30,6 @@ from .common import with_row_id, without
 from .hashing import column, pieces
 
 RATE = 0.08
-LEAST = 25
 SLICE_BYTES = 16 << 20
 _OTHER = re.compile(r"[\W_]+")
 #: Scripts from here on are written without spaces between words.
@@ -74,7 +73,7 @@ def least_distance(item: str, places: dict[str, int], text: str) -> int:
 class Matcher:
     """Finds benchmark items in normalised texts. items: id, text."""
 
-    def __init__(self, items: list[tuple], rate: float = RATE, least: int = LEAST):
+    def __init__(self, items: list[tuple], rate: float = RATE):
         import ahocorasick
 
         self.items, pieces = [], defaultdict(list)
@@ -82,14 +81,14 @@ class Matcher:
             m = len(text)
             if not m:
                 continue
-            budget = int(rate * m) if m >= least else 0
+            budget = int(rate * m)
             places = defaultdict(int)
             for at, c in enumerate(text):
                 places[c] |= 1 << at
             for j in range(budget + 1):
                 a, e = j * m // (budget + 1), (j + 1) * m // (budget + 1)
                 pieces[text[a:e]].append((len(self.items), a))
-            self.items.append((key, text, dict(places) if m >= least else None, budget))
+            self.items.append((key, text, dict(places) if budget else None, budget))
         self.automaton = ahocorasick.Automaton()
         for piece, where in pieces.items():
             self.automaton.add_word(piece, (len(piece), where))

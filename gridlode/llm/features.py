@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import checkpoint, small
 from .hashing import column, pieces
 
 ORDERS = (1, 2, 3)
@@ -94,9 +95,10 @@ def bounded_sample(rows: DataFrame, label: str, most: int, each: int = 0) -> Dat
     distinct = F.approx_count_distinct(F.xxhash64("doc_id", label), 0.02)  # the threshold leaves 30 % of room
     picked = ids.where(F.col("_d") < least(most, F.lit(ids.agg(distinct).head()[0]))).distinct().orderBy("_d", "doc_id", label).limit(most)
     if each:
-        sizes = ids.groupBy(label).agg(distinct.alias("_n"))
-        near = ids.join(F.broadcast(sizes), label).where(F.col("_d") < least(each, F.col("_n"))).select(*ids.columns).distinct()
+        sizes = checkpoint(ids.groupBy(label).agg(distinct.alias("_n")))
+        near = ids.join(small(sizes), label).where(F.col("_d") < least(each, F.col("_n"))).select(*ids.columns).distinct()
         first = near.withColumn("_k", F.row_number().over(Window.partitionBy(label).orderBy("_d", "doc_id"))).where(F.col("_k") <= each)
         picked = picked.unionByName(first.drop("_k")).distinct()
-    found = rows.join(F.broadcast(picked.drop("_d")), ["doc_id", label], "left_semi")
+    picked = checkpoint(picked.drop("_d"))
+    found = rows.join(small(picked), ["doc_id", label], "left_semi")
     return found.groupBy("doc_id", label).agg(F.min("text").alias("text")).select("doc_id", "text", label)

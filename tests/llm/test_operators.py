@@ -274,7 +274,7 @@ def test_decontaminate(spark, empty):
     for d, t in texts:
         for i, q in items:
             p = decontaminate.normalise(q)
-            if len(p) >= decontaminate.LEAST and t:
+            if int(decontaminate.RATE * len(p)) and t:
                 n = edit_distance(p, decontaminate.normalise(t))
                 if n <= int(decontaminate.RATE * len(p)):
                     want[d, i] = n

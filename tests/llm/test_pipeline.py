@@ -59,7 +59,7 @@ def brute_near(rows):
 
 
 def brute_leaks(rows, items):
-    wanted = [p for _, q in items if len(p := decontaminate.normalise(q)) >= decontaminate.LEAST]
+    wanted = [p for _, q in items if int(decontaminate.RATE * len(p := decontaminate.normalise(q)))]
     return [x for x in rows if not any(edit_distance(p, decontaminate.normalise(x[1])) <= int(decontaminate.RATE * len(p)) for p in wanted)]
 
 

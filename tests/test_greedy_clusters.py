@@ -36,15 +36,15 @@ def rows():
     return out + [(900, None, 1.0, 1.0, "x"), (901, 1.0, float("nan"), 1.0, "x"), (None, 1.0, 1.0, 1.0, "x"), (902, -100.0, 40.0, None, None), (3, -80.0, 35.0, 2.0, "x"), out[7]]
 
 
-@pytest.mark.parametrize("fan, partitions", [(256, 3), (1, 7)])
-def test_against_the_plain_loop(spark, rows, monkeypatch, fan, partitions):
+@pytest.mark.parametrize("fan, partitions, least", [(256, 3, 10), (1, 7, 13)])
+def test_against_the_plain_loop(spark, rows, monkeypatch, fan, partitions, least):
     monkeypatch.setattr(gc, "FAN", fan)
     points = spark.createDataFrame(rows, POINTS).repartition(partitions)
     items = [((x["_h"], x["_key"], x["_x"], x["_y"]), x["_x"], x["_y"], x["_n"], x["_w"]) for x in gc._items(points, "id", "longitude", "latitude", "acres").collect()]
     assert sum(i[3] for i in items) == len(rows) - 3
-    want = brute(items, 10, 14, 50)
-    got = dict(gc.cluster_levels(points, "id", "acres", least=10))
-    assert list(got) == list(range(14, 9, -1)) and len({len(w) for w in want.values()}) > 3
+    want = brute(items, least, 14, 50)
+    got = dict(gc.cluster_levels(points, "id", "acres", least=least))
+    assert list(got) == list(range(14, least - 1, -1)) and len({len(w) for w in want.values()}) == 15 - least
     for zoom, found in got.items():
         assert found.columns == ["id", "lon", "lat", "point_count", "acres"]
         found = found.collect()

@@ -229,7 +229,7 @@ def manifest(rows: DataFrame, group: str, key: str, arity: int = ARITY) -> DataF
         _, place, own, (of, at, claimed, n), path = leaf
         steps = steps_of(path)
         subroot, root = (d for slot, d in steps if slot is None)
-        folded = root if claimed is None else fold(claimed, path)
+        folded = fold(own if claimed is None else claimed, path)
         return of, at, place, n, own, subroot, root, [d for slot, others in steps if slot is not None for d in others], folded, folded == root
 
     return spark.createDataFrame(forest.descend(paths).map(row), out, verifySchema=False)

@@ -135,13 +135,14 @@ def move_part(spark: SparkSession, folder: str, path: str) -> None:
 
 
 def head_bytes(spark: SparkSession, path: str, most: int = 65536) -> bytes:
-    """The first bytes of a file, or of the first file of a folder by name."""
+    """The first bytes of a file, or of a folder's largest one, of several the first by name: a part of a table may hold no more than headers."""
     store, at = _store(spark, path)
     if store.getFileStatus(at).isDirectory():
-        found = [f.getPath() for f in store.listStatus(at) if not f.getPath().getName().startswith(("_", "."))]
+        found = [(-f.getLen(), f.getPath().getName(), f.getPath()) for f in store.listStatus(at) if f.isFile()]
+        found = [f for f in found if not f[1].startswith(("_", "."))]
         if not found:
             return b""
-        at = min(found, key=lambda p: p.getName())
+        at = min(found, key=lambda f: f[:2])[2]
     stream = store.open(at)
     try:
         bounded = spark._jvm.org.apache.commons.io.input.BoundedInputStream(stream, most)

@@ -6,10 +6,11 @@ import json
 import random
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from gridlode.sources import csv_records, files, geojson_records
+from gridlode.sources import csv_records, detect, files, geojson_records, sinks
 
 
 @pytest.fixture
@@ -162,3 +163,27 @@ def test_summaries_compose(data):
             part.push(p)
         state, at = geojson_records.step(state, part.plain()), cut
     assert state == geojson_records.step(geojson_records.FIRST, whole.plain())
+
+
+@pytest.mark.parametrize("charset, name", [("UTF-8", "utf8"), ("UTF-16", "utf16be"), ("ISO-8859-1", "latin1")])
+def test_first_part_without_rows(spark, tmp_path, charset, name):
+    """A table's first part may hold headers only, or nothing: what it is shows in the others."""
+    rows = spark.range(0, 40, 1, 4).where("id >= 10").selectExpr("cast(id as string) as id", "'é' as name", "concat('two\n', id) as note")
+    sinks.write_csv(rows, str(tmp_path / "a"), charset)
+    (tmp_path / "a" / "part-0").write_bytes(b"")
+    found = files.read_csv(spark, str(tmp_path / "a"))
+    assert detect.detect(spark, str(tmp_path / "a"))["encoding"] == name
+    assert got(found) == sorted((str(i), "é", f"two\n{i}") for i in range(10, 40))
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text('a",', max_size=9), min_size=1, max_size=40))
+def test_surely_closed_lines_are_closed(spark, lines):
+    rows = spark.createDataFrame([(x,) for x in lines], "value string").select("value", csv_records.closes(F.col("value")).alias("sure")).collect()
+    assert all(not (r["sure"] and csv_records.ends_quoted(r["value"].encode(), False)) for r in rows)
+
+
+def test_closed_quotes_go_to_no_python(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(csv_records, "start_states", None)
+    (tmp_path / "a.csv").write_text('id,name,note\n1,"say ""x"", ok",""\n2,"a,b","""q"""\n3,c,d\n')
+    assert got(files.read_csv(spark, str(tmp_path))) == [("1", 'say "x", ok', None), ("2", "a,b", '"q"'), ("3", "c", "d")]

@@ -46,6 +46,17 @@ def ends_quoted(line: bytes, quoted: bool, sep: bytes = b",") -> bool:
             return False
 
 
+def closes(line, sep: str = ","):
+    """Whether a line (string) that begins outside of quotes surely ends there; False may be wrong.
+
+    Without doubled quotes, which change no state, every second piece between quotes is inside of a field, if each
+    quote that opens one comes first or after a separator.
+    """
+    pieces = F.split(F.replace(line, F.lit('""'), F.lit("")), '"')
+    stray = F.filter(pieces, lambda p, i: (i % 2 == 0) & (i + 1 < F.size(pieces)) & ~(p.endswith(sep) | ((i == 0) & (p == ""))))
+    return (F.size(pieces) % 2 == 1) & (F.size(stray) == 0)
+
+
 class Quotes:
     """A range for both states: where lines that begin outside and inside of quotes lead to, and if any line opens a field."""
 
@@ -159,16 +170,21 @@ def read_csv(spark: SparkSession, path: str, strict: bool = False, encoding: str
     byte = sep.encode()
     schema = StructType([StructField(n, StringType()) for n in names])
     lines = utf8_lines(spark, path, encoding)
-    # lines without quotes change no state: they go as empty ones
-    marked = lines.withColumn("value", F.when(F.contains("value", F.lit(b'"')), F.col("value")).otherwise(F.lit(b"")))
-    opens = []
-
-    def step(quoted, range_):
-        opens.append(range_[1])
-        return range_[0][quoted]
-
-    states = start_states(marked, lambda start: Quotes(byte), step, False)
-    if encoding in ("utf8", "ascii") and not any(opens):  # every line is a record
+    # what all lines surely close needs no look at how the ranges begin
+    line = F.col("value").cast("string")
+    plain = encoding in ("utf8", "ascii") and not lines.where(F.contains(line, F.lit('"')) & ~closes(line, sep)).limit(1).count()
+    if not plain:
+        # lines without quotes change no state: they go as empty ones
+        marked = lines.withColumn("value", F.when(F.contains("value", F.lit(b'"')), F.col("value")).otherwise(F.lit(b"")))
+        opens = []
+
+        def step(quoted, range_):
+            opens.append(range_[1])
+            return range_[0][quoted]
+
+        states = start_states(marked, lambda start: Quotes(byte), step, False)
+        plain = encoding in ("utf8", "ascii") and not any(opens)
+    if plain:  # every line is a record
         reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("escape", '"').option("sep", sep)
         # a reader that parses few columns doesn't see how many there are
         return reader.option("columnPruning", not strict).option("mode", "DROPMALFORMED" if strict else "PERMISSIVE").csv(path)

@@ -110,15 +110,18 @@ def read_features(spark: SparkSession, path: str, split: bool = False) -> DataFr
     split: for files of any size, cut into features by many tasks.
     """
     if split:
-        return features_of(geojson_records.read_elements(spark, path).select("file", as_feature(F.col("value")).alias("f")))
+        return feature_parts(geojson_records.read_elements(spark, path))
     text = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.trim("value").alias("value"))
     return normalise_features(text)
 
 
-def as_feature(value):
-    """A feature's JSON, also of a bare geometry."""
-    bare = F.to_json(F.struct(F.lit("Feature").alias("type"), F.from_json(value, GEOMETRY).alias("geometry")))
-    return F.when(F.get_json_object(value, "$.coordinates").isNotNull() & (F.get_json_object(value, "$.geometry").isNull()), bare).otherwise(value)
+def feature_parts(rows: DataFrame) -> DataFrame:
+    """rows: file, value (JSON of a feature or of a bare geometry) -> a feature's parts. Each text is read once."""
+    top = rows.select("file", F.json_tuple("value", "properties", "geometry", "coordinates", "type").alias("properties", "_geometry", "_own", "_type"))
+    bare = F.col("_own").isNotNull() & F.col("_geometry").isNull()
+    parts = top.select("*", F.json_tuple("_geometry", "type", "coordinates").alias("_kind", "_at"))
+    either = lambda own, inner: F.when(bare, F.col(own)).otherwise(F.col(inner))
+    return parts.select("file", F.when(~bare, F.col("properties")).alias("properties"), either("_type", "_kind").alias("kind"), either("_own", "_at").alias("coordinates"))
 
 
 def features_of(rows: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from collections import defaultdict
 from typing import Protocol
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +45,20 @@ def read_pieces(spark: SparkSession, path: str, sep: bytes) -> DataFrame:
 def _ranges(batches):
     """(file, start, values) of consecutive rows of one range."""
     for batch in batches:
-        files, starts, values = (batch.column(i).to_pylist() for i in range(3))
-        at = 0
-        for i in range(1, len(values) + 1):
-            if i == len(values) or (files[i], starts[i]) != (files[at], starts[at]):
-                yield files[at], starts[at], values[at:i]
-                at = i
+        files, starts, n = batch.column(0), batch.column(1), batch.num_rows
+        if not n:
+            continue
+        other = pc.or_(pc.not_equal(files.slice(1), files.slice(0, n - 1)), pc.not_equal(starts.slice(1), starts.slice(0, n - 1)))
+        ends = [i + 1 for i in pc.indices_nonzero(other).to_pylist()] + [n]
+        for at, end in zip([0, *ends], ends):
+            yield files[at].as_py(), starts[at].as_py(), batch.column(2).slice(at, end - at).to_pylist()
+
+
+def _push(reader, values: list[bytes]) -> list[bytes]:
+    """The records that end in values, of a reader that takes them all at once, or one by one."""
+    if hasattr(reader, "push_all"):
+        return reader.push_all(values)
+    return [raw for value in values for raw in reader.push(value) or ()]
 
 
 def start_states(pieces: DataFrame, new_summary, step, first) -> dict:
@@ -66,8 +75,7 @@ def start_states(pieces: DataFrame, new_summary, step, first) -> dict:
                 if summary is not None:
                     out.append((*at, pickle.dumps(summary.plain())))
                 at, summary = (file, start), new_summary(start)
-            for value in values:
-                summary.push(value)
+            _push(summary, values)
         if summary is not None:
             out.append((*at, pickle.dumps(summary.plain())))
         if out:
@@ -93,36 +101,45 @@ def cut_records(pieces: DataFrame, states: dict, new_cutter, first) -> DataFrame
     states: of the ranges; those that lack one begin like a file.
     """
     shared = pieces.sparkSession.sparkContext.broadcast(states)
-    names = ["file", "start", "place", "raw", "begins", "ends"]
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.bool_(), pa.bool_())
-    rows = lambda out: pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names)
+    names = ["file", "start", "place", "raw"]
 
-    def run(batches):
-        at, cutter, place, open_, out, held = None, None, 0, False, [], 0
+    def rows(file, start, places, raws, more=()):
+        n = len(raws)
+        fixed = [pa.repeat(pa.scalar(file, pa.string()), n), pa.repeat(pa.scalar(start, pa.int64()), n)]
+        flags = [pa.array([x], pa.bool_()) for x in more]
+        return pa.RecordBatch.from_arrays([*fixed, pa.array(places, pa.int64()), pa.array(raws, pa.binary()), *flags], [*names, "begins", "ends"][: 4 + len(flags)])
+
+    def cut(batches, parts: bool):
+        """Records that are whole in their range, or parts of those that aren't."""
+        at, cutter, place, open_ = None, None, 0, False
         for file, start, values in _ranges(batches):
             if (file, start) != at:
-                if cutter is not None and (cutter.inside or open_):
-                    out.append((*at, place, cutter.rest(), not open_, False))
+                if parts and cutter is not None and (cutter.inside or open_):
+                    yield rows(*at, [place], [cutter.rest()], (not open_, False))
                 at, place = (file, start), 0
                 cutter = new_cutter(shared.value.get(at, first), shared.value.get((file, None), first))
                 open_ = cutter.inside  # the range begins inside a record of another
-            for value in values:
-                for raw in cutter.push(value):
-                    out.append((file, start, -1 if open_ else place, raw, not open_, True))
-                    place, open_, held = place + (not open_), False, held + len(raw)
-                if held > HELD:
-                    yield rows(out)
-                    out, held = [], 0
-        if cutter is not None and (cutter.inside or open_):
-            out.append((*at, place, cutter.rest(), not open_, False))
-        if out:
-            yield rows(out)
-
-    found = pieces.mapInArrow(run, "file string, start long, place long, raw binary, begins boolean, ends boolean")
-    whole = found.where("begins and ends").select("file", "start", "place", "raw")
+            raws = _push(cutter, values)
+            if open_ and raws:
+                if parts:
+                    yield rows(file, start, [-1], raws[:1], (False, True))
+                raws, open_ = raws[1:], False
+            held, begin = 0, 0
+            for i, raw in enumerate(raws if not parts else ()):
+                held += len(raw)
+                if held > HELD or i + 1 == len(raws):
+                    yield rows(file, start, range(place + begin, place + i + 1), raws[begin : i + 1])
+                    held, begin = 0, i + 1
+            place += len(raws)
+        if parts and cutter is not None and (cutter.inside or open_):
+            yield rows(*at, [place], [cutter.rest()], (not open_, False))
+
+    kind = "file string, start long, place long, raw binary"
+    whole = pieces.mapInArrow(lambda batches: cut(batches, False), kind)
+    found = pieces.mapInArrow(lambda batches: cut(batches, True), f"{kind}, begins boolean, ends boolean")
     # two parts per range at most; in order, each belongs to the last begin
     order = Window.partitionBy("file").orderBy("start", "begins")
-    marked = found.where("not (begins and ends)").withColumn("of", F.last(F.when(F.col("begins"), F.struct("start", "place")), True).over(order))
+    marked = found.withColumn("of", F.last(F.when(F.col("begins"), F.struct("start", "place")), True).over(order))
     parts = marked.groupBy("file", "of").agg(F.array_sort(F.collect_list(F.struct("start", "begins", "raw"))).alias("l"), F.max("ends").alias("closed"))
     joined = parts.select("file", F.col("of.start").alias("start"), F.col("of.place").alias("place"), F.aggregate("l", F.lit(b""), lambda a, x: F.concat(a, x["raw"])).alias("raw"))
     return whole.unionByName(joined)

@@ -187,3 +187,27 @@ def test_closed_quotes_go_to_no_python(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(csv_records, "start_states", None)
     (tmp_path / "a.csv").write_text('id,name,note\n1,"say ""x"", ok",""\n2,"a,b","""q"""\n3,c,d\n')
     assert got(files.read_csv(spark, str(tmp_path))) == [("1", 'say "x", ok', None), ("2", "a,b", '"q"'), ("3", "c", "d")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.data())
+def test_elements_of_any_batches(data):
+    """Pieces come one by one or many together: the same elements, which are those of the parsed text."""
+    name, text = data.draw(st.sampled_from(sorted(shapes().items())))
+    pieces = text.encode().split(b"}")
+    whole = geojson_records.Summary(0)
+    whole.push_all(pieces)
+    last = geojson_records.step(geojson_records.FIRST, whole.plain())
+    cuts = [0, *sorted(data.draw(st.sets(st.integers(1, len(pieces)), max_size=6))), len(pieces)]
+    cutter = geojson_records.Elements(geojson_records.FIRST, last)
+    found = [raw for a, b in zip(cuts, cuts[1:]) for raw in cutter.push_all(pieces[a:b]) if b > a]
+    want = json.loads(text)
+    want = want if isinstance(want, list) else want.get("features", [want])
+    assert [json.loads(raw) for raw in found] == want
+
+
+def test_a_collection_file_is_made_by_many_tasks(spark, tmp_path):
+    rows = spark.range(0, 40, 1, 4).select(F.format_string('{"type":"Feature","properties":{"id":%d,"task":%d},"geometry":null}', "id", F.spark_partition_id()).alias("value"))
+    sinks.write_collection_file(rows, str(tmp_path / "c.geojson"))
+    made = [f["properties"] for f in json.loads((tmp_path / "c.geojson").read_text())["features"][1:]]
+    assert sorted(f["id"] for f in made) == list(range(40)) and {f["task"] for f in made} == {0, 1, 2, 3}

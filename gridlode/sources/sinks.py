@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,14 +34,23 @@ def write_features(rows: DataFrame, path: str, **where) -> None:
 
 
 def write_collection_file(found: DataFrame, path: str) -> None:
-    """Features (value, JSON) as one FeatureCollection in one file of that name: written line by line by one task, as a file is.
+    """Features (value, JSON) as one FeatureCollection in one file of that name: made by many tasks, then written line by line by one, as a file is.
 
     Its first element is null, which readers pass over, so that no line needs to know whether it is the last.
     """
     spark = found.sparkSession
-    line = lambda text: spark.createDataFrame([(text,)], "value string")
-    whole = line('{"type":"FeatureCollection","features":[null').union(found.select(F.concat(F.lit(","), "value"))).union(line("]}"))
-    whole.coalesce(1).write.text(f"{path}.parts")
+    line = lambda text: pa.RecordBatch.from_arrays([pa.array([text], pa.string())], ["value"])
+
+    def run(batches):
+        yield line('{"type":"FeatureCollection","features":[null')
+        for batch in batches:
+            yield batch.filter(pc.greater(pc.binary_length(batch.column(0)), 0))
+        yield line("]}")
+
+    # an empty line, so that there is a task without features too
+    lines = found.select(F.concat(F.lit(","), "value").alias("value")).union(spark.createDataFrame([("",)], "value string"))
+    whole = lines.repartition(1).mapInArrow(run, "value string")
+    whole.write.text(f"{path}.parts")
     move_part(spark, f"{path}.parts", path)
 
 

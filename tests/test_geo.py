@@ -142,3 +142,10 @@ def test_simplify(spark):
     for f in (simplify.simplify_area("line", 0.01), simplify.simplify_distance("line", 0.1)):
         got = [r["x"] and [(p["x"], p["y"]) for p in r["x"]] for r in rows.select(f.alias("x")).collect()]
         assert got == [[line[0], *line[2:]], None]
+
+
+def test_areas_of_rings_are_evaluated_once(spark):
+    rings = F.array(*[F.array(*[geo.point(F.col("id") * 0.0 + x, F.lit(0.0) + y) for x, y in ring]) for ring in ([(0, 0), (2, 0), (2, 2), (0, 0)], [(1, 0), (2, 0), (2, 1), (1, 0)])])
+    rows = spark.range(2).select(geo.polygon_acres(rings).alias("acres"))
+    assert rows._jdf.queryExecution().analyzed().toString().upper().count("SIN(") == 2
+    assert rows.select(F.countDistinct("acres"), F.min("acres")).head()[0] == 1

@@ -1,6 +1,7 @@
 """Batch ingest that goes on where it stopped: a ledger of byte ranges, each recorded together with its output.
 
-Files are taken in ranges of a fixed size, some ranges at a time. A batch writes its rows to a new folder, a subfolder per
+Files are taken in ranges of a fixed size, some ranges at a time; batches of small ranges are done and published many
+together, up to TOGETHER bytes, as each is a job over all ranges of its files. A batch writes its rows to a new folder, a subfolder per
 range, and then publishes its entries by one rename: file, start, size and time of the file, rows, and a digest of the
 rows. What an interrupted batch wrote is in no entry and so in no result. A later run does the ranges that have no
 entry, and those of files that changed since; of these the older entries count no more.
@@ -22,6 +23,8 @@ from ..operators.versions import ConflictError, Document
 RANGE_BYTES = 64 << 20
 #: Ranges of a batch.
 BATCH = 64
+#: Batches that are smaller are done together up to so many bytes: less than a batch of the default size.
+TOGETHER = 1 << 30
 
 
 class Ledger:
@@ -124,10 +127,10 @@ def ingest(spark: SparkSession, source: str, ledger: Ledger, parse: Callable[[Da
     try:
         for n in names:  # with these, each task has one range
             spark.conf.set(n, f"{range_bytes}b")
-        for at in range(0, len(todo), batch):
-            if most is not None and at >= most * batch:
-                break
-            part = todo[at : at + batch]
+        todo = todo if most is None else todo[: most * batch]
+        step = batch * max(1, TOGETHER // (range_bytes * batch))
+        for at in range(0, len(todo), step):
+            part = todo[at : at + step]
             number = {(file, start): i for i, (file, start, _, _) in enumerate(part)}
             folder = f"data/{uuid.uuid4().hex}"
             rows = parse(_lines(spark, sorted({file for file, *_ in part}), number))

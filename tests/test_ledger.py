@@ -120,3 +120,14 @@ def test_empty_folder_and_forgetting(spark, tmp_path, ledger):
     assert ingest(spark, str(tmp_path / "none"), ledger, parse) == 1 and ids(spark, ledger) == []
     ledger.forget()
     assert ledger.entries() == [] and led.BATCH > 1
+
+
+def test_small_ranges_are_done_together(spark, files, ledger, monkeypatch):
+    """A job goes over all ranges of its files, so many batches of small ranges must not be as many jobs."""
+    published = []
+    plain = Document.publish
+    monkeypatch.setattr(Document, "publish", lambda self, version, content: published.append(len(content["ranges"])) or plain(self, version, content))
+    assert ingest(spark, files, ledger, parse, SIZE, batch=1, most=2) == 2
+    monkeypatch.setattr(led, "TOGETHER", 5 * SIZE)
+    rest = ingest(spark, files, ledger, parse, SIZE, batch=1)
+    assert published[0] == 2 and published[1:-1] == [5] * (rest // 5) and ids(spark, ledger) == WANT

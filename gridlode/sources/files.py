@@ -75,6 +75,11 @@ def first_of(*names: str):
     return F.coalesce(*[F.col(f"`{n}`") for n in names])
 
 
+def once(rows: DataFrame, **columns) -> DataFrame:
+    """Columns that are evaluated once per row, however often they are used: filters on them aren't pushed through a generator, which would copy them."""
+    return rows.select(F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def points_from_csv(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(valid points, rejected rows with their errors) of a CSV file, by the names of its headers.
 
@@ -86,18 +91,20 @@ def points_from_csv(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         _, x, y = geo.parse_wkt_point(F.col(f"`{fields['geometry']}`"))
     else:
         x, y = (clean.parse_numeric(F.col(f"`{fields[k]}`")) if k in fields else F.lit(None).cast("double") for k in ("longitude", "latitude"))
-    flat = rows.withColumn("_x", x).withColumn("_y", y)
-    lon, lat = geo.mercator_to_lonlat("_x", "_y")
-    metres = (F.abs("_x") > 1000) | (F.abs("_y") > 1000)
     depth = clean.parse_numeric(F.col(f"`{fields['depth']}`")) if "depth" in fields else F.lit(None).cast("double")
     heat = clean.parse_numeric(F.col(f"`{fields['temperature']}`")) if "temperature" in fields else F.lit(None).cast("double")
+    flat = once(rows, _x=x, _y=y, _depth=depth, _heat=heat)
+    lon, lat = geo.mercator_to_lonlat("_x", "_y")
+    metres = (F.abs("_x") > 1000) | (F.abs("_y") > 1000)
+    heat = F.col("_heat")
     if "temperature" in fields and clean.header_is_celsius(fields["temperature"]):
         heat = clean.celsius_to_fahrenheit(heat)
-    out = flat.select(
-        F.when(metres, lat).otherwise(F.col("_y")).alias("latitude"),
-        F.when(metres, lon).otherwise(F.col("_x")).alias("longitude"),
-        clean.depth_metres(depth, "depth" in fields and clean.header_is_feet(fields["depth"])).alias("depth_m"),
-        heat.alias("temperature_f"),
+    out = once(
+        flat,
+        latitude=F.when(metres, lat).otherwise(F.col("_y")),
+        longitude=F.when(metres, lon).otherwise(F.col("_x")),
+        depth_m=clean.depth_metres(F.col("_depth"), "depth" in fields and clean.header_is_feet(fields["depth"])),
+        temperature_f=heat,
     )
     out = out.withColumn("errors", clean.point_errors()).withColumn("warnings", clean.point_warnings())
     return out.where(F.size("errors") == 0).drop("errors"), out.where(F.size("errors") > 0)

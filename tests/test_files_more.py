@@ -112,3 +112,11 @@ def test_links_once_and_cards_without_end(spark):
     assert one(clean.line_width(F.lit(100.0), 2.0)) == 0.8 and one(clean.line_width(F.lit(None).cast("double"), 9.0)) == 1.0
     lon, lat = geo.wkt_to_lonlat(F.lit("POINT(-100.5 40.25)"))
     assert (one(lon), one(lat)) == (-100.5, 40.25)
+
+
+def test_numbers_of_points_are_parsed_once(spark):
+    rows = spark.createDataFrame([("1.5", "2.5", "10", "-9999"), ("95", "1", "2", "3")], "Latitude string, Longitude string, Depth_ft string, Temperature_C string")
+    good, bad = files.points_from_csv(rows)
+    plan = good._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 2 and "Filter" in plan.split("Generate")[0] and "Filter" not in plan.rpartition("Generate")[2]
+    assert good.count() == 1 and bad.count() == 1

@@ -73,7 +73,7 @@ class Sphere(Plane):
 
 
 class CellTree:
-    """points: lon, lat, values. band: a column that probes may bound; tie: the column that tells points of one place, or as near, apart."""
+    """points: lon, lat, values, which can be ordered. band: a column that probes may bound; tie: the column that tells points of one place, or as near, apart."""
 
     def __init__(self, points: DataFrame, lon: str, lat: str, values: list[str], step: float, metric: Plane, band: str | None = None, tie: str | None = None):
         self.step, self.metric, self.values, self.tie = step, metric, values, tie
@@ -140,7 +140,8 @@ class CellTree:
         wrap = (lambda i: F.pmod(i, F.lit(self.columns))) if self.columns else (lambda i: i)
         at = start.select(*own, wrap(F.col("_o.i")).alias("_bx"), F.col("_o.j").alias("_by"))
         if not self.nodes:
-            return self._best(at.join(self.points, ["_bx", "_by"]), key, within)
+            there = self.points.groupBy("_bx", "_by").agg(self._points())
+            return self._best(at.join(there, ["_bx", "_by"]), key, within)
         at = (at.distinct() if self.columns else at).join(self.nodes[0], ["_bx", "_by"])
         found = None
         for level in range(len(self.nodes)):
@@ -163,13 +164,21 @@ class CellTree:
         leaf = ["_bx", "_by", "_i", "_j", "_level"]
         copies = checkpoint(found.groupBy(*leaf).agg(F.ceil(F.count("*") / PROBES).cast("int").alias("_copies")))
         spread = found.join(small(copies), leaf).withColumn("_copy", F.pmod(F.xxhash64("_k"), F.col("_copies")).cast("int")).drop("_copies")
-        there = self.points.join(small(copies), leaf).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
-        met = spread.join(there.select(*leaf, "_copy", "_lon", "_lat", "_band", "_v", "_tie"), [*leaf, "_copy"])
-        return self._best(met, key, within)
+        # only the deepest cells may have more than MOST
+        part = F.when(F.col("_level") >= DEPTH, F.pmod(F.xxhash64("_lon", "_lat", "_band"), F.lit(MOST))).otherwise(0)
+        there = self.points.join(small(copies), leaf).groupBy(*leaf, "_copies", part.alias("_part")).agg(self._points())
+        there = there.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)))
+        return self._best(spread.join(there.select(*leaf, "_copy", "_points"), [*leaf, "_copy"]), key, within)
+
+    @staticmethod
+    def _points() -> Column:
+        return F.collect_list(F.struct("_lon", "_lat", "_band", "_tie", "_v")).alias("_points")
 
     def _best(self, met: DataFrame, key: str, within: float | None) -> DataFrame:
-        met = met.where(F.col("_band").between(F.col("_least"), F.col("_most"))).withColumn("_d", self.metric.distance("_x", "_y", "_lon", "_lat"))
+        """met: a row per probe and leaf, with the leaf's _points. Each row is brought down to its nearest point where it is made, so no pair of points is sorted or shuffled."""
+        fits = F.filter("_points", lambda p: p["_band"].between(F.col("_least"), F.col("_most")))
+        far = F.transform(fits, lambda p: F.struct(self.metric.distance(F.col("_x"), F.col("_y"), p["_lon"], p["_lat"]).alias("distance"), p["_tie"].alias("_tie"), p["_v"].alias("_v")))
+        one = met.select("_k", F.array_min(far).alias("_b")).where("_b is not null")
         if within is not None:
-            met = met.where(F.col("_d") <= within)
-        best = met.groupBy("_k").agg(F.min_by(F.struct("_v", F.col("_d").alias("distance")), F.struct("_d", "_tie")).alias("_b"))
-        return best.select(F.col("_k").alias(key), "_b._v.*", "_b.distance")
+            one = one.where(F.col("_b.distance") <= within)
+        return one.groupBy("_k").agg(F.min("_b").alias("_b")).select(F.col("_k").alias(key), "_b._v.*", "_b.distance")

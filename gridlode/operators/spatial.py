@@ -70,6 +70,9 @@ def within_radius(probes: DataFrame, points: DataFrame, key: str, km: float = 50
     """
     step = km / 111.0
     values = ["temperature_f", "depth_m", "latitude", "longitude"]
+    # readings that are in no probe's range are left out before anything is made of them
+    least, most = probes.agg(F.min(F.col("depth") - depth).cast("double"), F.max(F.col("depth") + depth).cast("double")).head()
+    points = points.where(F.col("depth_m").between(F.lit(least).cast("double"), F.lit(most).cast("double")))
     tree = CellTree(points, "longitude", "latitude", values, step, Sphere(), band="depth_m", tie=tie)
     most = tree.columns
     reach = F.ceil(1 / F.cos(F.radians(F.least(F.abs(F.col("lat")) + step, F.lit(89.9))))).cast("long") + 1

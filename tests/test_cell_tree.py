@@ -87,3 +87,23 @@ def test_empty_tables(spark):
     probes = spark.createDataFrame([(1, 0.0, 0.0, 1.0)], PROBES)
     assert spatial.within_radius(probes, none, "site").head()["distance_km"] is None
     assert spatial.within_radius(probes.limit(0), none, "site").count() == 0
+
+
+def test_points_in_no_band_are_left_out_first(spark, monkeypatch):
+    """Of a leaf's points one row comes to a probe, and only points that some probe may take are put into cells."""
+    kept = []
+
+    class Spy(cell_tree.CellTree):
+        def __init__(self, points, *args, **more):
+            kept.append(points.count())
+            super().__init__(points, *args, **more)
+
+        def _best(self, met, key, within):
+            kept.append(met.count())
+            return super()._best(met, key, within)
+
+    monkeypatch.setattr(spatial, "CellTree", Spy)
+    points = spark.createDataFrame([(i, 10.0 + i * 1e-4, 50.0, 1000.0 + i % 5 * 500, float(i)) for i in range(100)], POINTS)
+    probes = spark.createDataFrame([(1, 10.0, 50.0, 1500.0)], PROBES)
+    [best] = spatial.within_radius(probes, points, "site").collect()
+    assert best["temperature_f"] == 1.0 and kept == [20, 1]

@@ -149,3 +149,8 @@ def head_bytes(spark: SparkSession, path: str, most: int = 65536) -> bytes:
         return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(bounded))
     finally:
         stream.close()
+
+
+def parts(df: DataFrame) -> int:
+    """The set number of shuffle partitions, for repartition before work in Python: without a number Spark joins small partitions by their bytes, and few tasks are left for much work."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

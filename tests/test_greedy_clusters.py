@@ -61,3 +61,31 @@ def test_a_dense_cell_and_an_empty_table(spark):
         assert none.count() == 0
     with pytest.raises(ValueError):
         next(gc.cluster_levels(dense, "id", "acres", most=26))
+
+
+def clusters_of(found):
+    return sorted((x["id"], x["point_count"], x["acres"], round(x["lon"], 9), round(x["lat"], 9)) for x in found.collect())
+
+
+def test_views_decide_nearly_all_and_rounds_the_rest(spark, monkeypatch):
+    """Small views with hardly any halo, too few rows or pairs: what they leave goes through the rounds, to the same clusters."""
+    r = random.Random(9)
+    rows = [(i, r.gauss(-100, 0.03), r.gauss(40, 0.03), 1.0, "x") for i in range(1500)]
+    points = spark.createDataFrame(rows, POINTS).repartition(5)
+    whole = [clusters_of(found) for _, found in gc.cluster_levels(points, "id", "acres", least=13)]
+    stages = []
+    monkeypatch.setattr(gc, "_centres", lambda *a, made=gc._centres: stages.append(1) or made(*a))
+    for name, value in (("VIEW", 4), ("MOST_ROWS", 50), ("MOST_PAIRS", 2000)):
+        with monkeypatch.context() as m:
+            for n, v in ((name, value), ("HALO", 1), ("TOGETHER", 20)):
+                m.setattr(gc, n, v)
+            assert [clusters_of(found) for _, found in gc.cluster_levels(points, "id", "acres", least=13)] == whole
+    assert len(stages) >= 4  # rounds were needed
+
+
+def test_disk_does_not_hold_items_many_times(spark, monkeypatch):
+    """Scattered items are settled in their views: no rounds, which shuffled and stored each item again several times."""
+    monkeypatch.setattr(gc, "_centres", lambda *a: pytest.fail("rounds over all tasks"))
+    points = spark.range(4000).select("id", (-100 + F.rand(1) * 2).alias("longitude"), (40 + F.rand(2)).alias("latitude"), F.lit(1.0).alias("acres"))
+    for _, found in gc.cluster_levels(points, "id", "acres", least=12):
+        assert found.agg(F.sum("point_count")).head()[0] == 4000

@@ -8,14 +8,22 @@ from __future__ import annotations
 
 import math
 import struct
+from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from .shared import parts as partitions
 
 EXTENT = 4096
 #: Latitudes beyond this are not on the map.
 MOST_LATITUDE = 85.0511287798066
+#: Features that a task decodes at a time.
+TOGETHER = 10_000
 POINT, LINE, POLYGON = 1, 2, 3
 
 
@@ -26,9 +34,14 @@ def world(p: Column, zoom: int) -> Column:
     return F.struct(((p["x"] + 180.0) / 360.0 * n).alias("x"), ((1 - F.log(F.tan(lat) + 1 / F.cos(lat)) / math.pi) / 2 * n).alias("y"))
 
 
+def _once(rows: DataFrame, name: str, made: Column) -> DataFrame:
+    """rows with a column that is evaluated once a row: a filter on a projected column goes below it and evaluates it again."""
+    return rows.withColumn("_made", F.explode(F.array(made))).withColumn(name, F.col("_made")).drop("_made")
+
+
 def fan_out(features: DataFrame, parts: str, zoom: int) -> DataFrame:
     """features once for each tile (tx, ty) that the box around their parts (arrays of points in degrees) touches; parts in tiles."""
-    placed = features.withColumn(parts, F.transform(parts, lambda r: F.transform(r, lambda p: world(p, zoom)))).where(F.exists(parts, lambda r: F.size(r) > 0))
+    placed = _once(features.where(F.exists(parts, lambda r: F.size(r) > 0)), parts, F.transform(parts, lambda r: F.transform(r, lambda p: world(p, zoom))))
     ends = lambda c: (F.transform(F.flatten(parts), lambda p: p[c]))
     edge = 2**zoom - 1
     tile = lambda v: F.least(F.greatest(F.floor(v), F.lit(0)), F.lit(edge)).cast("int")
@@ -43,17 +56,25 @@ def _mix(a: Column, b: Column, t: Column) -> Column:
 def clip_line(line: Column, west: Column, north: Column) -> Column:
     """The pieces of a line inside the tile that begins at west, north: an array of lines. Points alone are no pieces."""
 
-    def piece(b, i):
+    def span(b, i):
         a = F.get(line, i)
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        return F.struct(a.alias("a"), b.alias("b"), (b["x"] - a["x"]).alias("dx"), (b["y"] - a["y"]).alias("dy"))
+
+    def inside(s):
+        a, dx, dy = s["a"], s["dx"], s["dy"]
         lo, hi, miss = F.lit(0.0), F.lit(1.0), F.lit(False)
         for d, gap in ((-dx, a["x"] - west), (dx, west + 1 - a["x"]), (-dy, a["y"] - north), (dy, north + 1 - a["y"])):
-            at = F.when(d != 0, gap / d)
-            lo, hi = F.greatest(lo, F.when(d < 0, at)), F.least(hi, F.when(d > 0, at))
+            lo, hi = F.greatest(lo, F.when(d < 0, gap / d)), F.least(hi, F.when(d > 0, gap / d))
             miss = miss | ((d == 0) & (gap < 0))
-        return F.when(~miss & (lo < hi), F.struct(F.when(lo > 0, _mix(a, b, lo)).otherwise(a).alias("a"), F.when(hi < 1, _mix(a, b, hi)).otherwise(b).alias("b"), (lo > 0).alias("cut")))
+        return F.struct(a.alias("a"), s["b"].alias("b"), lo.alias("lo"), hi.alias("hi"), miss.alias("miss"))
+
+    def piece(s):
+        a, b = s["a"], s["b"]
+        return F.struct(F.when(s["lo"] > 0, _mix(a, b, s["lo"])).otherwise(a).alias("a"), F.when(s["hi"] < 1, _mix(a, b, s["hi"])).otherwise(b).alias("b"), (s["lo"] > 0).alias("cut"))
 
-    cut = F.filter(F.transform(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), piece), lambda s: s.isNotNull())
+    # one step after the other, so that each number is made once
+    spans = F.transform(F.slice(line, 2, F.greatest(F.size(line) - 1, F.lit(0))), span)
+    cut = F.transform(F.filter(F.transform(spans, inside), lambda s: ~s["miss"] & (s["lo"] < s["hi"])), piece)
     point = "struct<x: double, y: double>"
 
     def add(done, s):
@@ -86,35 +107,36 @@ def clip_polygons(rows: DataFrame, parts: str) -> DataFrame:
         for sign in (1, -1):
             at = F.col(tile).cast("double") + (0.0 if sign > 0 else 1.0)
             out = out.withColumn(parts, F.transform(parts, lambda r: _clip_side(r, axis, at, sign)))  # noqa: B023
-    return out.withColumn(parts, F.filter(parts, lambda r: F.size(r) > 2)).where(F.size(parts) > 0)
+    return _once(out, parts, F.filter(parts, lambda r: F.size(r) > 2)).where(F.size(parts) > 0)
 
 
 def clip_lines(rows: DataFrame, parts: str) -> DataFrame:
     pieces = F.flatten(F.transform(parts, lambda line: clip_line(line, F.col("tx").cast("double"), F.col("ty").cast("double"))))
-    return rows.withColumn(parts, pieces).where(F.size(parts) > 0)
+    return _once(rows, parts, pieces).where(F.size(parts) > 0)
 
 
 def clip_points(rows: DataFrame, parts: str) -> DataFrame:
     inside = lambda p: (F.floor(p["x"]) == F.col("tx")) & (F.floor(p["y"]) == F.col("ty"))
-    return rows.withColumn(parts, F.transform(parts, lambda r: F.filter(r, inside))).where(F.exists(parts, lambda r: F.size(r) > 0))
+    return _once(rows, parts, F.transform(parts, lambda r: F.filter(r, inside))).where(F.exists(parts, lambda r: F.size(r) > 0))
 
 
 def quantise(rows: DataFrame, parts: str, least: int, ring: bool = False, extent: int = EXTENT) -> DataFrame:
     """parts in whole units of the tile; repeated points, parts of fewer than `least` points and rows without parts go."""
     q = lambda v, t: F.floor((v - F.col(t)) * extent + 0.5).cast("int")
     whole = F.transform(parts, lambda r: F.transform(r, lambda p: F.struct(q(p["x"], "tx").alias("x"), q(p["y"], "ty").alias("y"))))
-    out = rows.withColumn(parts, whole)
+    out = _once(rows, parts, whole) if least > 1 else rows.withColumn(parts, whole)
     fresh = lambda r: F.filter(r, lambda p, i: (i == 0) | (p != F.get(r, i - 1)))
     if ring:  # the last point isn't the first again
         fresh = lambda r: F.filter(r, lambda p, i: p != F.get(r, F.when(i > 0, i - 1).otherwise(F.size(r) - 1)))
-    return out.withColumn(parts, F.filter(F.transform(parts, fresh) if least > 1 else F.col(parts), lambda r: F.size(r) >= least)).where(F.size(parts) > 0)
+    return _once(out, parts, F.filter(F.transform(parts, fresh) if least > 1 else F.col(parts), lambda r: F.size(r) >= least)).where(F.size(parts) > 0)
 
 
 def tile_rows(features: DataFrame, parts: str, zoom: int, kind: int) -> DataFrame:
     """A row for each feature and tile that it has something in: tx, ty, parts in units of the tile, other columns."""
-    fanned = fan_out(features, parts, zoom)
     if kind == POINT:
-        return quantise(clip_points(fanned, parts), parts, 1)
+        return quantise(clip_points(fan_out(features, parts, zoom), parts), parts, 1)
+    # a small file is few tasks, and clipping is much work for its bytes
+    fanned = fan_out(features.repartition(partitions(features)), parts, zoom)
     if kind == LINE:
         return quantise(clip_lines(fanned, parts), parts, 2)
     return quantise(clip_polygons(fanned, parts), parts, 3, ring=True)
@@ -123,7 +145,12 @@ def tile_rows(features: DataFrame, parts: str, zoom: int, kind: int) -> DataFram
 # vector tiles: fixed values are those of the public format, version 2
 
 
+_SHORT = [bytes([n]) for n in range(128)]
+
+
 def varint(n: int) -> bytes:
+    if n < 128:
+        return _SHORT[n]
     out = bytearray()
     while n > 127:
         out.append(n & 127 | 128)
@@ -206,43 +233,54 @@ def encode_tiles(rows: DataFrame, parts: str, name: str, kind: int, key: str | N
         at, layer, n = None, None, 0
         done = lambda: pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([n], pa.int64()), pa.array([layer.message()], pa.binary())], ["tx", "ty", "features", "tile"])
         for batch in batches:
-            for r in batch.to_pylist():
-                if (r["tx"], r["ty"]) != at:
+            rest = [batch.column(c).to_pylist() for c in columns]
+            keys = batch.column(key).to_pylist() if key else [None] * len(batch)
+            for tile, own, k, shape in zip(zip(batch.column("tx").to_pylist(), batch.column("ty").to_pylist()), zip(*rest) if rest else [()] * len(batch), keys, _shapes(batch.column(parts))):
+                if tile != at:
                     if layer is not None:
                         yield done()
-                    at, layer, n = (r["tx"], r["ty"]), Layer(name, columns, kind, extent), 0
-                layer.add(tuple(r[c] for c in columns), [[(p["x"], p["y"]) for p in part] for part in r[parts]], r[key] if key else None)
+                    at, layer, n = tile, Layer(name, columns, kind, extent), 0
+                layer.add(own, shape, k)
                 n += 1
         if layer is not None:
             yield done()
 
     order = ["tx", "ty"] + ([key] if key else [])
-    return rows.repartition("tx", "ty").sortWithinPartitions(*order).mapInArrow(run, "tx int, ty int, features long, tile binary")
+    return rows.repartition(partitions(rows), "tx", "ty").sortWithinPartitions(*order).mapInArrow(run, "tx int, ty int, features long, tile binary")
+
+
+def _shapes(column: pa.ListArray) -> Iterator[list]:
+    """The parts of each feature, as lists of (x, y)."""
+    lines = column.values
+    points = list(zip(*(lines.values.field(c).to_pylist() for c in ("x", "y"))))
+    cuts, ends = lines.offsets.to_pylist(), column.offsets.to_pylist()
+    for i, j in zip(ends, ends[1:]):
+        yield [points[cuts[k] : cuts[k + 1]] for k in range(i, j)]
 
 
 def _fields(data: bytes):
-    at = 0
+    at, end = 0, len(data)
 
-    def number():
-        nonlocal at
+    def number(at):
         out = shift = 0
         while True:
             b = data[at]
             at += 1
             out |= (b & 127) << shift
-            shift += 7
             if b < 128:
-                return out
+                return out, at
+            shift += 7
 
-    while at < len(data):
-        tag = number()
+    while at < end:
+        tag, at = number(at)
         if tag & 7 == 0:
-            yield tag >> 3, number()
+            n, at = number(at)
+            yield tag >> 3, n
         elif tag & 7 == 1:
             yield tag >> 3, data[at : at + 8]
             at += 8
         else:
-            n = number()
+            n, at = number(at)
             yield tag >> 3, data[at : at + n]
             at += n
 
@@ -264,9 +302,24 @@ def _value(data: bytes):
     return {1: lambda: v.decode(), 3: lambda: struct.unpack("<d", v)[0], 6: lambda: zigzag(v), 7: lambda: bool(v)}[number]()
 
 
-def decode_tile(data: bytes) -> list[dict]:
-    """The features of a tile: layer, id, kind, properties, parts."""
-    out = []
+def _shape(commands: list[int]) -> list:
+    parts, x, y, i = [], 0, 0, 0
+    while i < len(commands):
+        what, count = commands[i] & 7, commands[i] >> 3
+        i += 1
+        for _ in range(count if what != 7 else 0):
+            x += commands[i] >> 1 ^ -(commands[i] & 1)
+            y += commands[i + 1] >> 1 ^ -(commands[i + 1] & 1)
+            i += 2
+            if what == 1:
+                parts.append([(x, y)])
+            else:
+                parts[-1].append((x, y))
+    return parts
+
+
+def features_of(data: bytes) -> Iterator[dict]:
+    """The features of a tile, one by one: layer, id, kind, properties, parts."""
     for number, layer in _fields(data):
         if number != 3:
             continue
@@ -275,34 +328,44 @@ def decode_tile(data: bytes) -> list[dict]:
             if n == 1:
                 name = v.decode()
             elif n == 2:
-                found.append(dict(_fields(v)))
+                found.append(v)
             elif n == 3:
                 keys.append(v.decode())
             elif n == 4:
                 values.append(_value(v))
-        for f in found:
-            tags, commands = _numbers(f.get(2, b"")), _numbers(f[4])
-            parts, x, y, i = [], 0, 0, 0
-            while i < len(commands):
-                what, count = commands[i] & 7, commands[i] >> 3
-                i += 1
-                for _ in range(count if what != 7 else 0):
-                    x, y = (a + (d >> 1 ^ -(d & 1)) for a, d in zip((x, y), commands[i : i + 2]))
-                    i += 2
-                    parts = parts + [[(x, y)]] if what == 1 else parts[:-1] + [parts[-1] + [(x, y)]]
-            out.append({"layer": name, "id": f.get(1), "kind": f[3], "properties": {keys[k]: values[v] for k, v in zip(tags[::2], tags[1::2])}, "parts": parts})
-    return out
+        for v in found:
+            f = dict(_fields(v))
+            tags = _numbers(f.get(2, b""))
+            yield {"layer": name, "id": f.get(1), "kind": f[3], "properties": {keys[k]: values[v] for k, v in zip(tags[::2], tags[1::2])}, "parts": _shape(_numbers(f[4]))}
+
+
+def decode_tile(data: bytes) -> list[dict]:
+    """The features of a tile: layer, id, kind, properties, parts."""
+    return list(features_of(data))
+
+
+def _runs(lists: list) -> list[int]:
+    ends = [0]
+    for x in lists:
+        ends.append(ends[-1] + len(x))
+    return ends
 
 
 def read_tiles(tiles: DataFrame, schema: str) -> DataFrame:
     """tx, ty, tile -> tx, ty, id, layer, properties by schema (columns of the properties), parts of every feature in them."""
-    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+    properties = to_arrow_schema(StructType.fromDDL(schema))
 
     def run(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            found = [(tx, ty, f["id"], f["layer"], *[f["properties"].get(n) for n in names], [[{"x": x, "y": y} for x, y in p] for p in f["parts"]]) for tx, ty, t in zip(pdf["tx"], pdf["ty"], pdf["tile"]) for f in decode_tile(bytes(t))]
-            yield pd.DataFrame(found, columns=["tx", "ty", "id", "layer", *names, "parts"])
-
-    return tiles.select("tx", "ty", "tile").mapInPandas(run, f"tx int, ty int, id long, layer string, {schema}, parts array<array<struct<x: int, y: int>>>")
+        for batch in batches:
+            for tx, ty, tile in zip(*(batch.column(c) for c in ("tx", "ty", "tile"))):
+                features = features_of(tile.as_py())
+                while found := list(islice(features, TOGETHER)):
+                    lines = [p for f in found for p in f["parts"]]
+                    xs, ys = ([p[k] for line in lines for p in line] for k in (0, 1))
+                    points = pa.StructArray.from_arrays([pa.array(xs, pa.int32()), pa.array(ys, pa.int32())], ["x", "y"])
+                    shapes = pa.ListArray.from_arrays(_runs([f["parts"] for f in found]), pa.ListArray.from_arrays(_runs(lines), points))
+                    own = [pa.array([f["properties"].get(c.name) for f in found], c.type) for c in properties]
+                    head = [pa.array([v.as_py()] * len(found), pa.int32()) for v in (tx, ty)]
+                    yield pa.RecordBatch.from_arrays([*head, pa.array([f["id"] for f in found], pa.int64()), pa.array([f["layer"] for f in found], pa.string()), *own, shapes], ["tx", "ty", "id", "layer", *properties.names, "parts"])
+
+    return tiles.select("tx", "ty", "tile").mapInArrow(run, f"tx int, ty int, id long, layer string, {schema}, parts array<array<struct<x: int, y: int>>>")

@@ -100,3 +100,20 @@ def test_poles_and_empty_tables(spark):
     assert tiles.fan_out(far, "parts", Z).select("tx", "ty").collect()[0] == (15, 0)
     none = spark.createDataFrame([], PARTS)
     assert tiles.encode_tiles(tiles.tile_rows(none, "parts", Z, tiles.LINE), "parts", "l", tiles.LINE).count() == 0
+
+
+def test_tiles_are_made_by_the_set_number_of_tasks(spark):
+    """Small tiles too: Spark would join their partitions by bytes, and one task would write and read them all."""
+    rows = tiles.tile_rows(frame(spark, [[[(x + 0.2, y + 0.2), (x + 0.7, y + 0.6)]] for x in range(2, 14) for y in range(2, 14)]), "parts", Z, tiles.LINE)
+    made = tiles.encode_tiles(rows, "parts", "lines", tiles.LINE, key="k")
+    tasks = made.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_a_tile_is_read_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(tiles, "TOGETHER", 7)
+    rows = tiles.tile_rows(frame(spark, [[[(2.1, 2.1 + k / 99), (2.9, 2.5)], [(2.2, 2.2), (2.3, 2.4), (2.5, 2.1)]] for k in range(40)]), "parts", Z, tiles.LINE)
+    made = tiles.encode_tiles(rows, "parts", "lines", tiles.LINE, key="k")
+    back = tiles.read_tiles(made, "name string")
+    want = {(x["k"], x["name"], str(x["parts"])) for x in rows.collect()}
+    assert {(x["id"], x["name"], str(x["parts"])) for x in back.collect()} == want and len(want) == 40

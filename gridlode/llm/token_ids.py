@@ -8,7 +8,7 @@ block contains, and read by its line reader, so that tasks get byte ranges of fi
 
     block: mask byte, then, each byte xor mask: crc32 of the rest (4), version (1), file (4), block (4), first (8), ids (4),
     documents (4), length of the table (4), table, words of the coder. Little-endian.
-    table, by zlib: doc_ids as differences (8 each), ids in this block (4 each), flags (1 each): 1 begins here, 2 ends here, 4 null doc_id
+    table, after a byte that is 1 if it is by zlib: doc_ids as differences (8 each), ids in this block (4 each), flags (1 each): 1 begins here, 2 ends here, 4 null doc_id
 
 A document that runs over several blocks is put together where it is read, and one that runs over several ranges from
 the parts of these. Readers raise if a checksum differs or blocks of a file are missing.
@@ -20,9 +20,13 @@ block and an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import zlib
+from itertools import chain, compress, repeat
+from operator import is_
 
 import numpy as np
 import pandas as pd
@@ -38,28 +42,71 @@ from .token_counts import MEMO_BYTES
 
 #: Eight bytes, all different.
 MAGIC = b"\x8fIDX\x9f\xa3\xb7\xc1"
-VERSION = 1
+VERSION = 2
 #: Version, file, block, first, ids, documents, length of the table.
 HEAD = "<BIIQIII"
 BEGINS, ENDS, NO_ID = 1, 2, 4
+#: Bytes of a table that zlib would hardly make less.
+PLAIN_TABLE = 64
 #: Blocks that are coded in step.
 LANES = 4096
-#: A task keeps the ids of so many words.
+#: A worker keeps the ids of the words it met last: between so many and about twice as many.
 MEMO_WORDS = 400_000
-JOINED = 64
+#: Words that are encoded together, bytes of texts whose words are.
+JOINED, TEXTS = 64, 4 << 20
+
+
+#: Normalizer and pre-tokenizer of tokenizers whose words are told by bytes, see Encoder.
+LOWERED = ["NFC", "Replace", "Lowercase"]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _lower(byte: int) -> int:
+    low = chr(byte).lower()
+    return 32 if 9 <= byte <= 13 else ord(low) if ord(low) < 256 else byte
+
+
+#: Of Latin-1: lower case, white space as spaces.
+LATIN_LOWER = bytes(map(_lower, range(256)))
+#: White space as spaces.
+SPACED = bytes(32 if 9 <= i <= 13 else i for i in range(256))
+#: Letters and digits of Latin-1.
+SOLID = np.array([chr(i).isalnum() for i in range(256)])
+#: Letters, then ASCII marks but no apostrophe.
+LETTERS = re.compile(b"[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+")
+MARKED = re.compile(b"(" + LETTERS.pattern + rb")([!-&(-/:-@\[-`{-~]+)")
 
 
 class Encoder:
-    """The ids of texts, as little-endian unsigned 32-bit integers. by_words: as for token_counts."""
+    """The ids of texts, as little-endian unsigned 32-bit integers. by_words: as for token_counts.
+
+    A tokenizer that lower-cases and parts letters, digits and marks from each other (_parts_marks) has the same ids for
+    Latin-1 texts in lower case, with dots and commas that end words as words of their own; so fewer words are new.
+    """
 
     def __init__(self, path: str, by_words: bool):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.by_words, self.memo = by_words, {}
+        # each: words and their ids, those of the words before these
+        self.by_words, self.memo, self.plain = by_words, ({}, {}), ({}, {})
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
+        self.parts_marks = by_words and _parts_marks(spec)
+        # in Latin-1's lower case, where any of them could arise from other case; others don't occur in Latin-1
+        added = [t["content"].lower() for t in spec["added_tokens"]]
+        self.added_bytes = [t.encode("latin-1") for t in added if max(t, default="") < "\u0100"]
+        # words of letters in lower case pass unchanged through the rest
+        self.letters = Tokenizer(self.tokenizer.model)
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        suffix = spec["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -76,27 +123,125 @@ class Encoder:
             out += [ids[i:j] for i, j in zip(cuts, cuts[1:])]
         return out
 
+    def _letters_ids(self, words: list[bytes]) -> list[bytes]:
+        """_word_ids of words of Latin-1's small letters, whose last ids tell that they end them."""
+        groups = [b" ".join(words[i : i + JOINED]).decode("latin-1") for i in range(0, len(words), JOINED)]
+        ids = np.array(list(chain.from_iterable(x.ids for x in self.letters.encode_batch_fast(groups, add_special_tokens=False))), "<u4")
+        cuts = [0, *(4 * np.flatnonzero(self.ends[ids]) + 4).tolist()]
+        if len(cuts) != len(words) + 1:
+            return self._word_ids([w.decode("latin-1") for w in words])
+        ids = ids.tobytes()
+        return [ids[i:j] for i, j in zip(cuts, cuts[1:])]
+
+    def _plain(self, text: str) -> bytes | None:
+        """A text in Latin-1's lower case, after a space; None if it isn't so plain."""
+        try:
+            data = b" " + text.encode("latin-1").translate(LATIN_LOWER)
+        except UnicodeEncodeError:
+            return None
+        return None if any(t in data for t in self.added_bytes) else data
+
+    def _learn_plain(self, new: set[bytes], plain: dict[bytes, bytes]) -> None:
+        """Puts the ids of new plain words into plain."""
+        wanted, marked, odd = set(), [], set()
+        for w in new:
+            if w.isalpha() or LETTERS.fullmatch(w):
+                wanted.add(w)
+            elif len(w) <= MEMO_BYTES and (found := MARKED.fullmatch(w)):
+                marked.append((w, *found.groups()))
+            else:
+                odd.add(w)
+        wanted.update(w for _, w, _ in marked if w not in plain)
+        odd.update(m for _, _, m in marked if m not in plain)
+        wanted, odd = list(wanted), list(odd)
+        plain.update(zip(wanted, self._letters_ids(wanted)))
+        plain.update(zip(odd, self._word_ids([w.decode("latin-1") for w in odd])))
+        plain.update((w, plain[letters] + plain[marks]) for w, letters, marks in marked)
+
     def ids(self, texts: list[str | None]) -> list[bytes]:
         if not self.by_words:
             return self._ids([t or "" for t in texts])
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-        memo = self.memo
-        new = list(set().union(*split).difference(memo))
+        plain = [self._plain(t or "") if self.parts_marks else None for t in texts]
+        self.plain, found = _memoised([t for t in plain if t is not None], self.plain, self._learn_plain, True)
+        rest = [b" " + (t or "").encode().translate(SPACED) for t, p in zip(texts, plain) if p is None]
+        self.memo, others = _memoised(rest, self.memo, self._learn, False)
+        found, others = iter(found), iter(others)
+        return [next(others if p is None else found) for p in plain]
+
+    def _learn(self, new: set[bytes], memo: dict[bytes, bytes]) -> None:
+        new = list(new)
         memo.update(zip(new, self._word_ids([w.decode() for w in new])))
-        out = [b"".join(map(memo.__getitem__, words)) for words in split]
-        for w in new:
-            if len(w) > MEMO_BYTES:
-                del memo[w]
-        return out
+
+
+def _memoised(texts: list[bytes], memo: tuple[dict, dict], learn, marks: bool) -> tuple[tuple[dict, dict], list[bytes]]:
+    """The memo from now on, and the ids of texts from those of their words; learn puts new words into a memo.
+
+    A space begins each text and word. marks: a dot or comma between a letter or digit and a space is a word too.
+    """
+    young, old = memo
+    if len(young) > MEMO_WORDS:
+        young, old = {}, young
+    data = b"".join(texts) + b" "
+    found = np.frombuffer(data, np.uint8)
+    begins = found == 32
+    if marks:
+        at = np.flatnonzero((found == 46) | (found == 44))
+        begins[at[(found[at + 1] == 32) & SOLID[found[at - 1]]]] = True
+    begins = np.flatnonzero(begins)
+    places = np.searchsorted(begins, np.cumsum([0, *map(len, texts)]))  # words before each text
+    begun = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begins) - 1, [None, pa.py_buffer(begins), pa.py_buffer(data)]).dictionary_encode()
+    _, where, held = begun.dictionary.buffers()
+    at, held = np.frombuffer(where, np.int64)[: len(begun.dictionary) + 1].tolist(), held.to_pybytes() if held else b""
+    words = [held[i:j].lstrip() for i, j in zip(at, at[1:])]
+    ids = list(map(young.get, words))
+    missing = list(compress(range(len(ids)), map(is_, ids, repeat(None))))
+    new = {words[i] for i in missing}
+    again = new & old.keys()
+    young.update((w, old[w]) for w in again)
+    new -= again
+    learn(new, young)
+    for i in missing:
+        ids[i] = young[words[i]]
+    for w in new:
+        if len(w) > MEMO_BYTES:
+            del young[w]
+    # the ids of distinct words, end to end, are dealt to the words of the texts
+    code, lengths = begun.indices.to_numpy(), np.array(list(map(len, ids)), np.int64) // 4
+    begins = np.cumsum(lengths) - lengths
+    many = lengths.take(code)
+    after = np.cumsum(many)
+    source = np.repeat(begins.take(code) - (after - many), many)
+    source += np.arange(len(source))
+    out = np.frombuffer(b"".join(ids), "<u4").take(source).tobytes()
+    cuts = (4 * np.append(0, after).take(places)).tolist()
+    return (young, old), [out[i:j] for i, j in zip(cuts, cuts[1:])]
+
+
+def _parts_marks(spec: dict) -> bool:
+    """Whether a tokenizer lower-cases texts, drops white space and never joins letters, digits and marks; spec: its file."""
+    normalizer, before = spec.get("normalizer") or {}, (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    lowers = [n["type"] for n in normalizer.get("normalizers", [])] == LOWERED and normalizer["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+    return lowers and before[0].get("pattern") == {"Regex": SPLIT} and [b["type"] for b in before] == ["Split", "ByteLevel"] and before[0]["behavior"] == "Removed" and before[0]["invert"]
+
+
+#: The encoder that this worker made last, for its next tasks: loading one, and its words, take longer than many texts.
+_made: dict[tuple, Encoder] = {}
+
+
+def encoder_of(path: str, by_words: bool) -> Encoder:
+    stat = os.stat(path)
+    key = (path, by_words, stat.st_mtime_ns, stat.st_size)
+    if key not in _made:
+        _made.clear()
+        _made[key] = Encoder(path, by_words)
+    return _made[key]
 
 
 def pack(file: int, number: int, first: int, table: list[tuple], n: int, words: bytes) -> bytes:
     """A block. table: (doc_id or None, ids in this block, flags) of each document in it."""
     docs = np.array([d or 0 for d, _, _ in table], "<i8")
     rest = b"".join([np.diff(docs, prepend=docs[:1] * 0).astype("<i8").tobytes(), np.array([k for _, k, _ in table], "<u4").tobytes(), bytes(f for _, _, f in table)])
-    rest = zlib.compress(rest, 1)
+    rest = b"\1" + zlib.compress(rest, 1) if len(rest) > PLAIN_TABLE else b"\0" + rest
     body = struct.pack(HEAD, VERSION, file, number, first, n, len(table), len(rest)) + rest + words
     body = struct.pack("<I", zlib.crc32(body)) + body
     mask = 0
@@ -118,7 +263,9 @@ def unpack(block: bytes) -> tuple[int, int, int, list[tuple], int, bytes]:
     if version != VERSION:
         raise ValueError(f"blocks of version {version} are unknown")
     at = 4 + struct.calcsize(HEAD)
-    rest = zlib.decompress(body[at : at + length])
+    rest = body[at + 1 : at + length]
+    if body[at]:
+        rest = zlib.decompress(rest)
     docs = np.cumsum(np.frombuffer(rest, "<i8", documents))
     counts = np.frombuffer(rest, "<u4", documents, 8 * documents)
     flags = rest[12 * documents :]
@@ -177,10 +324,10 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int, by_words:
     """
 
     def run(batches):
-        encoder, writer = Encoder(tokenizer, by_words), Writer(TaskContext.get().partitionId(), id_coder.BLOCK_IDS)
+        encoder, writer = encoder_of(tokenizer, by_words), Writer(TaskContext.get().partitionId(), id_coder.BLOCK_IDS)
         end = struct.pack("<I", end_id)
         rows = lambda found: pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["block"])
-        for part in pieces(batches):
+        for part in pieces(batches, most=TEXTS):
             for doc_id, ids in zip(column(part, "doc_id").to_pylist(), encoder.ids(column(part, "text").to_pylist())):
                 writer.add(doc_id, np.frombuffer(ids + end, "<u4"))
                 if writer.full(LANES):

@@ -85,6 +85,29 @@ def brute(rows):
     return out
 
 
+def test_texts_of_many_forms_have_the_librarys_ids(monkeypatch):
+    monkeypatch.setattr(token_ids, "MEMO_WORDS", 40)
+    r = random.Random(9)
+    forms = ["the", "The", "É", "éÀ", "ß", "µ", "ª²½", "Ÿ", "J\u030c", "e\u0301", "ΑΣ", ",", ".", "..", ").", "'s", "'S,", "'", "!!", "a" * 90, "%%%", "7", "12", " ", "  ", "\n", "\t", "\xa0", "\x85", "\x1c", "\x00"]
+    forms += ["<|endoftext|>", "<|EndOfText|>", "<|", "日本"]
+    texts = ["".join(r.choices(forms[: r.choice([8, 29, len(forms)])], k=r.randrange(12))) for _ in range(1500)]
+    texts += [" ".join(r.choices(forms, k=60)) for _ in range(40)] + ["", None, ".", ",", " ", "\n. ,"]
+    encoder = token_ids.Encoder(TOKENIZER, True)
+    got = [np.frombuffer(x, "<u4").tolist() for i in range(0, len(texts), 100) for x in encoder.ids(texts[i : i + 100])]
+    assert got == [encoder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_case_and_marks_make_no_new_words_and_tasks_share_them(monkeypatch):
+    asked = []
+    for name in ("_letters_ids", "_word_ids"):
+        monkeypatch.setattr(token_ids.Encoder, name, lambda self, words, own=getattr(token_ids.Encoder, name): asked.extend(words) or own(self, words))
+    monkeypatch.setattr(token_ids, "_made", {})
+    token_ids.encoder_of(TOKENIZER, True).ids(["Some word, some Word. SOME word!! some,", "word."])
+    assert sorted(w.decode() if isinstance(w, bytes) else w for w in asked if w) == ["!!", ",", ".", "some", "word"]
+    token_ids.encoder_of(TOKENIZER, True).ids(["word some!!"])
+    assert len([w for w in asked if w]) == 5
+
+
 @pytest.fixture(scope="module")
 def rows():
     r = random.Random(6)
